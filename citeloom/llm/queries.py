@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import byte_bpe, container_fill
+from citeloom.llm import byte_bpe, container_fill, sentences
 from citeloom.session import sf_table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = sf_table(spark, sf_dir, "documents").select(F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), "text")
+    claims = sf_table(spark, sf_dir, "claim_rows").groupBy(F.col("claim_id").alias("rec_id")).agg(F.max("text").alias("text"))
+    return sentences.split_sentences(documents.unionByName(claims.select(F.lit("claim").alias("rec_kind"), "rec_id", "text")))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(sf_table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe.default_vocabulary())
 
@@ -23,6 +29,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
