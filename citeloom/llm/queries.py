@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import byte_bpe, container_fill, sentences
+from citeloom.llm import byte_bpe, container_fill, reply_defects, sentences
 from citeloom.session import sf_table
 
 
@@ -17,6 +17,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(documents.unionByName(claims.select(F.lit("claim").alias("rec_kind"), "rec_id", "text")))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = sf_table(spark, sf_dir, "questions").groupBy("question_id").agg(F.max("question").alias("asked"))
+    answers = sf_table(spark, sf_dir, "answers").select("answer_id", "question_id", "answer", "question")
+    joined = answers.join(prompts, "question_id", "left").select("answer_id", "answer", F.coalesce("asked", "question").alias("question"))
+    return reply_defects.reply_defects(joined)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(sf_table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe.default_vocabulary())
 
@@ -30,6 +37,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
