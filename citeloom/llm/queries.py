@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import byte_bpe, container_fill, reply_defects, sentences
+from citeloom.llm import annotator_consensus, byte_bpe, container_fill, look_alikes, natural_splits, reply_defects, sentences
 from citeloom.session import sf_table
 
 
@@ -24,6 +24,46 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_defects.reply_defects(joined)
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = sf_table(spark, sf_dir, "size_limits").filter("item_kind = 'candidate_units.text'").select("max_size", "overlap").first()
+    return natural_splits.split_oversized(sf_table(spark, sf_dir, "candidate_units"), "unit_id", "text", limit["max_size"] if limit else 1500, limit["overlap"] if limit else 150)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).filter("piece_no = 0").select(F.col("item_id").alias("unit_id"), "cut_kind")
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).withColumnRenamed("item_id", "unit_id")
+
+
+def _verdict_votes(given: DataFrame) -> DataFrame:
+    return given.select("item", "annotator", F.col("verdict").alias("label"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = annotator_consensus.latest_labels(sf_table(spark, sf_dir, "verdicts"))
+    decided = annotator_consensus.consensus(_verdict_votes(given), annotator_consensus.VERDICTS)
+    out = annotator_consensus.with_shortfall(decided, given)
+    return out.select(F.col("item").alias("atom_id"), F.col("label").alias("support_verdict"), F.col("shortfall").alias("shortfall_type"))
+
+
+def p5_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = annotator_consensus.latest_labels(sf_table(spark, sf_dir, "verdicts"))
+    return annotator_consensus.reliability(_verdict_votes(given), annotator_consensus.VERDICTS).withColumnRenamed("annotator", "judge_id")
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotator_consensus.agreement(_verdict_votes(annotator_consensus.latest_labels(sf_table(spark, sf_dir, "verdicts"))))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = sf_table(spark, sf_dir, "citations").groupBy(F.col("citation_id").alias("quote_id")).agg(F.max_by(F.struct("doc_id", "quote"), "loaded_at").alias("x"))
+    units = sf_table(spark, sf_dir, "candidate_units").groupBy(F.col("unit_id").alias("passage_id")).agg(F.max_by(F.struct("doc_id", "text"), "loaded_at").alias("x"))
+    found = look_alikes.same_to_the_eye(quotes.select("quote_id", F.col("x.doc_id").alias("key"), F.col("x.quote").alias("text")), units.select("passage_id", F.col("x.doc_id").alias("key"), F.col("x.text").alias("text")))
+    return found.select(F.col("passage_id").alias("unit_id"), F.col("quote_id").alias("citation_id"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_texts(sf_table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe.default_vocabulary())
 
@@ -38,6 +78,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_judges": p5_judges,
+    "p5_agreement": p5_agreement,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
