@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import annotator_consensus, byte_bpe, container_fill, look_alikes, natural_splits, reply_defects, sentences
+from citeloom.llm import annotator_consensus, byte_bpe, container_fill, look_alikes, natural_splits, reply_defects, sentences, stuffed_pages
 from citeloom.session import sf_table
 
 
@@ -75,6 +75,10 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.withColumnRenamed("item_id", "doc_id").withColumnRenamed("size", "n_tokens")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed_pages.stuffed_pages(sf_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
 }
 
 ORACLE_SQL: dict[str, str] = {}
