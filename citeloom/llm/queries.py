@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import annotator_consensus, byte_bpe, container_fill, look_alikes, natural_splits, reply_defects, sentences, stuffed_pages
+from citeloom.llm import annotator_consensus, byte_bpe, container_fill, look_alikes, natural_splits, reply_defects, sentences, shared_spans, stuffed_pages
 from citeloom.session import sf_table
 
 
+def _span_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for kind, table, key, text in (("citation", "citations", "citation_id", "quote"), ("unit", "candidate_units", "unit_id", "text"), ("lookup", "readset_lookups", "lookup_id", "evidence")):
+        one = sf_table(spark, sf_dir, table).groupBy(F.col(key).alias("rec_id")).agg(F.max_by(text, "loaded_at").alias("text"))
+        one = one.select(F.lit(kind).alias("rec_kind"), "rec_id", "text")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _least_span(spark: SparkSession, sf_dir: str) -> int:
+    limit = sf_table(spark, sf_dir, "size_limits").filter("item_kind = 'shared_span'").select("min_size").first()
+    return limit["min_size"] if limit else 150
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_spans(_span_records(spark, sf_dir), _least_span(spark, sf_dir))
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _span_records(spark, sf_dir)
+    return shared_spans.shared_shares(records, shared_spans.shared_spans(records, _least_span(spark, sf_dir)))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = sf_table(spark, sf_dir, "documents").select(F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), "text")
     claims = sf_table(spark, sf_dir, "claim_rows").groupBy(F.col("claim_id").alias("rec_id")).agg(F.max("text").alias("text"))
@@ -80,6 +103,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
