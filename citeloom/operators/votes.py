@@ -21,9 +21,13 @@ def clean_label(raw: Column, labels: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.when(plain == x.replace("_", ""), x) for x in labels])
 
 
+def _is(value: str, field: str | None = None):
+    return lambda x: (x[field] if field else x) == value
+
+
 def plurality(labels: Column) -> Column:
     """The one most frequent label of an array (nulls don't count), null if there is none or a tie."""
-    counts = F.array(*[F.struct(F.size(F.filter(labels, lambda x, v=v: x == v)).alias("n"), F.lit(v).alias("v")) for v in VERDICTS])
+    counts = F.array(*[F.struct(F.size(F.filter(labels, _is(v))).alias("n"), F.lit(v).alias("v")) for v in VERDICTS])
     most = F.array_max(F.transform(counts, lambda c: c["n"]))
     best = F.filter(counts, lambda c: (c["n"] == most) & (most > 0))
     return F.when(F.size(best) == 1, F.element_at(best, 1)["v"])
@@ -55,7 +59,7 @@ def adaptive_vote(items: DataFrame) -> DataFrame:
     out = out.withColumn("unanimous", F.when(complete, F.size(F.array_distinct(first)) == 1)).withColumn("no_majority", decided.isNull() & (F.size(given) > 0))
     bloc = F.filter(F.slice("rounds", F.lit(1), F.col("rounds_used").cast("int")), lambda r: r["verdict"] == F.col("verdict"))
     out = out.withColumn("bloc", bloc).withColumn("bloc_size", F.size("bloc").cast("bigint"))
-    types = F.array(*[F.struct(F.size(F.filter("bloc", lambda r, t=t: r["shortfall"] == t)).alias("n"), F.lit(-i).alias("rank"), F.lit(t).alias("t")) for i, t in enumerate(SHORTFALLS)])
+    types = F.array(*[F.struct(F.size(F.filter("bloc", _is(t, "shortfall"))).alias("n"), F.lit(-i).alias("rank"), F.lit(t).alias("t")) for i, t in enumerate(SHORTFALLS)])
     top = F.array_max(types)
     shortfall = F.when((F.col("verdict") != "fully_supported") & (top["n"] > 0), top["t"])
     return out.withColumn("shortfall", shortfall).select("item", "verdict", "rounds_used", "unanimous", "no_majority", "bloc_size", "shortfall")
