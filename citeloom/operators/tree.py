@@ -60,8 +60,8 @@ def numbered(units: DataFrame) -> DataFrame:
 
 
 def heading(level: Column, number: Column, title: Column) -> Column:
-    """``#`` up to six times, the number if there is one, and the title."""
-    return F.concat_ws(" ", F.repeat(F.lit("#"), F.least(level, F.lit(6))), number, title)
+    """``#`` up to six times, the number with a point if there is one, and the title."""
+    return F.concat_ws(" ", F.repeat(F.lit("#"), F.least(level, F.lit(6))), F.concat(number, F.lit(".")), title)
 
 
 def assemble(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -90,19 +90,48 @@ def resource_owners(nodes: DataFrame) -> DataFrame:
     return both.groupBy("guideline_id", "resource_id", "kind").agg(F.min_by("section_id", F.struct("ord", "section_id")).alias("primary_section"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ord", "section_id"))), lambda x: x["section_id"]), ",").alias("sections"))
 
 
-def section_kind(path: Column, title: Column, level: Column) -> Column:
-    """Type of a section by ordered rules over its title and depth."""
-    low = F.lower(title)
+def section_kind(section_id: Column, path: Column, has_children: Column, has_text: Column) -> Column:
+    """Type of a section, by ordered rules over its id and its place."""
     return (
-        F.when(level == 1, "root")
-        .when(F.rlike(low, F.lit("^(references|bibliography)")), "bibliography")
-        .when(F.rlike(low, F.lit("^(appendix|supplement)")), "appendix")
-        .when(F.rlike(low, F.lit("abstract")), "abstract")
+        F.when((F.size(path) == 0) | section_id.isin("frontmatter", "bodymatter", "backmatter"), "root")
+        .when(F.startswith(section_id, F.lit("bibliography")), "bibliography")
+        .when(F.startswith(section_id, F.lit("appendix")), "appendix")
+        .when(section_id.isin("affiliations", "article-information"), "metadata")
+        .when(F.startswith(section_id, F.lit("abs")), "abstract")
         .when(F.size(path) <= 2, "chapter")
+        .when(has_children & ~has_text, "container")
         .otherwise("subsection")
     )
 
 
+def nearest_parent(ids: DataFrame) -> DataFrame:
+    """(guideline_id, section_id, parent_id) of legacy ids (an s and runs of digits and letters): the longest prefix of runs that exists."""
+    runs = F.regexp_extract_all(F.expr("substring(section_id, 2)"), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    cut = ids.select("guideline_id", "section_id", runs.alias("runs")).filter(F.startswith("section_id", F.lit("s")) & (F.size("runs") > 1))
+    prefixes = cut.select("guideline_id", "section_id", "runs", F.explode(F.sequence(F.lit(1), F.size("runs") - 1)).alias("n"))
+    prefixes = prefixes.select("guideline_id", "section_id", "n", F.concat(F.lit("s"), F.array_join(F.slice("runs", F.lit(1), F.col("n")), "")).alias("parent_id"))
+    found = prefixes.join(ids.select("guideline_id", F.col("section_id").alias("parent_id")), ["guideline_id", "parent_id"], "left_semi")
+    best = found.groupBy("guideline_id", "section_id").agg(F.max_by("parent_id", "n").alias("parent_id"))
+    return ids.select("guideline_id", "section_id").join(best, list(KEY), "left")
+
+
+def shortened(text: Column, full: int) -> Column:
+    """The whole text within ``full`` characters, its head within twice that, else head and tail."""
+    return (
+        F.when(F.length(text) <= full, text)
+        .when(F.length(text) <= 2 * full, F.concat(F.left(text, F.lit(int(full * 0.95))), F.lit("\n\n[... content truncated for summary generation ...]")))
+        .otherwise(F.concat(F.left(text, F.lit(full // 2)), F.lit("\n\n[... middle content truncated ...]\n\n"), F.right(text, F.lit(full // 4))))
+    )
+
+
+def capped_summary(text: Column, most: int = 500, least: int = 400) -> Column:
+    """A summary without wrapping quotes; over ``most`` characters it is cut at the last space after ``least``, if there is one."""
+    clean = F.btrim(F.btrim(text), F.lit("\"' "))
+    head = F.left(clean, F.lit(most - 3))
+    word = F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)
+    return F.when(F.length(clean) <= most, clean).when(F.length(word) > least, F.concat(word, F.lit("…"))).otherwise(F.concat(head, F.lit("…")))
+
+
 def heading_number(heading_text: Column) -> Column:
     """(number, title) of a heading; a bare number of three digits or more is part of the title."""
     number = F.regexp_extract(heading_text, r"^(\d+(?:\.\d+)*)\.?\s+(.*)$", 1)

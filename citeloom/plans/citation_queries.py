@@ -226,6 +226,8 @@ ORACLE_SQL = {
     "marker_free_text": f"WITH a AS ({_A}) SELECT answer_id, length(answer)::BIGINT AS n_chars, length(regexp_replace(answer, '{_RE}', '', 'g'))::BIGINT AS n_plain, sha256(regexp_replace(answer, '{_RE}', '', 'g')) AS plain_digest FROM a",
     "line_units": f"WITH {_MARKS}, {_LINES} SELECT answer_id, sent_idx, start_pos, end_pos, text FROM s",
     "marker_line_attribution": f"WITH {_MARKS}, {_LINES}, {_PLACED} SELECT answer_id, marker_idx, sent_idx FROM pl",
+    "malformed_gate": f"""WITH {_MARKS}, b AS (SELECT p.answer_id, i, regexp_replace(array_to_string(chunks[1:i], ''), '[”"’'')*|\\]\\s]+$', '') AS own, regexp_replace(array_to_string(chunks[i+1:], ''), '^[ \\t,;]+', '') AS rest FROM (SELECT *, unnest(range(1, len(docs) + 1)) AS i FROM p) p), g AS (SELECT *, regexp_extract(own, '([A-Za-z][A-Za-z''/-]*)$', 1) AS last FROM b)
+SELECT answer_id, count(*)::BIGINT AS n_markers, count(*) FILTER (own <> '' AND NOT regexp_matches(own, '[.!?]$') AND ((regexp_matches(last, '^[a-z][a-z''/-]*$') AND last IN ({", ".join("'" + w + "'" for w in citations.OPEN_WORDS)})) OR own LIKE '%:') AND rest <> '' AND NOT regexp_matches(rest, '^[.!?\\r\\n]'))::BIGINT AS n_malformed FROM g GROUP BY 1""",
     "verbatim_tiers_plain": f"{_TIERS} SELECT citation_id, tier FROM t",
     "verbatim_compliance": f"{_TIERS} SELECT {_RATED} FROM (SELECT {_RATES} FROM t)",
     "verbatim_by_guideline": f"{_TIERS} SELECT {_RATED} FROM (SELECT guideline_id, {_RATES} FROM t GROUP BY 1)",
