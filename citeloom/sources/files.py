@@ -33,7 +33,7 @@ def write_tree(nodes: DataFrame, path: str) -> None:
 
 def read_section_texts(spark: SparkSession, path: str) -> DataFrame:
     """(section_id, text) of a folder of ``<section_id>.txt``."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return rows.select(F.regexp_replace("file", r"\.txt$", "").alias("section_id"), F.col("value").alias("text"))
 
 
@@ -48,7 +48,7 @@ def read_epubs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
     """(chapter, path, value) of saved pages named ``N. Title.html``."""
-    pages = spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+    pages = spark.read.text(path, wholetext=True, pathGlobFilter="*.html").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
     numbered = pages.withColumn("chapter", F.regexp_extract(F.regexp_replace("file", "%20", " "), r"^(\d+)\.\s", 1))
     return numbered.filter("chapter <> ''").select(F.col("chapter").cast("int").alias("chapter"), "path", "value")
 
