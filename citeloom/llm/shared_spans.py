@@ -2,14 +2,14 @@
 
 A run of ``least`` characters (a window) that stands in two records makes all its characters shared. Of each window the
 phrase of ``PHRASE`` characters with the smallest hash is its anchor, so equal windows have equal anchors wherever they
-stand. Phrases that are an anchor in two records are confirmed as recurring. They are compiled into Aho-Corasick
-automata of at most ``shard_phrases`` phrases each, and the texts are streamed through the automata that hold phrases of
-theirs, which finds every occurrence. The windows around the occurrences are compared by 128-bit hashes, and the shared
-ones are merged into maximal spans.
+stand. Phrases that are an anchor in two records are confirmed as recurring. The texts are dealt into shards by a hash;
+the confirmed phrases of a shard's texts, about ``shard_phrases``, are compiled into one Aho-Corasick automaton, and the
+shard's texts are streamed through it once, which finds every occurrence that can be an anchor there. The windows around
+the occurrences are compared over all shards by 128-bit hashes, and the shared ones are merged into maximal spans.
 
 Equal texts are one text with several records, shared as a whole. Texts shorter than a window, null and empty texts have
 no span; a record that is repeated is one record. Repetition inside one record is none. No group of records is gathered:
-phrases and windows are compared by aggregates, and an automaton's texts are split over as many tasks as they need.
+phrases and windows are compared by aggregates, and the shards grow in number, not in size.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def _phrases(batches, least):
 
 
 def _windows(batches, least):
-    """Windows whose anchor the automaton of their shard finds; rows come by shard and salt, phrases first."""
+    """Windows whose anchor the automaton of their shard finds; rows come by shard, phrases first."""
     import ahocorasick
     import pyarrow as pa
 
@@ -105,15 +105,17 @@ def _windows(batches, least):
     ready = False
     for batch in batches:
         parts: list[list[np.ndarray]] = [[] for _ in names]
-        for shard, salt, is_text, k, s, t in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            if (shard, salt) != group:
-                group, automaton, ready = (shard, salt), ahocorasick.Automaton(), False
+        for shard, is_text, k, s, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if shard != group:
+                group, automaton, ready = shard, ahocorasick.Automaton(), False
             if not is_text:
                 automaton.add_word(t, 0)
                 continue
             if not ready:
                 automaton.make_automaton()
                 ready = True
+            if not len(automaton):
+                continue
             at = np.array([end for end, _ in automaton.iter(t)], dtype=np.int64) - (PHRASE - 1)
             if not len(at):
                 continue
@@ -132,7 +134,7 @@ def _windows(batches, least):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names)
 
 
-def shared_spans(records: DataFrame, least: int, shard_phrases: int = 20_000, task_texts: int = 20_000) -> DataFrame:
+def shared_spans(records: DataFrame, least: int, shard_phrases: int = 20_000) -> DataFrame:
     """(rec_kind, rec_id, start_pos, end_pos) of the maximal shared spans of ``records`` (rec_kind, rec_id, text), one row per record."""
     if least < PHRASE:
         raise ValueError(f"spans of less than {PHRASE} characters are not supported")
@@ -142,15 +144,13 @@ def shared_spans(records: DataFrame, least: int, shard_phrases: int = 20_000, ta
     if texts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         raise ValueError("two different texts have one 64-bit key")
     phrases = materialise(texts.mapInArrow(lambda b: _phrases(b, least), "key bigint, several boolean, phrase string"), "span-phrases")
-    confirmed = phrases.groupBy("phrase").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("several").alias("several")).filter("a < b or several")
-    confirmed = materialise(confirmed.select("phrase"), "span-confirmed")
-    shards = max(1, -(-confirmed.count() // shard_phrases))
-    shard = F.pmod(F.xxhash64("phrase"), F.lit(shards).cast("bigint"))
-    routed = materialise(phrases.join(confirmed, "phrase").select("key", shard.alias("shard")).distinct(), "span-routes")
-    salts = max(1, -(-routed.count() // (shards * task_texts)))
-    dictionary = confirmed.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"), F.lit(False).alias("is_text"), F.lit(0).cast("bigint").alias("key"), F.lit(False).alias("several"), F.col("phrase").alias("text"))
-    stream = texts.join(routed, "key").select("shard", F.pmod(F.xxhash64("key"), F.lit(salts).cast("bigint")).alias("salt"), F.lit(True).alias("is_text"), "key", "several", "text")
-    ordered = dictionary.unionByName(stream).repartition(max(1, shards * salts), "shard", "salt").sortWithinPartitions("shard", "salt", "is_text")
+    confirmed = phrases.groupBy("phrase").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("several").alias("several")).filter("a < b or several").select("phrase")
+    held = materialise(phrases.join(confirmed, "phrase", "left_semi").select("key", "phrase"), "span-confirmed")
+    shards = max(1, -(-held.count() // shard_phrases))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards).cast("bigint"))
+    dictionary = held.select(shard.alias("shard"), "phrase").distinct().select("shard", F.lit(False).alias("is_text"), F.lit(0).cast("bigint").alias("key"), F.lit(False).alias("several"), F.col("phrase").alias("text"))
+    stream = texts.select(shard.alias("shard"), F.lit(True).alias("is_text"), "key", "several", "text")
+    ordered = dictionary.unionByName(stream).repartition(shards, "shard").sortWithinPartitions("shard", "is_text")
     windows = materialise(ordered.mapInArrow(lambda b: _windows(b, least), "key bigint, several boolean, pos bigint, w1 bigint, w2 bigint"), "span-windows")
     known = windows.groupBy("w1", "w2").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.max("several").alias("several")).filter("a < b or several").select("w1", "w2")
     shared = windows.filter("not several").join(known, ["w1", "w2"], "left_semi").select("key", "pos")

@@ -50,7 +50,7 @@ def test_against_brute_force(spark, seed):
             text = text[cut:] + text[:cut]
         records[("unit", i)] = text
     records |= {("citation", 1): None, ("citation", 2): "", ("lookup", 1): records[("unit", 3)], ("lookup", 2): records[("unit", 3)]}
-    assert run(spark, records, 70, shard_phrases=5, task_texts=7) == brute(records, 70)
+    assert run(spark, records, 70, shard_phrases=15) == brute(records, 70)
 
 
 def test_only_inside_one_record(spark):
