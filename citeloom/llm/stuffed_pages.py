@@ -27,22 +27,27 @@ _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]{2,}(?:[’'][^\W\d_
 _LINK = re.compile(r"<a\s[^>]*>.{0,300}?</a>|!?\[[^\]\n]{0,200}\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.DOTALL)
 _ADDRESS = re.compile(r"<[^<>]*>|\]\([^)\s]*\)|(?:https?://|www\.)\S+")
 _JOINED = re.compile(r"(?<=[^\W\d_A-ZА-ЯÀ-Þ])(?=[A-ZА-ЯÀ-Þ])")
-_SEPARATOR = re.compile(r"[|/·»«#;•★☆>]|\s[–—\-]\s")
+_SEPARATORS = ("|", "/", "·", "»", "«", "#", ";", "•", "★", "☆", " – ", " — ", " - ")
 FEATURES = "doc_id {kind}, language string, n_words int, repeated double, top double, lines double, separators double, links double"
 
 
 def page_words(text: str) -> list[str]:
     """Words in lower case, without addresses; words run together in a tag are taken apart."""
-    shown = _ADDRESS.sub(" ", text) if "/" in text or "<" in text else text
-    if "#" in shown:
-        shown = _JOINED.sub(" ", shown)
-    return _WORD.findall(shown.lower()) if "#" not in shown else [w.lower() for w in _WORD.findall(shown)]
+    return _words(_shown(text))
+
+
+def _shown(text: str) -> str:
+    return _ADDRESS.sub(" ", text) if "/" in text or "<" in text else text
+
+
+def _words(shown: str) -> list[str]:
+    return _WORD.findall((_JOINED.sub(" ", shown) if "#" in shown else shown).lower())
 
 
 def page_features(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float]:
     """(words, repeated share, top share, repeated-line share, separators per word, share of text in links)."""
-    words = page_words(text)
-    shown = _ADDRESS.sub(" ", text)
+    shown = _shown(text)
+    words = _words(shown)
     n = len(words)
     counts = Counter(words)
     for w in common & counts.keys():
@@ -52,7 +57,7 @@ def page_features(text: str, common: frozenset[str]) -> tuple[int, float, float,
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if "http" in text or "www" in text or "](" in text or "<a" in text else 0
     m = max(1, n)
-    return n, repeated / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), len(_SEPARATOR.findall(shown)) / m, links / max(1, len(text.strip()))
+    return n, repeated / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, links / max(1, len(text.strip()))
 
 
 def _language(column: str):
