@@ -258,7 +258,12 @@ def fit(rows: list[tuple[tuple, float, int]], rounds: int = 150, rate: float = 0
 
 def train(texts: DataFrame, sample_texts: int = 6000) -> np.ndarray:
     """Model fitted on at most ``sample_texts`` rows of (rec_id, text), chosen by a hash of the id."""
-    sample = texts.filter("text is not null").orderBy(F.xxhash64("rec_kind", "rec_id")).limit(sample_texts)
+    order = F.xxhash64("rec_kind", "rec_id")
+    known = texts.filter("text is not null")
+    # The range of hashes that holds about twice the sample, so that the ordering sees a bounded number of rows.
+    share = min(1.0, 2.0 * sample_texts / max(1, texts.select("rec_kind", "rec_id").count()))
+    near = known.filter(order < int(-(2**63) + share * (2**64 - 1))) if share < 1 else known
+    sample = near.orderBy(order).limit(sample_texts)
 
     def extract(frames):
         import pandas as pd
