@@ -12,7 +12,7 @@ usable label have no row; repeated rows of an (item, annotator, round) are one l
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.session import materialise
@@ -34,8 +34,8 @@ def latest_labels(verdicts: DataFrame) -> DataFrame:
     return keyed.groupBy("item", "annotator", "round").agg(F.max(F.struct("loaded_at", "verdict", "shortfall")).alias("x")).select("item", "annotator", "round", "x.verdict", "x.shortfall")
 
 
-def _posteriors(offsets, who, what, log_matrix, log_prior):
-    votes = log_matrix[who, :, what]
+def _posteriors(offsets, flat, n, k, log_matrix, log_prior):
+    votes = log_matrix[flat // k, :, flat % k] * n[:, None]
     out = np.tile(log_prior, (len(offsets) - 1, 1))
     np.add.at(out, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), votes)
     out -= out.max(axis=1, keepdims=True)
@@ -45,8 +45,8 @@ def _posteriors(offsets, who, what, log_matrix, log_prior):
 
 def _arrays(column):
     offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy()
-    return offsets - offsets[0], flat[offsets[0] : offsets[-1]]
+    v, n = (column.values.field(i).to_numpy()[offsets[0] : offsets[-1]] for i in (0, 1))
+    return offsets - offsets[0], v, n
 
 
 def estimate(votes: DataFrame, labels: tuple[str, ...], smoothing: float = 1.0, rounds: int = 40, tolerance: float = 1e-4, most_cells: int = 8_000_000) -> tuple[DataFrame, list[str], np.ndarray, np.ndarray]:
@@ -60,7 +60,9 @@ def estimate(votes: DataFrame, labels: tuple[str, ...], smoothing: float = 1.0,
         raise ValueError("more annotators than the model bound allows; raise most_cells")
     codes = spark.createDataFrame([(a, i) for i, a in enumerate(annotators)], "annotator string, a int")
     coded = votes.join(codes, "annotator").withColumn("v", F.col("a") * k + sum((F.when(F.col("label") == x, i).otherwise(0) for i, x in enumerate(labels)), F.lit(0)))
-    items = materialise(coded.groupBy("item").agg(F.array_sort(F.collect_list("v")).alias("votes")), "consensus-items")
+    # Votes of one item that agree are one entry with a count, so that an item's list is bounded by the model and not by its rows.
+    counted = coded.groupBy("item", "v").agg(F.count(F.lit(1)).alias("n"))
+    items = materialise(counted.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("votes")), "consensus-items")
     many = len(annotators)
     matrix, prior = np.full((many, k, k), 0.3 / max(1, k - 1)) + np.eye(k) * (0.7 - 0.3 / max(1, k - 1)), np.full(k, 1 / k)
     towards = smoothing * (np.eye(k) * (k - 1) + 1) / k
@@ -73,9 +75,9 @@ def estimate(votes: DataFrame, labels: tuple[str, ...], smoothing: float = 1.0,
             total = np.zeros((many * k, k))
             weight = np.zeros(k)
             for batch in batches:
-                offsets, flat = _arrays(batch.column(0))
-                p = _posteriors(offsets, flat // k, flat % k, log_matrix, log_prior)
-                np.add.at(total, flat, np.repeat(p, np.diff(offsets), axis=0))
+                offsets, flat, n = _arrays(batch.column(0))
+                p = _posteriors(offsets, flat, n, k, log_matrix, log_prior)
+                np.add.at(total, flat, np.repeat(p, np.diff(offsets), axis=0) * n[:, None])
                 weight += p.sum(axis=0)
             used = np.flatnonzero(total.any(axis=1))
             rows = np.concatenate([used, [-1]])
@@ -109,12 +111,14 @@ def consensus(votes: DataFrame, labels: tuple[str, ...], **options) -> DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            offsets, flat = _arrays(batch.column(1))
-            p = _posteriors(offsets, flat // k, flat % k, log_matrix, log_prior)
+            offsets, flat, n = _arrays(batch.column(1))
+            p = _posteriors(offsets, flat, n, k, log_matrix, log_prior)
             best = p.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([labels[b] for b in best], pa.string()), pa.array(p[np.arange(len(best)), best]), pa.array(np.diff(offsets).astype(np.int32))], ["item", "label", "posterior", "n_votes"])
+            given = np.zeros(len(best), dtype=np.int64)
+            np.add.at(given, np.repeat(np.arange(len(best)), np.diff(offsets)), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([labels[b] for b in best], pa.string()), pa.array(p[np.arange(len(best)), best]), pa.array(given)], ["item", "label", "posterior", "n_votes"])
 
-    return items.select("item", "votes").mapInArrow(decide, f"item {kind}, label string, posterior double, n_votes int")
+    return items.select("item", "votes").mapInArrow(decide, f"item {kind}, label string, posterior double, n_votes bigint")
 
 
 def reliability(votes: DataFrame, labels: tuple[str, ...], **options) -> DataFrame:

@@ -56,16 +56,16 @@ def canonical_values(texts: DataFrame, column: str) -> DataFrame:
     found = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(r"(?s)\X"), F.lit(0)))).alias("value")).distinct()
     empty = texts.sparkSession.createDataFrame([("",)], "value string")
     values = found.unionByName(empty).mapInPandas(mapped, "value string, mapped string")
-    values.createOrReplaceTempView("citeloom_clusters")
     return texts.sparkSession.sql(
         """
         WITH classes AS (
           SELECT collate(mapped, 'UNICODE') AS class, min(struct(length(mapped) AS n, mapped AS member)).member AS canonical
-          FROM citeloom_clusters GROUP BY collate(mapped, 'UNICODE')
+          FROM {clusters} GROUP BY collate(mapped, 'UNICODE')
         )
-        SELECT c.value, k.canonical FROM citeloom_clusters c JOIN classes k ON collate(c.mapped, 'UNICODE') = k.class
+        SELECT c.value, k.canonical FROM {clusters} c JOIN classes k ON collate(c.mapped, 'UNICODE') = k.class
         WHERE c.value <> k.canonical
-        """
+        """,
+        clusters=values,
     )
 
 
