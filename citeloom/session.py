@@ -46,6 +46,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it; a cluster without that path ships it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, root) if x)
+
+
 def sf_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    let_workers_import(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
