@@ -6,11 +6,12 @@ Two things are calibrated for each language over all its pages: the common words
 ``common_share`` of the pages) and the share of repeated words that is usual. A language with fewer than ``least_pages``
 pages has no usual share of its own and needs strong evidence.
 
-A page is a case if much of its text is links (``link_share``), if its repeated words make up ``most_repeated`` of it, or
-if they pass the threshold of its language and a top word, separators or repeated lines confirm it. Reference lists and tables of contents repeat many
-words a little and none much. Null, empty and blank texts are no case; rows that repeat an id count once; a copy under
-another id is judged like its original. The common words held by each task number at most some hundreds for each
-language that has a thousandth of the pages.
+A page is a case if much of its text is links (``link_share``), if its words repeated three times make up
+``most_repeated`` of it or those repeated at all ``most_twice``, or if they pass the threshold of its language and a top
+word, separators or repeated lines confirm it. Reference lists and tables of contents repeat many words a little and none
+much. Null, empty and blank texts are no case; rows that repeat an id count once; a copy under another id is judged like
+its original. The common words held by each task number at most some hundreds for each language that has a thousandth of
+the pages.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ _LINK = re.compile(r"<a\s[^>]*>.{0,300}?</a>|!?\[[^\]\n]{0,200}\]\([^)\s]*\)|(?:
 _ADDRESS = re.compile(r"<[^<>]*>|\]\([^)\s]*\)|(?:https?://|www\.)\S+")
 _JOINED = re.compile(r"(?<=[^\W\d_A-ZА-ЯÀ-Þ])(?=[A-ZА-ЯÀ-Þ])")
 _SEPARATORS = ("|", "/", "·", "»", "«", "#", ";", "•", "★", "☆", " – ", " — ", " - ")
-FEATURES = "doc_id {kind}, language string, n_words int, repeated double, top double, lines double, separators double, links double"
+FEATURES = "doc_id {kind}, language string, n_words int, repeated double, twice double, top double, lines double, separators double, links double"
 
 
 def page_words(text: str) -> list[str]:
@@ -44,20 +45,20 @@ def _words(shown: str) -> list[str]:
     return _WORD.findall((_JOINED.sub(" ", shown) if "#" in shown else shown).lower())
 
 
-def page_features(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float]:
-    """(words, repeated share, top share, repeated-line share, separators per word, share of text in links)."""
+def page_features(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float, float]:
+    """(words, share repeated three times or more, share repeated at all, top share, repeated-line share, separators per word, share of text in links)."""
     shown = _shown(text)
     words = _words(shown)
     n = len(words)
     counts = Counter(words)
     for w in common & counts.keys():
         del counts[w]
-    repeated = sum(k for k in counts.values() if k >= 3)
+    repeated, twice = (sum(k for k in counts.values() if k >= least) for least in (3, 2))
     top = max(counts.values(), default=0)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if "http" in text or "www" in text or "](" in text or "<a" in text else 0
     m = max(1, n)
-    return n, repeated / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, links / max(1, len(text.strip()))
+    return n, repeated / m, twice / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, links / max(1, len(text.strip()))
 
 
 def _language(column: str):
@@ -87,7 +88,7 @@ def common_words(pages: DataFrame, common_share: float, least_pages: int) -> fro
     return frozenset(r["word"] for r in found.collect())
 
 
-def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages: int = 20, link_share: float = 0.4, least_repeated: float = 0.25, most_repeated: float = 0.45, top_share: float = 0.13) -> DataFrame:
+def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages: int = 20, link_share: float = 0.4, least_repeated: float = 0.25, most_repeated: float = 0.45, top_share: float = 0.13, most_twice: float = 0.6) -> DataFrame:
     """(doc_id) of the pages made of keywords, links or tags; ``documents`` has doc_id, text and lang."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     pages = documents.select("doc_id", "text", _language("lang").alias("language")).filter(F.length(F.trim("text")) > 0)
@@ -98,7 +99,7 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages:
 
         for pdf in frames:
             rows = [(i, language, *page_features(text, common)) for i, language, text in zip(pdf["doc_id"], pdf["language"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "language", "n_words", "repeated", "top", "lines", "separators", "links"])
+            yield pd.DataFrame(rows, columns=["doc_id", "language", "n_words", "repeated", "twice", "top", "lines", "separators", "links"])
 
     features = materialise(pages.mapInPandas(measure, FEATURES.format(kind=kind)), "page-features")
     usual = features.filter("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("pages"), F.percentile_approx("repeated", F.lit(0.5), F.lit(1000)).alias("half"), F.percentile_approx("repeated", F.lit(0.75), F.lit(1000)).alias("most"))
@@ -106,5 +107,5 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages:
     limits = usual.filter(F.col("pages") >= least_pages).select("language", limit.alias("limit"))
     judged = features.join(limits, "language", "left").withColumn("limit", F.coalesce("limit", F.when(F.col("language").isNull(), F.lit(least_repeated)).otherwise(F.lit(most_repeated))))
     confirmed = (F.col("top") >= top_share) | (F.col("lines") >= 0.4) | (F.col("separators") >= 0.2) & (F.col("repeated") >= 0.9 * most_repeated)
-    stuffed = ((F.col("repeated") >= most_repeated) | (F.col("repeated") >= F.col("limit")) & confirmed) & (F.col("n_words") >= 8)
+    stuffed = ((F.col("repeated") >= most_repeated) | (F.col("twice") >= most_twice) | (F.col("repeated") >= F.col("limit")) & confirmed) & (F.col("n_words") >= 8)
     return judged.filter((F.col("links") >= link_share) | stuffed).select("doc_id").distinct()
