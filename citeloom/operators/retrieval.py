@@ -62,8 +62,8 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int, stemmed: bool = T
         def score(frames, rows=rows, columns=columns, asked=asked, place=place, w=w):
             if not len(asked):
                 return
-            q = np.zeros((len(place), len(asked)))
-            q[columns, rows] = w
+            q, has = np.zeros((len(place), len(asked))), np.zeros((len(place), len(asked)), dtype=np.float32)
+            q[columns, rows], has[columns, rows] = w, 1
             for pdf in frames:
                 for at in range(0, len(pdf), 1000):
                     ids, lists = pdf["doc_id"].to_numpy()[at : at + 1000], pdf["terms"].iloc[at : at + 1000]
@@ -74,10 +74,11 @@ def bm25_top(queries: DataFrame, documents: DataFrame, k: int, stemmed: bool = T
                             if j is not None:
                                 d[i, j] += 1
                     size = np.array([len(ts) for ts in lists])[:, None]
+                    shared = (d > 0).astype(np.float32) @ has > 0
                     d = d * (K1 + 1) / (d + K1 * (1 - B + B * size / avgdl))
-                    s = np.round(d @ q, 6)
+                    s = np.where(shared, np.round(d @ q, 6), -np.inf)
                     bar = np.partition(s, -k, axis=0)[-k] if len(ids) > k else np.full(len(asked), -np.inf)
-                    doc, query = np.nonzero((s >= bar) & (s > 0))
+                    doc, query = np.nonzero((s >= bar) & shared)
                     yield pd.DataFrame({"query_id": asked[query], "doc_id": ids[doc], "score": s[doc, query]})
 
         one = docs.mapInPandas(score, schema)
