@@ -1,10 +1,12 @@
 """Keyword-stuffed pages and link lists.
 
-A page is judged by its shares: of the words that the pages of its language do not have in common and that it repeats
-(keywords instead of function words), of its top such word, of repeated lines, of separators, and of text inside links.
-Two things are calibrated for each language over all its pages: the common words (those that stand in at least
-``common_share`` of the pages) and the share of repeated words that is usual. A language with fewer than ``least_pages``
-pages has no usual share of its own and needs strong evidence.
+A page is judged by its shares: of the words it repeats (keywords instead of function words), of its top such word, of
+repeated lines, of separators, and of text inside links. Two things are calibrated for each language: the usual share of
+its common words (those that stand in at least ``common_share`` of its pages) and the share of repeated words that is
+usual. Both are taken over distinct texts of varied wording, so neither copies nor stuffed pages move them. A common word
+is not deleted: it counts like any other word in a page of little variety where its share is beyond the usual one. The
+common words that hold for a page are those of its language tag and of the languages its own words show. A language with
+fewer than ``least_pages`` pages has no usual share of its own and needs strong evidence.
 
 A page is a case if much of its text is links (``link_share``), if its words repeated three times make up
 ``most_repeated`` of it or those repeated at all ``most_twice``, or if they pass the threshold of its language and a top
@@ -16,8 +18,10 @@ the pages.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +33,9 @@ _LINK = re.compile(r"<a\s[^>]*>.{0,300}?</a>|!?\[[^\]\n]{0,200}\]\([^)\s]*\)|(?:
 _ADDRESS = re.compile(r"<[^<>]*>|\]\([^)\s]*\)|(?:https?://|www\.)\S+")
 _JOINED = re.compile(r"(?<=[^\W\d_A-ZА-ЯÀ-Þ])(?=[A-ZА-ЯÀ-Þ])")
 _SEPARATORS = ("|", "/", "·", "»", "«", "#", ";", "•", "★", "☆", " – ", " — ", " - ")
-FEATURES = "doc_id {kind}, language string, n_words int, repeated double, twice double, top double, lines double, separators double, links double"
+FEATURES = "doc_id {kind}, language string, digest string, n_words int, repeated double, twice double, top double, lines double, separators double, links double, variety double"
+#: Words of a block whose variety is measured, the variety of ordinary wording, the deviations and the most that is usual of a common word.
+BLOCK, PLAIN, DEVIATIONS, MOST_USUAL = 50, 0.6, 5.0, 0.25
 
 
 def page_words(text: str) -> list[str]:
@@ -45,20 +51,41 @@ def _words(shown: str) -> list[str]:
     return _WORD.findall((_JOINED.sub(" ", shown) if "#" in shown else shown).lower())
 
 
-def page_features(text: str, common: frozenset[str]) -> tuple[int, float, float, float, float, float, float]:
-    """(words, share repeated three times or more, share repeated at all, top share, repeated-line share, separators per word, share of text in links)."""
+def _link_share(text: str) -> float:
+    links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if "http" in text or "www" in text or "](" in text or "<a" in text else 0
+    return links / max(1, len(text.strip()))
+
+
+def variety(words: list[str]) -> float:
+    """The share of different words, as the mean over whole blocks of ``BLOCK`` words, so that long pages compare with short ones."""
+    if len(words) <= BLOCK:
+        return len(set(words)) / max(1, len(words))
+    starts = range(0, len(words) - BLOCK + 1, BLOCK)
+    return sum(len(set(words[i : i + BLOCK])) for i in starts) / (BLOCK * len(starts))
+
+
+def page_features(text: str, usual: Mapping[str, float] | Iterable[str]) -> tuple[int, float, float, float, float, float, float, float]:
+    """(words, share repeated three times or more, share repeated at all, top share, repeated-line share, separators per word, share of text in links, variety).
+
+    ``usual`` gives the share up to which a common word is no keyword; words without one (a mere set) never are.
+    """
     shown = _shown(text)
     words = _words(shown)
+    return _features(text, shown, words, usual if isinstance(usual, Mapping) else dict.fromkeys(usual, 1.0))
+
+
+def _features(text: str, shown: str, words: list[str], usual: Mapping[str, float]) -> tuple[int, float, float, float, float, float, float, float]:
     n = len(words)
     counts = Counter(words)
-    for w in common & counts.keys():
-        del counts[w]
+    varied = variety(words)
+    for w in usual.keys() & counts.keys():
+        if varied >= PLAIN or counts[w] <= usual[w] * n + 1:
+            del counts[w]
     repeated, twice = (sum(k for k in counts.values() if k >= least) for least in (3, 2))
     top = max(counts.values(), default=0)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    links = sum(m.end() - m.start() for m in _LINK.finditer(text)) if "http" in text or "www" in text or "](" in text or "<a" in text else 0
     m = max(1, n)
-    return n, repeated / m, twice / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, links / max(1, len(text.strip()))
+    return n, repeated / m, twice / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, _link_share(text), varied
 
 
 def _language(column: str):
@@ -67,42 +94,80 @@ def _language(column: str):
     return F.when(~base.isin("", "und", "mul", "zxx"), base)
 
 
-def common_words(pages: DataFrame, common_share: float, least_pages: int) -> frozenset[str]:
-    """The words that the pages of any calibrated language have in common."""
+def usual_shares(pages: DataFrame, common_share: float, least_pages: int, link_share: float) -> dict[str, dict[str, float]]:
+    """For each calibrated language the words its pages have in common, with the share of a page that is usual for each.
+
+    Only distinct texts of varied wording count, so that copies and stuffed pages make no word common.
+    """
 
     def count(frames):
         import pandas as pd
 
         for pdf in frames:
-            seen: Counter = Counter()
+            seen: dict = defaultdict(lambda: [0, 0.0, 0.0])
             for language, text in zip(pdf["language"], pdf["text"]):
-                seen.update((language, w) for w in set(page_words(text)))
-                seen[language, ""] += 1
-            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["language", "word", "n"])
-
-    per = pages.filter("language is not null").select("language", "text").mapInPandas(count, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+                words = page_words(text)
+                if variety(words) < PLAIN or _link_share(text) >= link_share:
+                    continue
+                seen[language, ""][0] += 1
+                for w, k in Counter(words).items():
+                    one, share = seen[language, w], k / len(words)
+                    one[0] += 1
+                    one[1] += share
+                    one[2] += share * share
+            yield pd.DataFrame([(a, b, *x) for (a, b), x in seen.items()], columns=["language", "word", "n", "total", "squares"])
+
+    texts = pages.filter("language is not null").groupBy("language", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("language", "text")
+    per = texts.mapInPandas(count, "language string, word string, n bigint, total double, squares double").groupBy("language", "word").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
     per = materialise(per.filter(F.col("n") >= F.lit(common_share * least_pages)), "page-words")
     languages = per.filter("word = ''").select("language", F.col("n").alias("pages"))
     enough = languages.join(F.broadcast(languages.agg(F.greatest(F.lit(least_pages), F.sum("pages") * 0.001).alias("least"))), F.col("pages") >= F.col("least")).select("language", "pages")
-    found = per.filter("word <> ''").join(F.broadcast(enough), "language").filter(F.col("n") >= F.col("pages") * common_share).select("word").distinct()
-    return frozenset(r["word"] for r in found.collect())
+    found = per.filter("word <> ''").join(F.broadcast(enough), "language").filter(F.col("n") >= F.col("pages") * common_share)
+    out: dict[str, dict[str, float]] = defaultdict(dict)
+    for r in found.select("language", "word", "n", "total", "squares").collect():
+        mean = r["total"] / r["n"]
+        out[r["language"]][r["word"]] = min(MOST_USUAL, mean + DEVIATIONS * math.sqrt(max(0.0, r["squares"] / r["n"] - mean * mean)))
+    return dict(out)
+
+
+def by_word(usual: Mapping[str, Mapping[str, float]]) -> dict[str, tuple[tuple[str, float], ...]]:
+    """The same shares by word, as (language, share) pairs."""
+    out: dict[str, tuple[tuple[str, float], ...]] = {}
+    for language, shares in usual.items():
+        for w, share in shares.items():
+            out[w] = (*out.get(w, ()), (language, share))
+    return out
+
+
+def page_usual(words: list[str], tag: str | None, known: Mapping[str, tuple[tuple[str, float], ...]]) -> dict[str, float]:
+    """The usual shares that hold for a page: of its tag, and of the languages that have at least half as many of its different words as the best."""
+    pairs = [(w, known[w]) for w in set(words) if w in known]
+    score = Counter(language for _, x in pairs for language, _ in x)
+    best = max(score.values(), default=0)
+    held = {language for language, n in score.items() if 2 * n >= best or language == tag}
+    return {w: max(share for language, share in x if language in held) for w, x in pairs if any(language in held for language, _ in x)}
 
 
 def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages: int = 20, link_share: float = 0.4, least_repeated: float = 0.25, most_repeated: float = 0.45, top_share: float = 0.13, most_twice: float = 0.6) -> DataFrame:
     """(doc_id) of the pages made of keywords, links or tags; ``documents`` has doc_id, text and lang."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     pages = documents.select("doc_id", "text", _language("lang").alias("language")).filter(F.length(F.trim("text")) > 0)
-    common = common_words(pages, common_share, least_pages)
+    known = by_word(usual_shares(pages, common_share, least_pages, link_share))
 
     def measure(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = [(i, language, *page_features(text, common)) for i, language, text in zip(pdf["doc_id"], pdf["language"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=["doc_id", "language", "n_words", "repeated", "twice", "top", "lines", "separators", "links"])
-
-    features = materialise(pages.mapInPandas(measure, FEATURES.format(kind=kind)), "page-features")
-    usual = features.filter("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("pages"), F.percentile_approx("repeated", F.lit(0.5), F.lit(1000)).alias("half"), F.percentile_approx("repeated", F.lit(0.75), F.lit(1000)).alias("most"))
+            rows = []
+            for i, language, digest, text in zip(pdf["doc_id"], pdf["language"], pdf["digest"], pdf["text"]):
+                shown = _shown(text)
+                words = _words(shown)
+                rows.append((i, language, digest, *_features(text, shown, words, page_usual(words, language, known))))
+            yield pd.DataFrame(rows, columns=["doc_id", "language", "digest", "n_words", "repeated", "twice", "top", "lines", "separators", "links", "variety"])
+
+    features = materialise(pages.withColumn("digest", F.md5("text")).mapInPandas(measure, FEATURES.format(kind=kind)), "page-features")
+    plain = features.filter(F.col("language").isNotNull() & (F.col("variety") >= PLAIN)).dropDuplicates(["language", "digest"])
+    usual = plain.groupBy("language").agg(F.count(F.lit(1)).alias("pages"), F.percentile_approx("repeated", F.lit(0.5), F.lit(1000)).alias("half"), F.percentile_approx("repeated", F.lit(0.75), F.lit(1000)).alias("most"))
     limit = F.least(F.lit(most_repeated), F.greatest(F.lit(least_repeated), F.col("most") + 3 * (F.col("most") - F.col("half"))))
     limits = usual.filter(F.col("pages") >= least_pages).select("language", limit.alias("limit"))
     judged = features.join(limits, "language", "left").withColumn("limit", F.coalesce("limit", F.when(F.col("language").isNull(), F.lit(least_repeated)).otherwise(F.lit(most_repeated))))
