@@ -198,7 +198,12 @@ def _bands(text: str) -> list[int]:
 
 
 def cluster_openings(openings: DataFrame) -> DataFrame:
-    """(opening, cluster): each distinct opening with the smallest one that shares a band with it and is confirmed."""
+    """(opening, cluster): each distinct opening with the smallest one of its connected component of confirmed pairs.
+
+    In each bucket of a band an opening is compared with the earlier ones until it is linked to each part that has one like
+    it, so no link between parts is missed and a bucket of near-equal openings takes one comparison each; a task holds the
+    shingles of one bucket.
+    """
 
     def band_rows(frames):
         import pandas as pd
@@ -210,16 +215,45 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
     def confirm(frames):
         import pandas as pd
 
+        band, parts = None, []
         for pdf in frames:
-            keep = []
-            for o, h in zip(pdf["opening"], pdf["hub"]):
-                x, y = shingles(o), shingles(h)
-                keep.append(o == h or len(x & y) >= SIMILARITY * len(x | y))
-            yield pd.DataFrame({"opening": pdf["opening"][keep], "hub": pdf["hub"][keep]})
-
-    bands = openings.select("opening").distinct().mapInPandas(band_rows, "opening string, band bigint")
-    hubs = bands.groupBy("band").agg(F.min("opening").alias("hub"))
-    return bands.join(hubs, "band").select("opening", "hub").distinct().mapInPandas(confirm, "opening string, hub string").groupBy("opening").agg(F.min("hub").alias("cluster"))
+            links = []
+            for o, x in zip(pdf["opening"], pdf["band"]):
+                if x != band:
+                    band, parts = x, []
+                own = shingles(o)
+                near, far = [(o, own)], []
+                for part in parts:
+                    hub = next((h for h, theirs in part if SIMILARITY * max(len(own), len(theirs)) <= min(len(own), len(theirs)) and len(own & theirs) >= SIMILARITY * len(own | theirs)), None)
+                    if hub is None:
+                        far.append(part)
+                    else:
+                        links.append((o, hub))
+                        part.extend(near)
+                        near = part
+                parts = [*far, near]
+            yield pd.DataFrame(links, columns=["opening", "hub"])
+
+    one = openings.select("opening").distinct()
+    bands = one.mapInPandas(band_rows, "opening string, band bigint")
+    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    near = bands.join(buckets, "band").repartition("band").sortWithinPartitions("band", "opening")
+    links = near.mapInPandas(confirm, "opening string, hub string").distinct()
+    return one.join(_components(links), "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(opening, cluster) of all linked openings: the smallest of the component, by steps to the least neighbour and its label."""
+    ends = materialise(links.select("opening", "hub").unionByName(links.select(F.col("hub").alias("opening"), F.col("opening").alias("hub"))).distinct(), "reply-links")
+    labels = materialise(ends.groupBy("opening").agg(F.least(F.col("opening"), F.min("hub")).alias("cluster")), "reply-labels")
+    while True:
+        known = labels.select(F.col("opening").alias("hub"), F.col("cluster").alias("theirs"))
+        near = ends.join(known, "hub").groupBy("opening").agg(F.min("theirs").alias("theirs"))
+        least = labels.join(near, "opening").select("opening", F.col("cluster").alias("before"), F.least("cluster", "theirs").alias("hub"))
+        step = materialise(least.join(known, "hub").select("opening", "before", F.least("hub", "theirs").alias("cluster")), "reply-labels")
+        labels = step.select("opening", "cluster")
+        if step.filter("before <> cluster").isEmpty():
+            return labels
 
 
 def reply_defects(answers: DataFrame, least_prompts: int = 3, least_share: float = 0.0003) -> DataFrame:

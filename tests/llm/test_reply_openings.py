@@ -17,3 +17,18 @@ def test_short_names_of_the_prompt_are_masked():
     assert len({d.opening(said.format(x), f"Which dose of {x} is safe?") for x in ("zolan", "abc", "abc bix", "mirlubexa")}) == 1
     assert d.opening(said.format("zolan"), "Is the zolan safe?") == d.opening(said.format("abc"), "What of abc?")
     assert d.opening("我无法回答关于高血压病的问题。", "高血压病如何治疗？") == d.opening("我无法回答关于糖尿病的问题。", "糖尿病如何治疗？")
+
+
+def test_members_that_fail_against_one_hub_still_cluster(spark):
+    # Neighbours share 0.8 or more, the ends do not; the smallest opening of a bucket is none of their kind.
+    chain = [" ".join(LONG[:k] + [f"{w}x" for w in LONG[k:]]) for k in (50, 49, 48, 47, 46, 45, 44, 43, 42, 41, 40, 39, 38)]
+    df = spark.createDataFrame([(x,) for x in [*chain, "aaa " + " ".join(LONG[20:40])]], "opening string")
+    got = {r["opening"]: r["cluster"] for r in d.cluster_openings(df).collect()}
+    assert {got[x] for x in chain} == {min(chain)} and len(got) == len(chain) + 1
+
+
+def test_components_run_to_the_end(spark):
+    n = 40
+    links = spark.createDataFrame([(f"{i + 1:03d}", f"{i:03d}") for i in range(n)] + [("y", "x")], "opening string, hub string")
+    got = {r["opening"]: r["cluster"] for r in d._components(links).collect()}
+    assert got == {f"{i:03d}": "000" for i in range(n + 1)} | {"x": "x", "y": "x"}
