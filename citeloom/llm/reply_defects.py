@@ -2,10 +2,12 @@
 
 Copy, language and termination are read from the pair itself. Refusals are found by their templates: the openings of all
 responses, with the words of their own prompt and all numbers masked, are clustered by MinHash over shingles of five
-words, and each pair of a cluster is confirmed by its Jaccard similarity of 0.8 or more. An opening that recurs across
-unrelated prompts marks a refusal where the responses that share it carry nothing but words: no citation and no figure
-that the prompt did not have. A template that mostly goes on to an answer is none, and a response whose opening recurs
-nowhere is judged by its own content.
+words, and each pair of a cluster is confirmed by its Jaccard similarity of 0.8 or more. A cluster that recurs across
+unrelated prompts and most of whose members answer nothing is a refusal template: all its members are refusals, whatever
+figures, citations or length they have. A member answers nothing if it is thin (no citation, no figure that the prompt
+did not have, not long) or if it uses the wording of a refusal with no citation and one figure at most. A cluster that
+recurs and mostly answers is none. A thin response whose opening does not recur is a refusal only if it uses the wording of
+a refusal.
 
 The first of these that holds is the defect: empty, question_copy, refusal, truncated, other_language. A null response
 is empty; a null prompt leaves only the checks that need none; rows that repeat an answer id are one record (the largest
@@ -46,6 +48,17 @@ COMMON = {
     "es": "el la los las de del y es en para con una un que por se al debe puede no si ha cuándo tras qué qué más su como cuando",
 }
 
+#: The wording of refusals; it tells only where templates cannot, and never makes a case of a reply that gives more.
+_DECLINING = re.compile(
+    r"\b(?:sorry|unfortunately|unable to|i (?:cannot|can't|could not|couldn't|won't|will not|must decline|do not|don't|was not able|am not able)|not able to (?:help|answer)|decline to|(?:outside|beyond) (?:what i|my|the scope)|my role does not|not something i|"
+    r"none of the (?:passages|sections|sources|documents)|nothing (?:was )?(?:found|retrieved)|no (?:relevant )?(?:information|guidance|passages?|sections?|results?) (?:\S+ ){0,6}(?:found|retrieved|available)|matter for your|would rather (?:leave|not)|(?:has|have) to be settled (?:with|by)|as a language model|"
+    r"(?:kann|darf|möchte|finde|fand|antworte) ich (?:\S+ ){0,6}(?:nicht|nichts|keine)|muss ich (?:\S+ ){0,8}ablehnen|ich (?:kann|konnte|habe|darf) (?:\S+ ){0,8}(?:nicht|nichts|keine)|tut mir leid|leider|"
+    r"désolé|malheureusement|je ne (?:peux|puis|suis)|je n'ai (?:rien|pas)|aucun(?:e)? (?:passage|information|section|recommandation)|"
+    r"lo siento|lamentablemente|no (?:puedo|encontré|he encontrado|se encontró)|ningún pasaje|ninguna (?:sección|información))(?!\w)"
+    r"|很遗憾|抱歉|无法(?:回答|提供|讨论|就)|不能(?:回答|提供)|没有找到|未(?:能)?找到|申し訳|お答えでき|回答でき|見つかりません|見つけられ|к сожалению|не могу|не (?:удалось )?наш|извините|عذر|آسف|لا أستطيع|لم أجد|क्षमा|खेद|नहीं मिल|उत्तर नहीं|ขออภัย|เสียใจ|ไม่สามารถ|ไม่พบ",
+    re.IGNORECASE,
+)
+
 
 def _clean(text: str) -> str:
     return _INVISIBLE.sub("", _TAG.sub(" ", _CITED.sub(" ", text)))
@@ -161,16 +174,26 @@ def is_thin(text: str, prompt: str | None) -> bool:
     if "{{cite:" in text:
         return False
     said, asked = words(_clean(text)), set(words(prompt or ""))
-    return 0 < len(said) <= 80 and not any(any(c.isdigit() for c in w) and w not in asked for w in said)
+    # Characters of scripts without spaces count as 0.4 words.
+    size = len(said) if len(said) <= 80 else len(said) - 0.6 * sum(_NO_SPACES.fullmatch(w) is not None for w in said)
+    return 0 < size <= 80 and not any(any(c.isdigit() for c in w) and w not in asked for w in said)
+
+
+def declines(text: str) -> bool:
+    """The wording of a refusal, with no citation and one figure at most."""
+    if "{{cite:" in text:
+        return False
+    shown = _clean(text)
+    return len(set(re.findall(r"\d+(?:[.,]\d+)*", shown))) <= 1 and bool(_DECLINING.search(shown.replace("’", "'")))
 
 
 def opening(text: str, prompt: str | None) -> str:
     """The first words, with the prompt's words and names and all numbers masked; function words stand as they are."""
     asked = set(words(prompt or "")) - _FUNCTION_WORDS
     said = words(_clean(text))[:OPENING_WORDS]
-    masked = [w in asked and not _NO_SPACES.fullmatch(w) for w in said]
+    masked = [w in asked and not (len(w) == 1 and _NO_SPACES.match(w)) for w in said]
     # Scripts without spaces have a word a character: three in a row that the prompt has are a word of it.
-    if prompt and any(map(_NO_SPACES.fullmatch, said)):
+    if prompt and _NO_SPACES.search(prompt) and _NO_SPACES.search(" ".join(said)):
         low = prompt.lower()
         for i in range(len(said) - 2):
             if all(map(_NO_SPACES.fullmatch, said[i : i + 3])) and "".join(said[i : i + 3]) in low:
@@ -188,12 +211,20 @@ def shingles(text: str) -> set[int]:
     return {zlib.crc32(" ".join(w[i : i + SHINGLE]).encode()) for i in range(max(1, len(w) - SHINGLE + 1))}
 
 
+def _parts(text: str) -> set[tuple[str, ...]]:
+    """The shingles themselves: quicker than their hashes where they stay in one process."""
+    w = text.split(" ")
+    return set(zip(*(w[i:] for i in range(SHINGLE)))) if len(w) >= SHINGLE else {tuple(w)}
+
+
+_RNG = np.random.default_rng(20240611)
+_A = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
+
+
 def _bands(text: str) -> list[int]:
-    rng = np.random.default_rng(20240611)
-    a = rng.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
     s = np.array(sorted(shingles(text)), dtype=np.uint64)
-    low = ((s[:, None] * a + b) % np.uint64(4294967311)).min(axis=0)
+    low = ((s[:, None] * _A + _B) % np.uint64(4294967311)).min(axis=0)
     return [zlib.crc32(low[i * ROWS : (i + 1) * ROWS].tobytes()) | (i << 32) for i in range(BANDS)]
 
 
@@ -221,7 +252,7 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
             for o, x in zip(pdf["opening"], pdf["band"]):
                 if x != band:
                     band, parts = x, []
-                own = shingles(o)
+                own = _parts(o)
                 near, far = [(o, own)], []
                 for part in parts:
                     hub = next((h for h, theirs in part if SIMILARITY * max(len(own), len(theirs)) <= min(len(own), len(theirs)) and len(own & theirs) >= SIMILARITY * len(own | theirs)), None)
@@ -267,7 +298,7 @@ def reply_defects(answers: DataFrame, least_prompts: int = 3, least_share: float
             for i, a, q in zip(pdf["answer_id"], pdf["answer"], pdf["question"]):
                 q = q if isinstance(q, str) else None
                 if not isinstance(a, str) or is_empty(a):
-                    rows.append((i, "empty", False, None, None, None, False))
+                    rows.append((i, "empty", False, False, None, None, None, False))
                     continue
                 own = entry = None
                 if is_copy(a, q):
@@ -278,22 +309,23 @@ def reply_defects(answers: DataFrame, least_prompts: int = 3, least_share: float
                 if foreign and own is None:
                     own = "other_language"
                 thin = own != "question_copy" and is_thin(a, q)
-                rows.append((i, own, thin, opening(a, q) if own != "question_copy" else None, zlib.crc32((q or "").encode()), entry, foreign))
-            yield pd.DataFrame(rows, columns=["answer_id", "own", "thin", "opening", "prompt", "entry", "foreign"])
+                said_no = own != "question_copy" and declines(a)
+                rows.append((i, own, thin, said_no, opening(a, q) if own != "question_copy" else None, zlib.crc32((q or "").encode()), entry, foreign))
+            yield pd.DataFrame(rows, columns=["answer_id", "own", "thin", "declines", "opening", "prompt", "entry", "foreign"])
 
     one = answers.groupBy("answer_id").agg(F.max("answer").alias("answer"), F.max("question").alias("question"))
-    judged = materialise(one.mapInPandas(judge, "answer_id bigint, own string, thin boolean, opening string, prompt bigint, entry string, foreign boolean"), "reply-judged")
+    judged = materialise(one.mapInPandas(judge, "answer_id bigint, own string, thin boolean, declines boolean, opening string, prompt bigint, entry string, foreign boolean"), "reply-judged")
     # A last list entry without a stop is complete if entries of its template end the responses to many prompts: a cut falls anywhere.
     entries = judged.filter("entry is not null").groupBy("entry").agg(F.countDistinct("prompt").alias("prompts"))
     total = judged.agg((F.count(F.lit(1)) * least_share).alias("least"))
     whole = entries.join(F.broadcast(total)).filter((F.col("prompts") >= least_prompts) & (F.col("prompts") >= F.col("least"))).select("entry", F.lit(True).alias("whole"))
     judged = judged.join(whole, "entry", "left").withColumn("own", F.when(F.col("whole"), F.when(F.col("foreign"), "other_language")).otherwise(F.col("own")))
-    said = judged.filter("opening is not null").groupBy("opening", "prompt").agg(F.count_if("thin").alias("thin"), F.count(F.lit(1)).alias("n"))
+    said = judged.filter("opening is not null").groupBy("opening", "prompt").agg(F.count_if("thin").alias("thin"), F.count_if(F.col("thin") | F.col("declines")).alias("bare"), F.count(F.lit(1)).alias("n"))
     clusters = cluster_openings(said)
-    templates = said.join(clusters, "opening").groupBy("cluster").agg(F.sum("thin").alias("thin"), F.sum("n").alias("n"), F.approx_count_distinct("prompt").alias("prompts"))
-    # A recurring template that mostly goes on to an answer is no refusal.
-    answering = templates.filter((F.col("prompts") >= least_prompts) & (F.col("thin") * 2 < F.col("n"))).select("cluster", F.lit(True).alias("answers"))
-    known = clusters.join(answering, "cluster").select("opening", "answers")
+    templates = said.join(clusters, "opening").groupBy("cluster").agg(F.sum("bare").alias("bare"), F.sum("n").alias("n"), F.approx_count_distinct("prompt").alias("prompts"))
+    # A template that recurs across prompts is a refusal if most of its responses answer nothing, and none if most go on to an answer.
+    recurring = templates.filter(F.col("prompts") >= least_prompts).select("cluster", (F.col("bare") * 2 >= F.col("n")).alias("refuses"))
+    known = clusters.join(recurring, "cluster").select("opening", "refuses")
     out = judged.join(known, "opening", "left")
-    refusal = F.col("thin") & F.col("answers").isNull() & (F.col("own").isNull() | (F.col("own") == "other_language"))
+    refusal = F.coalesce("refuses", F.col("thin") & F.col("declines")) & (F.col("own").isNull() | (F.col("own") == "other_language"))
     return out.select("answer_id", F.when(F.col("own") == "question_copy", F.col("own")).when(refusal, "refusal").otherwise(F.col("own")).alias("defect_type")).filter("defect_type is not null")

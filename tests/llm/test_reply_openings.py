@@ -32,3 +32,24 @@ def test_components_run_to_the_end(spark):
     links = spark.createDataFrame([(f"{i + 1:03d}", f"{i:03d}") for i in range(n)] + [("y", "x")], "opening string, hub string")
     got = {r["opening"]: r["cluster"] for r in d._components(links).collect()}
     assert got == {f"{i:03d}": "000" for i in range(n + 1)} | {"x": "x", "y": "x"}
+
+
+DRUGS = ["zolan", "abc", "mirlubexa", "quofentil", "hibtor"]
+
+
+def defects(spark, rows):
+    df = spark.createDataFrame(rows, "answer_id long, answer string, question string")
+    return {tuple(r) for r in d.reply_defects(df).collect()}
+
+
+def test_members_of_a_recurring_refusal_are_refusals_whatever_they_carry(spark):
+    long = "I am unable to answer this for {}. " + " ".join(LONG) + ". " + " ".join(x + "y" for x in LONG[:40]) + "."
+    kinds = ["I searched 12 sections and nothing was found about {} that I could use.", "No passage that was loaded deals with {}, so it stays open for now.", long]
+    rows = [(100 * k + i, text.format(x), f"Which dose of {x} is right, and why?") for k, text in enumerate(kinds) for i, x in enumerate(DRUGS)]
+    rows.append((900, kinds[1].format("dranista") + " {{cite:g:s|x}}", "Which dose of dranista is right, and why?"))
+    assert defects(spark, rows) == {(r[0], "refusal") for r in rows}
+
+
+def test_a_short_reply_of_its_own_is_no_refusal(spark):
+    rows = [(1, "Take it with food in the morning.", "When is zolan taken?"), (2, "Yes, after a meal.", "Is abc taken late?"), (3, "I cannot answer that about abc.", "Is abc safe?"), (4, "很遗憾，" + "我无法回答关于abc的问题，请咨询医生。" * 6, "abc是否安全？")]
+    assert defects(spark, rows) == {(3, "refusal"), (4, "refusal")}
