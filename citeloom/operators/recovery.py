@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from citeloom.functions.text import FULL, Criteria, normalize
 from citeloom.operators.verbatim import PASSING, passes, quote_tiers
+from citeloom.session import materialise
 
 RUNGS = ("node", "sectionrest", "othersection", "unattributed", "nowhere", "error")
 
@@ -89,15 +90,26 @@ def partial_ratio_of(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else partial_ratio(a, b) for a, b in zip(short, long)], dtype="float64")
 
 
-def unrelated_partners(rows: DataFrame) -> DataFrame:
+def unrelated_partners(rows: DataFrame, block: int = 64) -> DataFrame:
     """(row_id, partner_id): for each row the next one in cyclic order whose read set shares nothing with its own.
 
-    Candidates are looked at by distance; rows that every other row overlaps have no partner. Meant for the bounded set
-    of rejected rows: ``rows`` has row_id, read_set and a dense place from 0.
+    Candidates are looked at by blocks of distances, each for the rows still without a partner, up to every other row;
+    rows that every other row overlaps have no partner. Meant for the bounded set of rejected rows: ``rows`` has row_id,
+    read_set and a dense place from 0.
     """
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    a = rows.select("row_id", "read_set", "place").crossJoin(F.broadcast(total))
-    steps = a.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n") - 1, F.lit(64))))).alias("j")).withColumn("other", F.pmod(F.col("place") + F.col("j"), F.col("n")))
+    rows = materialise(rows, "partner-rows")
+    n = rows.count()
     b = rows.select(F.col("row_id").alias("partner_id"), F.col("read_set").alias("partner_set"), F.col("place").alias("other"))
-    fits = steps.join(b, "other").filter((F.col("row_id") != F.col("partner_id")) & ~F.arrays_overlap("read_set", "partner_set"))
-    return fits.groupBy("row_id").agg(F.min_by("partner_id", "j").alias("partner_id"))
+    left, out, start = rows, None, 1
+    while True:
+        end = min(n - 1, start + block - 1)
+        steps = left.select("row_id", "read_set", "place", F.explode(F.sequence(F.lit(start), F.lit(max(start, end)))).alias("j")).withColumn("other", F.pmod(F.col("place") + F.col("j"), F.lit(max(1, n))))
+        fits = steps.join(b, "other").filter((F.col("row_id") != F.col("partner_id")) & ~F.coalesce(F.arrays_overlap("read_set", "partner_set"), F.lit(False)))
+        found = materialise(fits.groupBy("row_id").agg(F.min_by("partner_id", "j").alias("partner_id")), "partners")
+        out = found if out is None else out.unionByName(found)
+        if end >= n - 1:
+            return out
+        left = materialise(left.join(found, "row_id", "left_anti"), "partner-rows")
+        if left.isEmpty():
+            return out
+        start, block = end + 1, 2 * block

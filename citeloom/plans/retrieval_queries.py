@@ -115,12 +115,25 @@ def smallest_node(spark, sf_dir):
 
 
 def null_control(spark, sf_dir):
-    """Median similarity of rejected spans to their own read set and to an unrelated one; Python text matching, no SQL form."""
-    l = lookups_once(spark, sf_dir).filter(~F.coalesce(verbatim.passes(F.col("span_tier")), F.lit(False)) & (F.length("evidence") >= 30))
-    rows = l.select(F.col("lookup_id").alias("row_id"), "evidence", "read_set", (F.row_number().over(Window.orderBy("lookup_id")) - 1).alias("place"))
-    pairs = rows.select("row_id", F.lit("own").alias("which"), F.col("row_id").alias("from_id")).unionByName(recovery.unrelated_partners(rows).select("row_id", F.lit("unrelated").alias("which"), F.col("partner_id").alias("from_id")))
-    sets = rows.select(F.col("row_id").alias("from_id"), F.explode("read_set").alias("doc_id")).join(sections_once(spark, sf_dir), "doc_id").groupBy("from_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("blob"))
-    scored = pairs.join(sets, "from_id").join(rows.select("row_id", "evidence"), "row_id").withColumn("score", recovery.partial_ratio_of(normalize(F.col("evidence")), normalize(F.col("blob"))))
+    """Median similarity of rejected spans to their own read set and to an unrelated one, and of verified ones to their own; Python text matching, no SQL form.
+
+    A row scores as its weakest span; its spans have at least 30 characters in all.
+    """
+    l = lookups_once(spark, sf_dir)
+    trimmed = F.filter(F.transform("evidence_spans", lambda x: F.btrim(x)), lambda x: F.length(x) > 0)
+    whole = F.btrim(F.coalesce("evidence", F.lit("")))
+    spans = F.when(F.col("evidence_spans").isNotNull(), trimmed).when(F.length(whole) > 0, F.array(whole)).otherwise(F.array().cast("array<string>"))
+    l = l.select(F.col("lookup_id").alias("row_id"), F.coalesce("read_set", F.array().cast("array<string>")).alias("read_set"), spans.alias("spans"), F.coalesce(verbatim.passes(F.col("span_tier")), F.lit(False)).alias("passed"))
+    l = l.filter(F.aggregate("spans", F.lit(0), lambda n, x: n + F.length(x)) >= 30)
+    rows = l.filter(~F.col("passed")).select("row_id", "read_set", (F.row_number().over(Window.orderBy("row_id")) - 1).alias("place"))
+    own = l.select("row_id", F.when(F.col("passed"), "verified").otherwise("own").alias("which"), F.col("row_id").alias("from_id"))
+    pairs = own.unionByName(recovery.unrelated_partners(rows).select("row_id", F.lit("unrelated").alias("which"), F.col("partner_id").alias("from_id")))
+    texts = l.select(F.col("row_id").alias("from_id"), F.posexplode("read_set").alias("pos", "doc_id")).join(sections_once(spark, sf_dir).filter(F.length("text") > 0), "doc_id")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.lit("["), "doc_id", F.lit("]\n"), "text").alias("part")))), lambda x: x["part"])
+    sets = texts.groupBy("from_id").agg(F.array_join(parts, "\n\n---\n\n").alias("blob"))
+    sets = pairs.join(sets, "from_id", "left").select("row_id", "which", normalize(F.coalesce("blob", F.lit(""))).alias("blob"))
+    each = sets.join(l.select("row_id", F.explode("spans").alias("span")), "row_id").withColumn("score", recovery.partial_ratio_of(normalize(F.col("span")), F.col("blob")))
+    scored = each.groupBy("which", "row_id").agg(F.min("score").alias("score"))
     return scored.groupBy("which").agg(F.count(F.lit(1)).alias("n"), F.median("score").alias("median_ratio"))
 
 
