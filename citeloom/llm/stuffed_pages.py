@@ -6,14 +6,15 @@ its common words (those that stand in at least ``common_share`` of its pages) an
 usual. Both are taken over distinct texts of varied wording, so neither copies nor stuffed pages move them. A common word
 is not deleted: it counts like any other word in a page of little variety where its share is beyond the usual one. The
 common words that hold for a page are those of its language tag and of the languages its own words show. A language with
-fewer than ``least_pages`` pages has no usual share of its own and needs strong evidence.
+fewer than ``least_pages`` such texts is judged by what needs no calibration: a short list of function words, the lowest
+threshold, and little variety.
 
 A page is a case if much of its text is links (``link_share``), if its words repeated three times make up
 ``most_repeated`` of it or those repeated at all ``most_twice``, or if they pass the threshold of its language and a top
 word, separators or repeated lines confirm it. Reference lists and tables of contents repeat many words a little and none
 much. Null, empty and blank texts are no case; rows that repeat an id count once; a copy under another id is judged like
-its original. The common words held by each task number at most some hundreds for each language that has a thousandth of
-the pages.
+its original. The common words held by each task are those in ``common_share`` of the pages of a language, so at most
+1 / ``common_share`` times the words of its mean page.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.reply_defects import COMMON
 from citeloom.session import materialise
 
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]{2,}(?:[’'][^\W\d_]+)*(?![\d_])")
@@ -36,6 +38,16 @@ _SEPARATORS = ("|", "/", "·", "»", "«", "#", ";", "•", "★", "☆", " –
 FEATURES = "doc_id {kind}, language string, digest string, n_words int, repeated double, twice double, top double, lines double, separators double, links double, variety double"
 #: Words of a block whose variety is measured, the variety of ordinary wording, the deviations and the most that is usual of a common word.
 BLOCK, PLAIN, DEVIATIONS, MOST_USUAL = 50, 0.6, 5.0, 0.25
+#: For languages without enough pages: function words, and the share up to which one is no keyword.
+FUNCTION_SHARE = 0.12
+FUNCTION_WORDS = COMMON | {
+    "ru": "и в во не на с со что по к ко за из у о от до для при как или это если то но а бы ли же после через может быть есть был была были следует нельзя",
+    "ar": "في من على إلى أن عن مع لا ما هو هي هذا هذه التي الذي كان كانت بعد قبل عند أو قد لم كل بين يمكن يجب",
+    "hi": "के की का में है हैं से को और पर यह या ने एक तो भी नहीं कि जो इस लिए कर किया गया बाद होने सकता सकती",
+    "zh": "的 在 是 了 和 有 不 与 为 可 应 用 以 对 者 或 中 后 于 一 若 其 及 及 未 能 时",
+    "ja": "の に は を た が で て と し れ さ る い あ も な ら り か ま す こ よ",
+    "th": "และ ใน ที่ ของ เป็น ไม่ มี ได้ ให้ จาก กับ หรือ การ ควร",
+}
 
 
 def page_words(text: str) -> list[str]:
@@ -121,13 +133,13 @@ def usual_shares(pages: DataFrame, common_share: float, least_pages: int, link_s
     per = texts.mapInPandas(count, "language string, word string, n bigint, total double, squares double").groupBy("language", "word").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
     per = materialise(per.filter(F.col("n") >= F.lit(common_share * least_pages)), "page-words")
     languages = per.filter("word = ''").select("language", F.col("n").alias("pages"))
-    enough = languages.join(F.broadcast(languages.agg(F.greatest(F.lit(least_pages), F.sum("pages") * 0.001).alias("least"))), F.col("pages") >= F.col("least")).select("language", "pages")
+    enough = languages.filter(F.col("pages") >= least_pages)
     found = per.filter("word <> ''").join(F.broadcast(enough), "language").filter(F.col("n") >= F.col("pages") * common_share)
-    out: dict[str, dict[str, float]] = defaultdict(dict)
+    out: dict[str, dict[str, float]] = {r["language"]: {} for r in enough.select("language").collect()}
     for r in found.select("language", "word", "n", "total", "squares").collect():
         mean = r["total"] / r["n"]
         out[r["language"]][r["word"]] = min(MOST_USUAL, mean + DEVIATIONS * math.sqrt(max(0.0, r["squares"] / r["n"] - mean * mean)))
-    return dict(out)
+    return out
 
 
 def by_word(usual: Mapping[str, Mapping[str, float]]) -> dict[str, tuple[tuple[str, float], ...]]:
@@ -152,7 +164,8 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages:
     """(doc_id) of the pages made of keywords, links or tags; ``documents`` has doc_id, text and lang."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     pages = documents.select("doc_id", "text", _language("lang").alias("language")).filter(F.length(F.trim("text")) > 0)
-    known = by_word(usual_shares(pages, common_share, least_pages, link_share))
+    learned = usual_shares(pages, common_share, least_pages, link_share)
+    known = by_word({k: dict.fromkeys(v.split(), FUNCTION_SHARE) for k, v in FUNCTION_WORDS.items()} | learned)
 
     def measure(frames):
         import pandas as pd
@@ -170,7 +183,9 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages:
     usual = plain.groupBy("language").agg(F.count(F.lit(1)).alias("pages"), F.percentile_approx("repeated", F.lit(0.5), F.lit(1000)).alias("half"), F.percentile_approx("repeated", F.lit(0.75), F.lit(1000)).alias("most"))
     limit = F.least(F.lit(most_repeated), F.greatest(F.lit(least_repeated), F.col("most") + 3 * (F.col("most") - F.col("half"))))
     limits = usual.filter(F.col("pages") >= least_pages).select("language", limit.alias("limit"))
-    judged = features.join(limits, "language", "left").withColumn("limit", F.coalesce("limit", F.when(F.col("language").isNull(), F.lit(least_repeated)).otherwise(F.lit(most_repeated))))
+    judged = features.join(limits, "language", "left").withColumn("limit", F.coalesce("limit", F.lit(least_repeated)))
     confirmed = (F.col("top") >= top_share) | (F.col("lines") >= 0.4) | (F.col("separators") >= 0.2) & (F.col("repeated") >= 0.9 * most_repeated)
     stuffed = ((F.col("repeated") >= most_repeated) | (F.col("twice") >= most_twice) | (F.col("repeated") >= F.col("limit")) & confirmed) & (F.col("n_words") >= 8)
+    calibrated = F.col("language").isNull() & F.lit(bool(learned)) | F.coalesce(F.col("language").isin(sorted(learned)), F.lit(False))
+    stuffed &= calibrated | (F.col("variety") < PLAIN)
     return judged.filter((F.col("links") >= link_share) | stuffed).select("doc_id").distinct()

@@ -33,3 +33,11 @@ def test_words_are_common_in_their_own_language_only():
     assert s.page_usual(["die", "und", "der", "x"], "de", known) == {"die": 0.1, "und": 0.1, "der": 0.1}
     assert s.page_usual(["the", "of", "die"], "en", known) == {"the": 0.1, "of": 0.1, "die": 0.01}
     assert s.page_usual(["die", "und", "der"], "en", known)["und"] == 0.1
+
+
+def test_a_language_with_few_pages_is_judged_alike(spark):
+    ordinary_de = "Die Werte und die Dosis sind in der Praxis und in der Klinik und in der Ambulanz und in der Stadt zu prüfen, wenn die Niere oder die Leber und der Puls in der Studie nicht gut sind. "
+    spam = "zolanbo kaufen zolanbo preis zolanbo billig kaufen zolanbo preis " * 3
+    for n in (3, 12):
+        rows = [(i, ordinary_de + t, "de") for i, t in enumerate(f"Punkt {x} ist hier neu und wichtig." for x in range(n))]
+        assert found(spark, [*rows, (100, spam, "de")]) == {100}
