@@ -50,7 +50,22 @@ def test_against_brute_force(spark, seed):
             text = text[cut:] + text[:cut]
         records[("unit", i)] = text
     records |= {("citation", 1): None, ("citation", 2): "", ("lookup", 1): records[("unit", 3)], ("lookup", 2): records[("unit", 3)]}
-    assert run(spark, records, 70, shard_phrases=15) == brute(records, 70)
+    wanted = brute(records, 70)
+    assert run(spark, records, 70, shard_phrases=15) == wanted
+    # Every phrase hot, and some: the windows of all contexts are compared instead of the contexts.
+    assert run(spark, records, 70, group_contexts=1) == wanted
+    assert run(spark, records, 70, group_contexts=12) == wanted
+
+
+def test_many_contexts_of_one_phrase(spark):
+    """More contexts than are compared by pairs, and one text in a third of all records."""
+    rng = random.Random(5)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    records = {("unit", i): "".join(rng.choice("xyz ") for _ in range(i % 40)) + phrase[i % 7 :] + "".join(rng.choice("uvw ") for _ in range(i % 30)) for i in range(40)}
+    records |= {("citation", i): phrase for i in range(20)}
+    wanted = brute(records, 70)
+    assert wanted and run(spark, records, 70) == wanted
+    assert run(spark, records, 70, group_contexts=5) == wanted
 
 
 def test_only_inside_one_record(spark):
