@@ -1,12 +1,18 @@
 """Cutting oversized texts at natural boundaries, by agglomerative merging.
 
 A text begins as atomic segments: words, and short stretches of runs that offer no boundary. The boundary between two
-neighbours has a strength (paragraph, line, sentence, clause, space, none). A heap of the adjacent pairs merges the
+neighbours has a strength (paragraph, line, sentence, clause, space, mark, none). A heap of the adjacent pairs merges the
 weakest boundary first, of equal ones the smallest pair, as long as the merged piece and the overlap it must repeat fit
 the limit; what is left when nothing fits are the pieces. Each piece after the first repeats the last ``overlap``
 characters before it.
 
-Texts within the limit, null and empty texts give no row. Rows that repeat an id are one record (its largest text).
+Boundaries without strength (``none``) stand inside a run of characters that are neither white space nor a
+sentence-ending mark. They are merged before all others, so one that is left shows a run that did not fit. The cut of a
+text is ``forced`` if such a run alone is longer than the limit, else ``natural``; a run that only the overlap made too
+long is cut too, at a boundary ``none``, but is no reason for a forced cut.
+
+Texts within the limit, null and empty texts give no row. Rows that repeat an id are one record: the one with the largest
+``order_column``, of equal ones the largest text (without that column, the largest text).
 """
 
 from __future__ import annotations
@@ -20,18 +26,13 @@ from pyspark.sql import functions as F
 
 #: Marks that end a sentence, in any script.
 STOPS = ".!?…。！？؟।॥｡．"
-FORCED, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-NAMES = ("none", "space", "clause", "sentence", "line", "paragraph")
-_RUN = re.compile(rf"[^\s{re.escape(STOPS)}]+")
+FORCED, MARK, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
+NAMES = ("none", "mark", "space", "clause", "sentence", "line", "paragraph")
+_RUN = re.compile(rf"[^\s{re.escape(STOPS)}]*")
 _ATOM = re.compile(rf"[^\s{re.escape(STOPS)}]*(?:[{re.escape(STOPS)}]+[\"”“»’」』)\]）】]*)?\s*")
 _GRAIN = 64
 
 
-def longest_run(text: str) -> int:
-    """Length of the longest stretch with neither white space nor a sentence-ending mark."""
-    return max((m.end() - m.start() for m in _RUN.finditer(text)), default=0)
-
-
 def _strength(atom: str) -> int:
     """Of the boundary after ``atom``."""
     body = atom.rstrip()
@@ -45,7 +46,7 @@ def _strength(atom: str) -> int:
         return SENTENCE
     if gap and core and core[-1] in ",;:，；：、،":
         return CLAUSE
-    return SPACE if gap else FORCED
+    return SPACE if gap else MARK
 
 
 def atoms(text: str) -> list[tuple[int, int, int]]:
@@ -67,7 +68,27 @@ def atoms(text: str) -> list[tuple[int, int, int]]:
 
 def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the boundary before it) of the pieces, without what they repeat."""
-    parts = atoms(text)
+    return merge(atoms(text), limit, overlap)
+
+
+def cut_kind(text: str, parts: list[tuple[int, int, int]], pieces: list[tuple[int, int, int]], limit: int) -> str:
+    """forced if a boundary of the pieces was left inside a run that is longer than the limit, else natural."""
+    place = {start: i for i, (start, _, _) in enumerate(parts)}
+    for start, _, before in pieces:
+        if before != FORCED:
+            continue
+        first = last = place[start]
+        while first and parts[first - 1][2] == FORCED:
+            first -= 1
+        while parts[last][2] == FORCED and last + 1 < len(parts):
+            last += 1
+        if _RUN.match(text, parts[last][0]).end() - parts[first][0] > limit:
+            return "forced"
+    return "natural"
+
+
+def merge(parts: list[tuple[int, int, int]], limit: int, overlap: int) -> list[tuple[int, int, int]]:
+    """The pieces that are left of the atoms when no pair fits any more."""
     n = len(parts)
     start, end = [p[0] for p in parts], [p[1] for p in parts]
     nxt, prv, alive = list(range(1, n)) + [-1], list(range(-1, n - 1)), [True] * n
@@ -95,7 +116,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def split_oversized(items: DataFrame, id_column: str, text_column: str, limit: int, overlap: int) -> DataFrame:
+def split_oversized(items: DataFrame, id_column: str, text_column: str, limit: int, overlap: int, order_column: str | None = None) -> DataFrame:
     """(item_id, cut_kind, piece_no, start_pos, end_pos, repeated, boundary, piece) of the texts over ``limit`` characters.
 
     ``piece`` is the text from start_pos to end_pos, of which the first ``repeated`` characters are those of the piece before.
@@ -111,11 +132,14 @@ def split_oversized(items: DataFrame, id_column: str, text_column: str, limit: i
         for pdf in frames:
             rows = []
             for i, t in zip(pdf["item_id"], pdf["text"]):
-                cut_kind = "forced" if longest_run(t) > limit else "natural"
-                for k, (a, b, s) in enumerate(split(t, limit, overlap)):
+                parts = atoms(t)
+                pieces = merge(parts, limit, overlap)
+                cut = cut_kind(t, parts, pieces, limit)
+                for k, (a, b, s) in enumerate(pieces):
                     back = min(overlap, a)
-                    rows.append((i, cut_kind, k, a - back, b, back, NAMES[s] if k else "start", t[a - back : b]))
+                    rows.append((i, cut, k, a - back, b, back, NAMES[s] if k else "start", t[a - back : b]))
             yield pd.DataFrame(rows, columns=["item_id", "cut_kind", "piece_no", "start_pos", "end_pos", "repeated", "boundary", "piece"])
 
-    one = items.groupBy(F.col(id_column).alias("item_id")).agg(F.max(F.col(text_column)).alias("text"))
+    order = [F.col(order_column).alias("o")] if order_column else []
+    one = items.groupBy(F.col(id_column).alias("item_id")).agg(F.max(F.struct(*order, F.col(text_column).alias("text")))["text"].alias("text"))
     return one.filter(F.length("text") > limit).mapInPandas(run, schema)

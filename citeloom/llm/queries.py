@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = sf_table(spark, sf_dir, "size_limits").filter("item_kind = 'candidate_units.text'").select("max_size", "overlap").first()
-    return natural_splits.split_oversized(sf_table(spark, sf_dir, "candidate_units"), "unit_id", "text", limit["max_size"] if limit else 1500, limit["overlap"] if limit else 150)
+    return natural_splits.split_oversized(sf_table(spark, sf_dir, "candidate_units"), "unit_id", "text", limit["max_size"] if limit else 1500, limit["overlap"] if limit else 150, "loaded_at")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Natural splits, consensus of annotators, look-alike forms."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -21,6 +22,30 @@ def test_split(text):
     assert natural_splits.split("", 1500, 150) == []
 
 
+def test_cut_kind_is_that_of_the_longest_run():
+    """The kind that the pieces show against the definition, on texts of random runs."""
+    rng = random.Random(11)
+    for _ in range(400):
+        text = "".join(rng.choice("aé中,;(") * rng.choice([3, 40, 60, 130, 190, 200, 201, 260]) + rng.choice([" ", "\n", ".", "。", "! ", "", "\n\n", "\u3000"]) for _ in range(rng.randint(1, 12)))
+        parts = natural_splits.atoms(text)
+        pieces = natural_splits.merge(parts, 200, 30)
+        runs = re.findall(rf"[^\s{re.escape(natural_splits.STOPS)}]+", text)
+        if len(text) > 200:
+            assert natural_splits.cut_kind(text, parts, pieces, 200) == ("forced" if max(map(len, runs), default=0) > 200 else "natural")
+
+
+def test_overlap_alone_forces_no_cut(spark):
+    df = spark.createDataFrame([(1, "word " * 100 + "x" * 1450 + " word" * 100)], "unit_id long, text string")
+    got = natural_splits.split_oversized(df, "unit_id", "text", 1500, 150).collect()
+    assert {r["cut_kind"] for r in got} == {"natural"} and any(r["boundary"] == "none" for r in got)
+
+
+def test_latest_row_counts(spark):
+    df = spark.createDataFrame([(1, "z" * 1600, 1), (1, "a b " * 500, 2), (2, "z" * 1600, 1), (2, None, 2)], "unit_id long, text string, loaded int")
+    got = natural_splits.split_oversized(df, "unit_id", "text", 1500, 150, "loaded").collect()
+    assert {(r["item_id"], r["cut_kind"]) for r in got} == {(1, "natural")}
+
+
 def test_weak_boundaries_go_first():
     text = ("Sentence of some words here. " * 20 + "\n\n") * 5
     cuts = [a for a, _, _ in natural_splits.split(text, 1500, 150)][1:]
