@@ -1,26 +1,29 @@
 """Keyword-stuffed pages and link lists.
 
 A page is judged by its shares: of the words it repeats (keywords instead of function words), of its top such word, of
-repeated lines, of separators, and of text inside links. Two things are calibrated for each language: the usual share of
-its common words (those that stand in at least ``common_share`` of its pages) and the share of repeated words that is
-usual. Both are taken over distinct texts of varied wording, so neither copies nor stuffed pages move them. A common word
-is not deleted: it counts like any other word in a page of little variety where its share is beyond the usual one. The
-common words that hold for a page are those of its language tag and of the languages its own words show. A language with
-fewer than ``least_pages`` such texts is judged by what needs no calibration: a short list of function words, the lowest
-threshold, and little variety.
-
-A page is a case if much of its text is links (``link_share``), if its words repeated three times make up
-``most_repeated`` of it or those repeated at all ``most_twice``, or if they pass the threshold of its language and a top
-word, separators or repeated lines confirm it. Reference lists and tables of contents repeat many words a little and none
-much. Null, empty and blank texts are no case; rows that repeat an id count once; a copy under another id is judged like
-its original. The common words held by each task are those in ``common_share`` of the pages of a language, so at most
-1 / ``common_share`` times the words of its mean page.
+phrases that come again, of repeated lines, of separators, of text inside links, and of the function words that ordinary
+text has. All limits are calibrated for each language on its distinct texts of varied wording, so that neither copies nor
+stuffed pages move them: a limit is what is far from usual there, between fixed bounds, and a language weighs by its pages
+against ``prior_pages`` pages with the bounds that ask for most. So no number of pages switches a rule on or off.
+
+The words that a language has in common (those in ``common_share`` of its pages, and a short list for ten languages) are no
+keywords up to the share of a page that is usual for each; beyond it, in a page of little variety, they count like others.
+Up to that share they are what an ordinary page is not without. The common words that hold for a page are those of its
+language tag and of the languages its own words show.
+
+A page is a case if much of its text is links, or if it lacks function words and its words repeated three times make up most
+of it, or those repeated at all do, or the repeated words pass a lower limit and a top word, a top phrase, separators or
+repeated lines confirm it, or most of its phrases come again in a page of little variety. Reference lists, glossaries and
+tables of contents repeat many words a little and none much. Null, empty and blank texts are no case; rows that repeat an id
+count once; a copy under another id is judged like its original. The common words held by each task are those in
+``common_share`` of the pages of a language, so at most 1 / ``common_share`` times the words of its mean page.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Mapping
 
@@ -30,15 +33,23 @@ from pyspark.sql import functions as F
 from citeloom.llm.reply_defects import COMMON
 from citeloom.session import materialise
 
-_WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]{2,}(?:[’'][^\W\d_]+)*(?![\d_])")
-_LINK = re.compile(r"<a\s[^>]*>.{0,300}?</a>|!?\[[^\]\n]{0,200}\]\([^)\s]*\)|(?:https?://|www\.)\S+", re.DOTALL)
+#: Vowel signs and accents, which are part of the word they stand in.
+_SIGNS = "".join(chr(c) for c in range(0x300, 0xFE30) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+_LETTER = r"[^\W\d_぀-ヿ㐀-鿿]"
+_WORD = re.compile(rf"[぀-ヿ㐀-鿿]|(?:{_LETTER}[{_SIGNS}]|{_LETTER}{{2}}){_LETTER}*(?:[{_SIGNS}]+{_LETTER}*)*(?:[’'][^\W\d_]+)*(?![\d_])")
+_LINK = re.compile(r"<a\s[^>]*>(?:[^<]|<(?!/?a[\s>]))*</a>|!?\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)\S+")
 _ADDRESS = re.compile(r"<[^<>]*>|\]\([^)\s]*\)|(?:https?://|www\.)\S+")
 _JOINED = re.compile(r"(?<=[^\W\d_A-ZА-ЯÀ-Þ])(?=[A-ZА-ЯÀ-Þ])")
 _SEPARATORS = ("|", "/", "·", "»", "«", "#", ";", "•", "★", "☆", " – ", " — ", " - ")
-FEATURES = "doc_id {kind}, language string, digest string, n_words int, repeated double, twice double, top double, lines double, separators double, links double, variety double"
+SHARES = ("repeated", "twice", "top", "phrases", "phrase", "lines", "separators", "links", "function", "variety")
+FEATURES = "doc_id {kind}, language string, digest string, " + ", ".join(f"{c} double" for c in SHARES)
 #: Words of a block whose variety is measured, the variety of ordinary wording, the deviations and the most that is usual of a common word.
 BLOCK, PLAIN, DEVIATIONS, MOST_USUAL = 50, 0.6, 5.0, 0.25
-#: For languages without enough pages: function words, and the share up to which one is no keyword.
+#: For each share the least and the most that its limit can be; where a language has no pages, the most (of ``function``, the least) holds.
+BOUNDS = {"repeated": (0.25, 0.45), "twice": (0.6, 0.75), "top": (0.13, 0.2), "phrases": (0.6, 0.8), "phrase": (0.25, 0.35), "lines": (0.4, 0.5), "separators": (0.2, 0.4), "links": (0.4, 0.5), "function": (0.2, 0.4)}
+#: The repeated share beyond which no other sign is asked for.
+MOST_REPEATED = 0.45
+#: Function words, and the share up to which one is no keyword where its language does not show another.
 FUNCTION_SHARE = 0.12
 FUNCTION_WORDS = COMMON | {
     "ru": "и в во не на с со что по к ко за из у о от до для при как или это если то но а бы ли же после через может быть есть был была были следует нельзя",
@@ -76,28 +87,35 @@ def variety(words: list[str]) -> float:
     return sum(len(set(words[i : i + BLOCK])) for i in starts) / (BLOCK * len(starts))
 
 
-def page_features(text: str, usual: Mapping[str, float] | Iterable[str]) -> tuple[int, float, float, float, float, float, float, float]:
-    """(words, share repeated three times or more, share repeated at all, top share, repeated-line share, separators per word, share of text in links, variety).
+def page_features(text: str, usual: Mapping[str, float] | Iterable[str]) -> tuple[float, ...]:
+    """The shares of a page, in the order of ``SHARES``.
 
     ``usual`` gives the share up to which a common word is no keyword; words without one (a mere set) never are.
     """
     shown = _shown(text)
-    words = _words(shown)
-    return _features(text, shown, words, usual if isinstance(usual, Mapping) else dict.fromkeys(usual, 1.0))
+    return _features(text, shown, _words(shown), usual if isinstance(usual, Mapping) else dict.fromkeys(usual, 1.0))
 
 
-def _features(text: str, shown: str, words: list[str], usual: Mapping[str, float]) -> tuple[int, float, float, float, float, float, float, float]:
-    n = len(words)
+def _again(words: list[str]) -> tuple[float, float]:
+    """(share of the three-word phrases that come again, share of the words that the most frequent two-word phrase makes up)."""
+    three, two = Counter(zip(words, words[1:], words[2:])), Counter(zip(words, words[1:]))
+    most = max(two.values(), default=0)
+    return sum(k for k in three.values() if k > 1) / max(1, len(words) - 2), 2 * most / max(1, len(words)) if most > 1 else 0.0
+
+
+def _features(text: str, shown: str, words: list[str], usual: Mapping[str, float]) -> tuple[float, ...]:
+    m = max(1, len(words))
     counts = Counter(words)
     varied = variety(words)
+    function = 0.0
     for w in usual.keys() & counts.keys():
-        if varied >= PLAIN or counts[w] <= usual[w] * n + 1:
+        function += min(counts[w], usual[w] * m + 1)
+        if varied >= PLAIN or counts[w] <= usual[w] * m + 1:
             del counts[w]
     repeated, twice = (sum(k for k in counts.values() if k >= least) for least in (3, 2))
     top = max(counts.values(), default=0)
     lines = [x.strip() for x in text.splitlines() if x.strip()]
-    m = max(1, n)
-    return n, repeated / m, twice / m, top / m, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, _link_share(text), varied
+    return repeated / m, twice / m, top / m, *_again(words), (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, _link_share(text), function / m, varied
 
 
 def _language(column: str):
@@ -106,10 +124,11 @@ def _language(column: str):
     return F.when(~base.isin("", "und", "mul", "zxx"), base)
 
 
-def usual_shares(pages: DataFrame, common_share: float, least_pages: int, link_share: float) -> dict[str, dict[str, float]]:
-    """For each calibrated language the words its pages have in common, with the share of a page that is usual for each.
+def usual_shares(pages: DataFrame, common_share: float, prior_pages: int) -> dict[str, dict[str, float]]:
+    """For each language the words its pages have in common, with the share of a page that is usual for each.
 
-    Only distinct texts of varied wording count, so that copies and stuffed pages make no word common.
+    Only distinct texts of varied wording count, so that copies and stuffed pages make no word common. A word is common if it
+    is in ``common_share`` of the pages and of ``prior_pages`` more without it.
     """
 
     def count(frames):
@@ -119,7 +138,7 @@ def usual_shares(pages: DataFrame, common_share: float, least_pages: int, link_s
             seen: dict = defaultdict(lambda: [0, 0.0, 0.0])
             for language, text in zip(pdf["language"], pdf["text"]):
                 words = page_words(text)
-                if variety(words) < PLAIN or _link_share(text) >= link_share:
+                if variety(words) < PLAIN or _link_share(text) >= BOUNDS["links"][0]:
                     continue
                 seen[language, ""][0] += 1
                 for w, k in Counter(words).items():
@@ -131,14 +150,13 @@ def usual_shares(pages: DataFrame, common_share: float, least_pages: int, link_s
 
     texts = pages.filter("language is not null").groupBy("language", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("language", "text")
     per = texts.mapInPandas(count, "language string, word string, n bigint, total double, squares double").groupBy("language", "word").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
-    per = materialise(per.filter(F.col("n") >= F.lit(common_share * least_pages)), "page-words")
-    languages = per.filter("word = ''").select("language", F.col("n").alias("pages"))
-    enough = languages.filter(F.col("pages") >= least_pages)
-    found = per.filter("word <> ''").join(F.broadcast(enough), "language").filter(F.col("n") >= F.col("pages") * common_share)
-    out: dict[str, dict[str, float]] = {r["language"]: {} for r in enough.select("language").collect()}
+    per = materialise(per.filter((F.col("word") == "") | (F.col("n") >= F.lit(common_share * prior_pages))), "page-words")
+    sizes = per.filter("word = ''").select("language", F.col("n").alias("pages"))
+    found = per.filter("word <> ''").join(F.broadcast(sizes), "language").filter(F.col("n") >= (F.col("pages") + prior_pages) * common_share)
+    out: dict[str, dict[str, float]] = {}
     for r in found.select("language", "word", "n", "total", "squares").collect():
         mean = r["total"] / r["n"]
-        out[r["language"]][r["word"]] = min(MOST_USUAL, mean + DEVIATIONS * math.sqrt(max(0.0, r["squares"] / r["n"] - mean * mean)))
+        out.setdefault(r["language"], {})[r["word"]] = min(MOST_USUAL, mean + DEVIATIONS * math.sqrt(max(0.0, r["squares"] / r["n"] - mean * mean)))
     return out
 
 
@@ -160,12 +178,35 @@ def page_usual(words: list[str], tag: str | None, known: Mapping[str, tuple[tupl
     return {w: max(share for language, share in x if language in held) for w, x in pairs if any(language in held for language, _ in x)}
 
 
-def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages: int = 20, link_share: float = 0.4, least_repeated: float = 0.25, most_repeated: float = 0.45, top_share: float = 0.13, most_twice: float = 0.6) -> DataFrame:
-    """(doc_id) of the pages made of keywords, links or tags; ``documents`` has doc_id, text and lang."""
+def _limits(features: DataFrame, prior_pages: int) -> DataFrame:
+    """(language, a limit for each share, weight) of every language: what is far from usual in its distinct varied texts."""
+    plain = features.filter(F.col("language").isNotNull() & (F.col("variety") >= PLAIN)).dropDuplicates(["language", "digest"])
+    quarters = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(c) for c in BOUNDS]
+    usual = plain.groupBy("language").agg(F.count(F.lit(1)).alias("pages"), *quarters)
+    weight = F.col("pages") / (F.col("pages") + prior_pages)
+
+    def limit(c: str, low: float, high: float):
+        q1, q2, q3 = (F.element_at(c, i) for i in (1, 2, 3))
+        if c == "function":
+            here, prior = q2 - 3 * (q2 - q1), low
+        else:
+            here, prior = q3 + 3 * (q3 - q2), high
+        bounded = F.least(F.lit(high), F.greatest(F.lit(low), here))
+        return (weight * bounded + (1 - weight) * F.lit(prior)).alias(f"{c}_limit")
+
+    return usual.select("language", weight.alias("weight"), *(limit(c, *b) for c, b in BOUNDS.items()))
+
+
+def stuffed_pages(documents: DataFrame, common_share: float = 0.25, prior_pages: int = 20) -> DataFrame:
+    """(doc_id) of the pages made of keywords, links or tags; ``documents`` has doc_id, text and lang.
+
+    Pages without a language tag are judged by the limits that ask for least, and weigh like the language with most pages.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
     pages = documents.select("doc_id", "text", _language("lang").alias("language")).filter(F.length(F.trim("text")) > 0)
-    learned = usual_shares(pages, common_share, least_pages, link_share)
-    known = by_word({k: dict.fromkeys(v.split(), FUNCTION_SHARE) for k, v in FUNCTION_WORDS.items()} | learned)
+    learned = usual_shares(pages, common_share, prior_pages)
+    fixed = {k: dict.fromkeys(v.split(), FUNCTION_SHARE) for k, v in FUNCTION_WORDS.items()}
+    known = by_word({k: fixed.get(k, {}) | learned.get(k, {}) for k in fixed.keys() | learned.keys()})
 
     def measure(frames):
         import pandas as pd
@@ -176,16 +217,18 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, least_pages:
                 shown = _shown(text)
                 words = _words(shown)
                 rows.append((i, language, digest, *_features(text, shown, words, page_usual(words, language, known))))
-            yield pd.DataFrame(rows, columns=["doc_id", "language", "digest", "n_words", "repeated", "twice", "top", "lines", "separators", "links", "variety"])
+            yield pd.DataFrame(rows, columns=["doc_id", "language", "digest", *SHARES])
 
     features = materialise(pages.withColumn("digest", F.md5("text")).mapInPandas(measure, FEATURES.format(kind=kind)), "page-features")
-    plain = features.filter(F.col("language").isNotNull() & (F.col("variety") >= PLAIN)).dropDuplicates(["language", "digest"])
-    usual = plain.groupBy("language").agg(F.count(F.lit(1)).alias("pages"), F.percentile_approx("repeated", F.lit(0.5), F.lit(1000)).alias("half"), F.percentile_approx("repeated", F.lit(0.75), F.lit(1000)).alias("most"))
-    limit = F.least(F.lit(most_repeated), F.greatest(F.lit(least_repeated), F.col("most") + 3 * (F.col("most") - F.col("half"))))
-    limits = usual.filter(F.col("pages") >= least_pages).select("language", limit.alias("limit"))
-    judged = features.join(limits, "language", "left").withColumn("limit", F.coalesce("limit", F.lit(least_repeated)))
-    confirmed = (F.col("top") >= top_share) | (F.col("lines") >= 0.4) | (F.col("separators") >= 0.2) & (F.col("repeated") >= 0.9 * most_repeated)
-    stuffed = ((F.col("repeated") >= most_repeated) | (F.col("twice") >= most_twice) | (F.col("repeated") >= F.col("limit")) & confirmed) & (F.col("n_words") >= 8)
-    calibrated = F.col("language").isNull() & F.lit(bool(learned)) | F.coalesce(F.col("language").isin(sorted(learned)), F.lit(False))
-    stuffed &= calibrated | (F.col("variety") < PLAIN)
-    return judged.filter((F.col("links") >= link_share) | stuffed).select("doc_id").distinct()
+    limits = materialise(_limits(features, prior_pages), "page-limits")
+    untagged = limits.agg(F.max("weight").alias("weight"), *((F.max if c == "function" else F.min)(f"{c}_limit").alias(f"{c}_limit") for c in BOUNDS)).select(F.lit(None).cast("string").alias("language"), "*")
+    a, b = features.alias("a"), limits.unionByName(untagged).alias("b")
+    judged = a.join(F.broadcast(b), F.col("a.language").eqNullSafe(F.col("b.language")), "left")
+    over = {c: F.col(f"a.{c}") >= F.coalesce(F.col(f"{c}_limit"), F.lit(high)) for c, (_, high) in BOUNDS.items()}
+    lacking = F.col("function") < F.coalesce("function_limit", F.lit(BOUNDS["function"][0]))
+    little = F.col("variety") < PLAIN
+    confirmed = over["top"] | over["phrase"] & little | over["lines"] | over["separators"] & (F.col("repeated") >= 0.9 * MOST_REPEATED)
+    stuffed = (F.col("repeated") >= MOST_REPEATED) | over["twice"] | over["repeated"] & confirmed | over["phrases"] & little
+    # Without pages to calibrate it by, a language is known by its lack of variety only.
+    plain_enough = F.col("variety") < PLAIN + (1 - PLAIN) * F.coalesce("weight", F.lit(0.0))
+    return judged.filter(over["links"] | stuffed & lacking & plain_enough).select("doc_id").distinct()

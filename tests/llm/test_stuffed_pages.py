@@ -41,3 +41,39 @@ def test_a_language_with_few_pages_is_judged_alike(spark):
     for n in (3, 12):
         rows = [(i, ordinary_de + t, "de") for i, t in enumerate(f"Punkt {x} ist hier neu und wichtig." for x in range(n))]
         assert found(spark, [*rows, (100, spam, "de")]) == {100}
+
+
+def test_links_with_long_labels_count():
+    page = "\n".join(f'<a href="http://shop.test/{i}">{"long label of words " * 30}</a>' for i in range(3)) + "\n" + "\n".join(f"[{'label ' * 80}](/x/{i})" for i in range(3))
+    assert s._link_share(page) > 0.95
+    assert s._link_share("<a href='x'>" * 3000 + "[" * 3000) < 0.5
+
+
+def test_phrases_of_a_page_count():
+    assert s._again("one two three four one two three five".split())[0] == 2 / 6
+    assert s._again([]) == (0.0, 0.0)
+
+
+def test_a_page_of_phrases_is_found_and_function_words_protect(spark):
+    rows = [(i, t, "en") for i, t in enumerate(ordinary(60))]
+    phrases = ["buy cheap zolanbo tablets online", "order best mirtane capsules today", "get discount peltaro pills delivered"]
+    spam = " ".join(phrases * 4)
+    plain = "It was seen in the trial that the dose of the drug in the morning is not the dose of the drug in the evening and that it should be taken with water. " * 4
+    assert found(spark, [*rows, (100, spam, "en"), (101, plain, "en")]) == {100}
+
+
+def test_a_very_short_page_is_judged_too(spark):
+    rows = [(i, t, "en") for i, t in enumerate(ordinary(60))]
+    assert found(spark, [*rows, (100, "zolanbo zolanbo zolanbo", "en"), (101, "Kidney function", "en")]) == {100}
+
+
+def test_signs_belong_to_words():
+    assert s.page_words("अधिक न हो") == ["अधिक", "हो"]
+
+
+def test_limits_move_with_the_pages_of_a_language(spark):
+    kinds = s.FEATURES.format(kind="bigint")
+    rows = [(i, "en", str(i), *[0.1] * 9, 0.9) for i in range(80)] + [(100 + i, "xx", str(i), *[0.1] * 9, 0.9) for i in range(2)]
+    got = {r["language"]: r for r in s._limits(spark.createDataFrame(rows, kinds), 20).collect()}
+    assert abs(got["en"]["weight"] - 0.8) < 1e-9 and s.BOUNDS["top"][0] < got["en"]["top_limit"] < got["xx"]["top_limit"] < s.BOUNDS["top"][1]
+    assert got["xx"]["function_limit"] >= s.BOUNDS["function"][0]
