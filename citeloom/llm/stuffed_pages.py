@@ -41,8 +41,9 @@ _LINK = re.compile(r"<a\s[^>]*>(?:[^<]|<(?!/?a[\s>]))*</a>|!?\[[^\[\]\n]*\]\([^(
 _ADDRESS = re.compile(r"<[^<>]*>|\]\([^)\s]*\)|(?:https?://|www\.)\S+")
 _JOINED = re.compile(r"(?<=[^\W\d_A-ZА-ЯÀ-Þ])(?=[A-ZА-ЯÀ-Þ])")
 _SEPARATORS = ("|", "/", "·", "»", "«", "#", ";", "•", "★", "☆", " – ", " — ", " - ")
-SHARES = ("repeated", "twice", "top", "phrases", "phrase", "lines", "separators", "links", "function", "variety")
-FEATURES = "doc_id {kind}, language string, digest string, " + ", ".join(f"{c} double" for c in SHARES)
+FORM = ("lines", "separators", "links", "variety")
+SHARES = ("repeated", "twice", "top", "phrases", "phrase", "function", *FORM)
+FEATURES = "language string, digest string, " + ", ".join(f"{c} double" for c in SHARES)
 #: Words of a block whose variety is measured, the variety of ordinary wording, the deviations and the most that is usual of a common word.
 BLOCK, PLAIN, DEVIATIONS, MOST_USUAL = 50, 0.6, 5.0, 0.25
 #: For each share the least and the most that its limit can be; where a language has no pages, the most (of ``function``, the least) holds.
@@ -92,21 +93,31 @@ def page_features(text: str, usual: Mapping[str, float] | Iterable[str]) -> tupl
 
     ``usual`` gives the share up to which a common word is no keyword; words without one (a mere set) never are.
     """
-    shown = _shown(text)
-    return _features(text, shown, _words(shown), usual if isinstance(usual, Mapping) else dict.fromkeys(usual, 1.0))
+    words, *form = _read(text)
+    return (*_wording(words, form[-1], usual if isinstance(usual, Mapping) else dict.fromkeys(usual, 1.0)), *form)
 
 
 def _again(words: list[str]) -> tuple[float, float]:
-    """(share of the three-word phrases that come again, share of the words that the most frequent two-word phrase makes up)."""
-    three, two = Counter(zip(words, words[1:], words[2:])), Counter(zip(words, words[1:]))
-    most = max(two.values(), default=0)
-    return sum(k for k in three.values() if k > 1) / max(1, len(words) - 2), 2 * most / max(1, len(words)) if most > 1 else 0.0
+    """(share of the three-word phrases that come again, share of the words that the most frequent of them makes up)."""
+    counts = Counter(zip(words, words[1:], words[2:]))
+    n = max(1, len(words) - 2)
+    if len(counts) == n:
+        return 0.0, 0.0
+    return sum(k for k in counts.values() if k > 1) / n, 3 * max(counts.values(), default=0) / max(1, len(words))
+
 
+def _read(text: str) -> tuple[list[str], float, float, float, float]:
+    """(words, share of repeated lines, separators per word, share of text in links, variety)."""
+    shown = _shown(text)
+    words = _words(shown)
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    return words, (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / max(1, len(words)), _link_share(text), variety(words)
 
-def _features(text: str, shown: str, words: list[str], usual: Mapping[str, float]) -> tuple[float, ...]:
+
+def _wording(words: list[str], varied: float, usual: Mapping[str, float]) -> tuple[float, ...]:
+    """The shares that the words make, up to ``function``."""
     m = max(1, len(words))
     counts = Counter(words)
-    varied = variety(words)
     function = 0.0
     for w in usual.keys() & counts.keys():
         function += min(counts[w], usual[w] * m + 1)
@@ -114,8 +125,7 @@ def _features(text: str, shown: str, words: list[str], usual: Mapping[str, float
             del counts[w]
     repeated, twice = (sum(k for k in counts.values() if k >= least) for least in (3, 2))
     top = max(counts.values(), default=0)
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    return repeated / m, twice / m, top / m, *_again(words), (len(lines) - len(set(lines))) / max(1, len(lines)), sum(map(shown.count, _SEPARATORS)) / m, _link_share(text), function / m, varied
+    return repeated / m, twice / m, top / m, *_again(words), function / m
 
 
 def _language(column: str):
@@ -124,8 +134,21 @@ def _language(column: str):
     return F.when(~base.isin("", "und", "mul", "zxx"), base)
 
 
+def read_pages(texts: DataFrame) -> DataFrame:
+    """``texts`` (language, digest, text) with their words, joined by blanks, and the shares of ``FORM`` instead of the text."""
+
+    def read(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = [(words, *form) for words, *form in map(_read, pdf["text"])]
+            yield pd.DataFrame([(a, b, " ".join(words), *form) for a, b, (words, *form) in zip(pdf["language"], pdf["digest"], rows)], columns=["language", "digest", "words", *FORM])
+
+    return texts.mapInPandas(read, "language string, digest string, words string, " + ", ".join(f"{c} double" for c in FORM))
+
+
 def usual_shares(pages: DataFrame, common_share: float, prior_pages: int) -> dict[str, dict[str, float]]:
-    """For each language the words its pages have in common, with the share of a page that is usual for each.
+    """For each language the words its pages (of ``read_pages``) have in common, with the share of a page that is usual for each.
 
     Only distinct texts of varied wording count, so that copies and stuffed pages make no word common. A word is common if it
     is in ``common_share`` of the pages and of ``prior_pages`` more without it.
@@ -136,10 +159,8 @@ def usual_shares(pages: DataFrame, common_share: float, prior_pages: int) -> dic
 
         for pdf in frames:
             seen: dict = defaultdict(lambda: [0, 0.0, 0.0])
-            for language, text in zip(pdf["language"], pdf["text"]):
-                words = page_words(text)
-                if variety(words) < PLAIN or _link_share(text) >= BOUNDS["links"][0]:
-                    continue
+            for language, line in zip(pdf["language"], pdf["words"]):
+                words = line.split(" ")
                 seen[language, ""][0] += 1
                 for w, k in Counter(words).items():
                     one, share = seen[language, w], k / len(words)
@@ -148,8 +169,8 @@ def usual_shares(pages: DataFrame, common_share: float, prior_pages: int) -> dic
                     one[2] += share * share
             yield pd.DataFrame([(a, b, *x) for (a, b), x in seen.items()], columns=["language", "word", "n", "total", "squares"])
 
-    texts = pages.filter("language is not null").groupBy("language", F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("language", "text")
-    per = texts.mapInPandas(count, "language string, word string, n bigint, total double, squares double").groupBy("language", "word").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
+    plain = pages.filter(F.col("language").isNotNull() & (F.length("words") > 0) & (F.col("variety") >= PLAIN) & (F.col("links") < BOUNDS["links"][0])).select("language", "words")
+    per = plain.mapInPandas(count, "language string, word string, n bigint, total double, squares double").groupBy("language", "word").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
     per = materialise(per.filter((F.col("word") == "") | (F.col("n") >= F.lit(common_share * prior_pages))), "page-words")
     sizes = per.filter("word = ''").select("language", F.col("n").alias("pages"))
     found = per.filter("word <> ''").join(F.broadcast(sizes), "language").filter(F.col("n") >= (F.col("pages") + prior_pages) * common_share)
@@ -180,7 +201,7 @@ def page_usual(words: list[str], tag: str | None, known: Mapping[str, tuple[tupl
 
 def _limits(features: DataFrame, prior_pages: int) -> DataFrame:
     """(language, a limit for each share, weight) of every language: what is far from usual in its distinct varied texts."""
-    plain = features.filter(F.col("language").isNotNull() & (F.col("variety") >= PLAIN)).dropDuplicates(["language", "digest"])
+    plain = features.filter(F.col("language").isNotNull() & (F.col("variety") >= PLAIN))
     quarters = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(c) for c in BOUNDS]
     usual = plain.groupBy("language").agg(F.count(F.lit(1)).alias("pages"), *quarters)
     weight = F.col("pages") / (F.col("pages") + prior_pages)
@@ -202,8 +223,10 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, prior_pages:
 
     Pages without a language tag are judged by the limits that ask for least, and weigh like the language with most pages.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    pages = documents.select("doc_id", "text", _language("lang").alias("language")).filter(F.length(F.trim("text")) > 0)
+    named = documents.select("doc_id", "text", _language("lang").alias("language")).filter(F.length(F.trim("text")) > 0).withColumn("digest", F.md5("text"))
+    texts = named.groupBy("language", "digest").agg(F.first("text").alias("text"))
+    # Cut here: every text is taken apart once, whatever is asked of its words.
+    pages = materialise(read_pages(texts), "page-read")
     learned = usual_shares(pages, common_share, prior_pages)
     fixed = {k: dict.fromkeys(v.split(), FUNCTION_SHARE) for k, v in FUNCTION_WORDS.items()}
     known = by_word({k: fixed.get(k, {}) | learned.get(k, {}) for k in fixed.keys() | learned.keys()})
@@ -213,13 +236,12 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, prior_pages:
 
         for pdf in frames:
             rows = []
-            for i, language, digest, text in zip(pdf["doc_id"], pdf["language"], pdf["digest"], pdf["text"]):
-                shown = _shown(text)
-                words = _words(shown)
-                rows.append((i, language, digest, *_features(text, shown, words, page_usual(words, language, known))))
-            yield pd.DataFrame(rows, columns=["doc_id", "language", "digest", *SHARES])
+            for language, digest, line, *form in zip(*(pdf[c] for c in ("language", "digest", "words", *FORM))):
+                words = line.split(" ") if line else []
+                rows.append((language, digest, *_wording(words, form[-1], page_usual(words, language, known)), *form))
+            yield pd.DataFrame(rows, columns=["language", "digest", *SHARES])
 
-    features = materialise(pages.withColumn("digest", F.md5("text")).mapInPandas(measure, FEATURES.format(kind=kind)), "page-features")
+    features = materialise(pages.mapInPandas(measure, FEATURES), "page-features")
     limits = materialise(_limits(features, prior_pages), "page-limits")
     untagged = limits.agg(F.max("weight").alias("weight"), *((F.max if c == "function" else F.min)(f"{c}_limit").alias(f"{c}_limit") for c in BOUNDS)).select(F.lit(None).cast("string").alias("language"), "*")
     a, b = features.alias("a"), limits.unionByName(untagged).alias("b")
@@ -231,4 +253,6 @@ def stuffed_pages(documents: DataFrame, common_share: float = 0.25, prior_pages:
     stuffed = (F.col("repeated") >= MOST_REPEATED) | over["twice"] | over["repeated"] & confirmed | over["phrases"] & little
     # Without pages to calibrate it by, a language is known by its lack of variety only.
     plain_enough = F.col("variety") < PLAIN + (1 - PLAIN) * F.coalesce("weight", F.lit(0.0))
-    return judged.filter(over["links"] | stuffed & lacking & plain_enough).select("doc_id").distinct()
+    found = judged.filter(over["links"] | stuffed & lacking & plain_enough).select("a.language", "a.digest")
+    n, f = named.select("doc_id", "language", "digest").alias("n"), found.alias("f")
+    return n.join(f, F.col("n.language").eqNullSafe(F.col("f.language")) & (F.col("n.digest") == F.col("f.digest")), "left_semi").select("doc_id").distinct()

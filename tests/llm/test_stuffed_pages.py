@@ -72,8 +72,7 @@ def test_signs_belong_to_words():
 
 
 def test_limits_move_with_the_pages_of_a_language(spark):
-    kinds = s.FEATURES.format(kind="bigint")
-    rows = [(i, "en", str(i), *[0.1] * 9, 0.9) for i in range(80)] + [(100 + i, "xx", str(i), *[0.1] * 9, 0.9) for i in range(2)]
-    got = {r["language"]: r for r in s._limits(spark.createDataFrame(rows, kinds), 20).collect()}
+    rows = [("en", str(i), *[0.1] * 9, 0.9) for i in range(80)] + [("xx", str(i), *[0.1] * 9, 0.9) for i in range(2)]
+    got = {r["language"]: r for r in s._limits(spark.createDataFrame(rows, s.FEATURES), 20).collect()}
     assert abs(got["en"]["weight"] - 0.8) < 1e-9 and s.BOUNDS["top"][0] < got["en"]["top_limit"] < got["xx"]["top_limit"] < s.BOUNDS["top"][1]
     assert got["xx"]["function_limit"] >= s.BOUNDS["function"][0]
