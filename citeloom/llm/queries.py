@@ -41,10 +41,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = sf_table(spark, sf_dir, "questions").groupBy("question_id").agg(F.max("question").alias("asked"))
-    answers = sf_table(spark, sf_dir, "answers").select("answer_id", "question_id", "answer", "question")
-    joined = answers.join(prompts, "question_id", "left").select("answer_id", "answer", F.coalesce("asked", "question").alias("question"))
-    return reply_defects.reply_defects(joined)
+    prompts = sf_table(spark, sf_dir, "questions").groupBy("question_id").agg(F.max(F.struct("created_at", "question"))["question"].alias("asked"))
+    answers = sf_table(spark, sf_dir, "answers").select("answer_id", "question_id", "answer", "question", "finish_reason", "loaded_at")
+    joined = answers.join(prompts, "question_id", "left").select("answer_id", "answer", F.coalesce("asked", "question").alias("question"), "finish_reason", "loaded_at")
+    tagged = sf_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return reply_defects.reply_defects(joined, profile=reply_defects.language_profile(tagged))
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

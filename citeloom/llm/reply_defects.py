@@ -1,17 +1,21 @@
 """Defects of prompt and response pairs: empty, truncated, refusal, question_copy, other_language.
 
 Copy, language and termination are read from the pair itself. Refusals are found by their templates: the openings of all
-responses, with the words of their own prompt and all numbers masked, are clustered by MinHash over shingles of five
-words, and each pair of a cluster is confirmed by its Jaccard similarity of 0.8 or more. A cluster that recurs across
-unrelated prompts and most of whose members answer nothing is a refusal template: all its members are refusals, whatever
-figures, citations or length they have. A member answers nothing if it is thin (no citation, no figure that the prompt
-did not have, not long) or if it uses the wording of a refusal with no citation and one figure at most. A cluster that
-recurs and mostly answers is none. A thin response whose opening does not recur is a refusal only if it uses the wording of
-a refusal.
+responses are cut into clauses, in which the words of their own prompt and all numbers are masked, and the clauses are
+clustered by MinHash over shingles of five words; each link of a cluster is confirmed by its Jaccard similarity of 0.8 or
+more, and a cluster is a connected component of links. A cluster that recurs across unrelated prompts is a refusal template
+if most of its responses answer nothing (no citation, and no figure that the prompt did not have) and most of them decline:
+by their wording, or by a finish reason that says so. A response is a refusal if its opening has a clause of such a
+template and templates make up half of it, whatever its citations and figures, or if it answers nothing. Without a
+template nothing is a refusal, however short: a response that names a gap and then answers is none, and a new wording is
+one as soon as it recurs.
+
+Languages are told by the words of a profile, learned from texts with a language tag (``language_profile``) where there are
+some, on top of short lists, and by scripts. The finish reason is weak evidence only: of many responses, never of one.
 
 The first of these that holds is the defect: empty, question_copy, refusal, truncated, other_language. A null response
-is empty; a null prompt leaves only the checks that need none; rows that repeat an answer id are one record (the largest
-response counts). finish_reason is not read: in these tables it neither makes nor excludes a case.
+is empty; a null prompt leaves only the checks that need none; rows that repeat an answer id are one record, the one loaded
+last (of equal ones the largest).
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ OPENING_WORDS = 50
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 12, 3
 
 _CITED = re.compile(r"\{\{cite:[^|}]*\|[^}]*\}\}")
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
 _WORD = re.compile(r"[぀-ヿ一-鿿㐀-䶿]|[^\W_](?:[\w.,'’\-]*[^\W_])?")
 _STOP = re.compile(r"[.!?。！？؟।…]")
@@ -115,24 +119,50 @@ def is_truncated(text: str) -> bool:
     return False
 
 
-def entry_template(text: str) -> str | None:
-    """The last line with names and numbers masked, if it is a list entry without a stop."""
-    line = _INVISIBLE.sub("", _CITED.sub("", text)).rstrip().rsplit("\n", 1)[-1].strip()
-    if "{{" in line or not re.match(r"(?:[-*•–]|\d{1,3}[.)])\s+\S", line) or _STOP.match(line.rstrip(_CLOSERS)[-1:] or "."):
-        return None
-    return re.sub(r"[^\W\d_]{7,}", "_", re.sub(r"\d+(?:[.,]\d+)*", "#", line))
+_ENTRY = re.compile(r"(?:[-*•–]|\d{1,3}[.)])\s+\S")
+
+
+def entry_templates(text: str) -> tuple[list[str], str | None]:
+    """(all lines that are list entries, the last line if it is one without a stop), with names and numbers masked."""
+    lines = [x.strip() for x in _INVISIBLE.sub("", _CITED.sub("", text)).rstrip().split("\n")]
+    made = [_form(x) if _ENTRY.match(x) and "{{" not in x else None for x in lines]
+    open_end = made[-1] is not None and not _STOP.match(lines[-1].rstrip(_CLOSERS)[-1:] or ".")
+    return [x for x in made if x], made[-1] if open_end else None
+
+
+def _form(line: str) -> str:
+    """A line as tokens with blanks between them: words, and each character of scripts without spaces."""
+    masked = re.sub(r"[^\W\d_]{7,}", "_", re.sub(r"\d+(?:[.,]\d+)*", "#", line))
+    return " ".join((masked if masked.isascii() else _NO_SPACES.sub(r" \g<0> ", masked)).split())
+
+
+def complete_entries(closings: DataFrame, entries: DataFrame, least_prompts: int, least_share: float = 0.05) -> DataFrame:
+    """(closing) of the last list entries without a stop that are complete: their form ends responses to several prompts, and no cut would leave it so often.
+
+    A cut falls anywhere; so of the entries that begin like a cut one, up to its last word, hardly any ends right there. ``closings``
+    has (closing, prompt), a row a response; ``entries`` has (entry), a row for every list entry of all responses.
+    """
+    stem = lambda c, n: F.xxhash64(F.array_join(F.slice(F.split(c, " "), F.lit(1), n), " "))
+    ends = closings.groupBy("closing").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("prompt").alias("prompts")).filter(F.col("prompts") >= least_prompts)
+    ends = ends.select("closing", "n", stem("closing", F.size(F.split("closing", " ")) - 1).alias("stem"))
+    stems = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("k")).withColumn("size", F.size(F.split("entry", " ")))
+    stems = stems.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: stem(F.col("entry"), i))).alias("stem")).groupBy("stem").agg(F.sum("k").alias("k"))
+    return ends.join(stems, "stem").filter(F.col("n") >= F.col("k") * least_share).select("closing")
+
+
+Profile = dict[str, tuple[tuple[str, float], ...]]
 
 
-def language(text: str) -> str | None:
+def language(text: str, profile: Profile | None = None) -> str | None:
     """The main language, or script where it tells the language; None if nothing can be said."""
-    return _language(_clean(text))
+    return _language(_clean(text), profile or FIXED_PROFILE)
 
 
 _SCRIPTS = tuple((name, re.compile(pattern)) for name, pattern in (("kana", "[぀-ヿ]"), ("han", "[一-鿿]"), ("ar", "[؀-ۿ]"), ("ru", "[Ѐ-ӿ]"), ("hi", "[ऀ-ॿ]"), ("th", "[฀-๿]"), ("ko", "[가-힯]"), ("el", "[Ͱ-Ͽ]")))
 _PART = re.compile(r"(?<=[.!?。！？؟।])\s+|\n|(?<=[。！？])")
 
 
-def main_languages(text: str) -> set[str]:
+def main_languages(text: str, profile: Profile | None = None) -> set[str]:
     """The language of most sentences of some length, and the one in which most is said.
 
     They differ where a text mixes languages. A character of a script without letters counts as 2.5.
@@ -140,13 +170,13 @@ def main_languages(text: str) -> set[str]:
     count: dict[str, float] = {}
     length: dict[str, float] = {}
     for part in _PART.split(_clean(text)):
-        if x := _language(part):
+        if x := _language(part, profile or FIXED_PROFILE):
             length[x] = length.get(x, 0.0) + len(part.strip()) * (2.5 if x in ("zh", "ja", "ko") else 1.0)
             count[x] = count.get(x, 0.0) + (len(part) > 20)
     return {max(sorted(v), key=v.get) for v in (count, length) if v}
 
 
-def _language(shown: str) -> str | None:
+def _language(shown: str, profile: Profile) -> str | None:
     score: dict[str, float] = {}
     for name, pattern in () if shown.isascii() else _SCRIPTS:
         if n := len(pattern.findall(shown)):
@@ -155,46 +185,103 @@ def _language(shown: str) -> str | None:
         score = {k: v for k, v in score.items() if k not in ("kana", "han")} | {"ja": score["kana"] + score.get("han", 0)}
     elif "han" in score:
         score["zh"] = score.pop("han") + score.pop("kana", 0)
-    said = words(shown)
-    for name, common in _COMMON_SETS.items():
-        if n := sum(w in common for w in said):
-            score[name] = float(n)
+    for w in words(shown):
+        for name, share in profile.get(w, ()):
+            score[name] = score.get(name, 0.0) + share
     if not score:
         return None
     return max(sorted(score), key=lambda k: score[k])
 
 
+#: Pages that a word of the short lists counts for in a profile, and the share of a language's pages that makes a word one of its own.
+LIST_PAGES, OWN_SHARE = 20, 0.05
+
+
+def profile_of(counts: dict[str, dict[str, int]], sizes: dict[str, int]) -> Profile:
+    """For each word the languages that have it, each with its part of one vote; ``counts`` has the pages of each language by word."""
+    names = set(sizes) | set(_COMMON_SETS)
+    shares: dict[str, dict[str, float]] = {}
+    for name in names:
+        own, listed = counts.get(name, {}), _COMMON_SETS.get(name, frozenset())
+        n = sizes.get(name, 0) + LIST_PAGES
+        for w in own.keys() | listed:
+            share = (own.get(w, 0) + LIST_PAGES * (w in listed)) / n
+            if share >= OWN_SHARE:
+                shares.setdefault(w, {})[name] = share
+    return {w: tuple((name, x / sum(by.values())) for name, x in by.items()) for w, by in shares.items()}
+
+
+def language_profile(texts: DataFrame, sample_texts: int = 6000) -> Profile:
+    """The profile of the languages of ``texts`` (id, text, lang), fitted on at most about ``sample_texts`` of them, chosen by a hash of the id."""
+    base = F.regexp_extract(F.lower(F.trim("lang")), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    tagged = texts.select("id", "text", base.alias("lang")).filter(F.col("text").isNotNull() & ~F.col("lang").isin("", "und", "mul", "zxx"))
+    share = min(1.0, sample_texts / max(1, texts.count()))
+    sample = tagged.filter(F.xxhash64("id") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).select("lang", "text")
+
+    def count(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            seen: dict = {}
+            for name, text in zip(pdf["lang"], pdf["text"]):
+                for w in {"", *words(_clean(text))}:
+                    if not any(map(str.isdigit, w)):
+                        seen[name, w] = seen.get((name, w), 0) + 1
+            yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["lang", "word", "n"])
+
+    per = sample.mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OWN_SHARE * LIST_PAGES)
+    total = per.filter("word = ''").select("lang", F.col("n").alias("pages"))
+    kept = per.join(F.broadcast(total), "lang").filter((F.col("n") >= OWN_SHARE * (F.col("pages") + LIST_PAGES)) | (F.col("word") == ""))
+    counts: dict[str, dict[str, int]] = {}
+    sizes: dict[str, int] = {}
+    for r in kept.select("lang", "word", "n").collect():
+        if r["word"]:
+            counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+        else:
+            sizes[r["lang"]] = r["n"]
+    return profile_of(counts, sizes)
+
+
 _COMMON_SETS = {k: frozenset(v.split()) for k, v in COMMON.items()}
 _FUNCTION_WORDS = frozenset().union(*_COMMON_SETS.values())
+FIXED_PROFILE = profile_of({}, {})
 _NO_SPACES = re.compile("[぀-ヿ一-鿿㐀-䶿]")
 
 
-def is_thin(text: str, prompt: str | None) -> bool:
-    """Words only: no citation, no figure that the prompt did not have, and not long."""
+def answers_nothing(text: str, prompt: str | None) -> bool:
+    """Words only: no citation, and no figure that the prompt did not have."""
     if "{{cite:" in text:
         return False
     said, asked = words(_clean(text)), set(words(prompt or ""))
-    # Characters of scripts without spaces count as 0.4 words.
-    size = len(said) if len(said) <= 80 else len(said) - 0.6 * sum(_NO_SPACES.fullmatch(w) is not None for w in said)
-    return 0 < size <= 80 and not any(any(c.isdigit() for c in w) and w not in asked for w in said)
+    return bool(said) and not any(any(c.isdigit() for c in w) and w not in asked for w in said)
 
 
-def declines(text: str) -> bool:
-    """The wording of a refusal, with no citation and one figure at most."""
-    if "{{cite:" in text:
-        return False
-    shown = _clean(text)
-    return len(set(re.findall(r"\d+(?:[.,]\d+)*", shown))) <= 1 and bool(_DECLINING.search(shown.replace("’", "'")))
+def declines(text: str, finish: str | None = None) -> bool:
+    """The wording of a refusal, or a finish reason that says so."""
+    return (finish or "").lower() in ("refusal", "content_filter", "safety") or bool(_DECLINING.search(_clean(text).replace("’", "'")))
+
+
+_CLAUSE = re.compile(r"[.!?,;:…](?=[\s*_\"”»)\]]|\Z)|[。！？，；：、।؟،\n]|\s[–—-]\s")
 
 
-def opening(text: str, prompt: str | None) -> str:
-    """The first words, with the prompt's words and names and all numbers masked; function words stand as they are."""
+def clauses(text: str, prompt: str | None) -> tuple[list[tuple[str, int]], int]:
+    """([(clause, words)] of the opening, words of the whole): masked are the prompt's words and names and all numbers; function words stand as they are."""
     asked = set(words(prompt or "")) - _FUNCTION_WORDS
-    said = words(_clean(text))[:OPENING_WORDS]
-    masked = [w in asked and not (len(w) == 1 and _NO_SPACES.match(w)) for w in said]
+    low = prompt.lower() if prompt and _NO_SPACES.search(prompt) else ""
+    out: list[tuple[str, int]] = []
+    total = 0
+    for part in _CLAUSE.split(_clean(text)):
+        said = words(part)
+        total += len(said)
+        if total - len(said) < OPENING_WORDS and (made := _masked(said, asked, low)) not in ("", "_", "#"):
+            out.append((made, len(said)))
+    return out, total
+
+
+def _masked(said: list[str], asked: set[str], low: str) -> str:
+    masked = [w in asked and not (len(w) == 1 and _NO_SPACES.match(w) is not None) for w in said]
     # Scripts without spaces have a word a character: three in a row that the prompt has are a word of it.
-    if prompt and _NO_SPACES.search(prompt) and _NO_SPACES.search(" ".join(said)):
-        low = prompt.lower()
+    if low:
         for i in range(len(said) - 2):
             if all(map(_NO_SPACES.fullmatch, said[i : i + 3])) and "".join(said[i : i + 3]) in low:
                 masked[i : i + 3] = [True] * 3
@@ -222,10 +309,18 @@ _A = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
 
 
-def _bands(text: str) -> list[int]:
-    s = np.array(sorted(shingles(text)), dtype=np.uint64)
-    low = ((s[:, None] * _A + _B) % np.uint64(4294967311)).min(axis=0)
-    return [zlib.crc32(low[i * ROWS : (i + 1) * ROWS].tobytes()) | (i << 32) for i in range(BANDS)]
+def _bands(texts: list[str]) -> np.ndarray:
+    """The bands of each text, a row each: the text's number in the high half, a hash of the band's minima in the low one."""
+    own = [shingles(t) for t in texts]
+    starts = np.cumsum([0] + [len(x) for x in own])[:-1]
+    flat = np.fromiter((x for one in own for x in one), dtype=np.uint64)
+    out = np.zeros((len(texts), BANDS), dtype=np.uint64)
+    for i in range(BANDS):
+        for j in range(i * ROWS, (i + 1) * ROWS):
+            low = np.minimum.reduceat((flat * _A[j] + _B[j]) % np.uint64(4294967311), starts)
+            out[:, i] = (out[:, i] ^ low) * np.uint64(0x9E3779B97F4A7C15)
+        out[:, i] = out[:, i] >> np.uint64(5) | np.uint64(i) << np.uint64(59)
+    return out.view(np.int64)
 
 
 def cluster_openings(openings: DataFrame) -> DataFrame:
@@ -240,8 +335,8 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
         import pandas as pd
 
         for pdf in frames:
-            rows = [(o, x) for o in pdf["opening"] for x in _bands(o)]
-            yield pd.DataFrame(rows, columns=["opening", "band"])
+            if len(pdf):
+                yield pd.DataFrame({"opening": pdf["opening"].repeat(BANDS), "band": _bands(pdf["opening"].tolist()).ravel()})
 
     def confirm(frames):
         import pandas as pd
@@ -287,45 +382,49 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def reply_defects(answers: DataFrame, least_prompts: int = 3, least_share: float = 0.0003) -> DataFrame:
-    """(answer_id, defect_type) of the defective ones; ``answers`` has answer_id, answer and question (the prompt)."""
+def reply_defects(answers: DataFrame, least_prompts: int = 3, profile: Profile | None = None) -> DataFrame:
+    """(answer_id, defect_type) of the defective ones.
+
+    ``answers`` has answer_id, answer and question (the prompt); finish_reason and loaded_at are used if it has them. Prompts
+    count as unrelated if the least hashes of their words differ, so that near-equal prompts count about once.
+    """
+    profile = profile or FIXED_PROFILE
 
     def judge(frames):
         import pandas as pd
 
+        names = ["answer_id", "own", "bare", "declines", "clauses", "total", "prompt", "asked", "entries", "closing", "foreign"]
         for pdf in frames:
             rows = []
-            for i, a, q in zip(pdf["answer_id"], pdf["answer"], pdf["question"]):
+            for i, a, q, finish in zip(pdf["answer_id"], pdf["answer"], pdf["question"], pdf["finish_reason"]):
                 q = q if isinstance(q, str) else None
                 if not isinstance(a, str) or is_empty(a):
-                    rows.append((i, "empty", False, False, None, None, None, False))
+                    rows.append((i, "empty", False, False, [], 0, 0, 0, [], None, False))
                     continue
-                own = entry = None
                 if is_copy(a, q):
-                    own = "question_copy"
-                elif is_truncated(a):
-                    own, entry = "truncated", entry_template(a)
-                foreign = bool(q and (x := main_languages(a)) and (y := language(q)) and y not in x)
-                if foreign and own is None:
-                    own = "other_language"
-                thin = own != "question_copy" and is_thin(a, q)
-                said_no = own != "question_copy" and declines(a)
-                rows.append((i, own, thin, said_no, opening(a, q) if own != "question_copy" else None, zlib.crc32((q or "").encode()), entry, foreign))
-            yield pd.DataFrame(rows, columns=["answer_id", "own", "thin", "declines", "opening", "prompt", "entry", "foreign"])
-
-    one = answers.groupBy("answer_id").agg(F.max("answer").alias("answer"), F.max("question").alias("question"))
-    judged = materialise(one.mapInPandas(judge, "answer_id bigint, own string, thin boolean, declines boolean, opening string, prompt bigint, entry string, foreign boolean"), "reply-judged")
-    # A last list entry without a stop is complete if entries of its template end the responses to many prompts: a cut falls anywhere.
-    entries = judged.filter("entry is not null").groupBy("entry").agg(F.countDistinct("prompt").alias("prompts"))
-    total = judged.agg((F.count(F.lit(1)) * least_share).alias("least"))
-    whole = entries.join(F.broadcast(total)).filter((F.col("prompts") >= least_prompts) & (F.col("prompts") >= F.col("least"))).select("entry", F.lit(True).alias("whole"))
-    judged = judged.join(whole, "entry", "left").withColumn("own", F.when(F.col("whole"), F.when(F.col("foreign"), "other_language")).otherwise(F.col("own")))
-    said = judged.filter("opening is not null").groupBy("opening", "prompt").agg(F.count_if("thin").alias("thin"), F.count_if(F.col("thin") | F.col("declines")).alias("bare"), F.count(F.lit(1)).alias("n"))
-    clusters = cluster_openings(said)
-    templates = said.join(clusters, "opening").groupBy("cluster").agg(F.sum("bare").alias("bare"), F.sum("n").alias("n"), F.approx_count_distinct("prompt").alias("prompts"))
-    # A template that recurs across prompts is a refusal if most of its responses answer nothing, and none if most go on to an answer.
-    recurring = templates.filter(F.col("prompts") >= least_prompts).select("cluster", (F.col("bare") * 2 >= F.col("n")).alias("refuses"))
-    known = clusters.join(recurring, "cluster").select("opening", "refuses")
-    out = judged.join(known, "opening", "left")
-    refusal = F.coalesce("refuses", F.col("thin") & F.col("declines")) & (F.col("own").isNull() | (F.col("own") == "other_language"))
-    return out.select("answer_id", F.when(F.col("own") == "question_copy", F.col("own")).when(refusal, "refusal").otherwise(F.col("own")).alias("defect_type")).filter("defect_type is not null")
+                    rows.append((i, "question_copy", False, False, [], 0, 0, 0, [], None, False))
+                    continue
+                foreign = bool(q and (x := main_languages(a, profile)) and (y := language(q, profile)) and y not in x)
+                own = "truncated" if is_truncated(a) else "other_language" if foreign else None
+                said, total = clauses(a, q)
+                prompt = min((zlib.crc32(w.encode()) for w in set(words(q or "")) - _FUNCTION_WORDS), default=0)
+                rows.append((i, own, answers_nothing(a, q), declines(a, finish), said, total, prompt, zlib.crc32((q or "").encode()), *entry_templates(a), foreign))
+            yield pd.DataFrame(rows, columns=names)
+
+    have = {"finish_reason": "string", "loaded_at": "timestamp"}
+    given = answers.select("answer_id", "answer", "question", *[F.col(c) if c in answers.columns else F.lit(None).cast(t).alias(c) for c, t in have.items()])
+    one = given.groupBy("answer_id").agg(F.max(F.struct("loaded_at", "answer", "question", "finish_reason")).alias("x")).select("answer_id", "x.answer", "x.question", "x.finish_reason")
+    judged = materialise(one.mapInPandas(judge, "answer_id bigint, own string, bare boolean, declines boolean, clauses array<struct<clause: string, n: int>>, total int, prompt bigint, asked bigint, entries array<string>, closing string, foreign boolean"), "reply-judged")
+    closing = F.when(F.col("own") == "truncated", F.col("closing"))
+    whole = complete_entries(judged.select(closing.alias("closing"), F.col("asked").alias("prompt")).filter("closing is not null"), judged.select(F.explode("entries").alias("entry")), least_prompts)
+    judged = judged.withColumn("closing", closing).join(whole.withColumn("whole", F.lit(True)), "closing", "left").withColumn("own", F.when(F.col("whole"), F.when(F.col("foreign"), "other_language")).otherwise(F.col("own"))).drop("closing", "whole", "entries")
+
+    said = judged.select("answer_id", "prompt", "bare", "declines", F.explode("clauses").alias("x")).select("answer_id", "prompt", "bare", "declines", F.col("x.clause").alias("opening"), "x.n")
+    counted = said.groupBy("opening", "prompt").agg(F.count_if("bare").alias("bare"), F.count_if("declines").alias("declines"), F.count(F.lit(1)).alias("n"))
+    clusters = materialise(cluster_openings(counted), "reply-clusters")
+    templates = counted.join(clusters, "opening").groupBy("cluster").agg(F.sum("bare").alias("bare"), F.sum("declines").alias("declines"), F.sum("n").alias("n"), F.approx_count_distinct("prompt").alias("prompts"))
+    refusing = templates.filter((F.col("prompts") >= least_prompts) & (F.col("bare") * 2 >= F.col("n")) & (F.col("declines") * 2 >= F.col("n"))).select("cluster")
+    known = clusters.join(refusing, "cluster", "left_semi").select("opening")
+    covered = said.join(known, "opening", "left_semi").groupBy("answer_id").agg(F.sum("n").alias("covered"))
+    refusal = F.coalesce((F.col("covered") * 2 >= F.col("total")) | F.col("covered").isNotNull() & F.col("bare"), F.lit(False))
+    return judged.join(covered, "answer_id", "left").select("answer_id", F.when(refusal, "refusal").otherwise(F.col("own")).alias("defect_type")).filter("defect_type is not null")

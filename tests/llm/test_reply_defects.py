@@ -48,15 +48,39 @@ def test_main_language_is_that_of_most_sentences():
     assert d.main_languages("突然停用x会使风险升高1.7%，这一点已由LUCK-1证实。在研究中下降了2%。") == {"zh"} and d.main_languages("") == set()
 
 
+TOPICS = ["Which dose of zolan is right for children?", "Is abc safe in winter?", "When may mirlubexa be stopped before surgery?", "Can quofentil be combined with hibtor?", "What does the trial say of dranista?"]
+
+
 def test_operator(spark):
     rows = [(1, None, Q), (2, Q, Q), (3, "I am unable to give advice about zolvoridorane.", Q), (4, GOOD, Q), (5, GOOD[:-3], Q), (6, "突然停用zolvoridorane会使风险升高1.7%。在研究中下降了2%。", Q), (7, GOOD, None), (3, "I am unable to give advice about zolvoridorane.", Q)]
+    rows += [(10 + i, f"I am unable to give advice about {t.split()[-1].rstrip('?')}.", t) for i, t in enumerate(TOPICS)]
     rows += [(100 + i, f"The sections give no threshold for drug{i}, but they support these points. {GOOD}", f"Which dose of drug{i}?") for i in range(5)]
     df = spark.createDataFrame(rows, "answer_id long, answer string, question string")
     got = {(r["answer_id"], r["defect_type"]) for r in d.reply_defects(df).collect()}
-    assert got == {(1, "empty"), (2, "question_copy"), (3, "refusal"), (5, "truncated"), (6, "other_language")}
+    assert got == {(1, "empty"), (2, "question_copy"), (3, "refusal"), (5, "truncated"), (6, "other_language")} | {(10 + i, "refusal") for i in range(5)}
     assert d.reply_defects(df.limit(0)).count() == 0
 
 
+def test_the_row_loaded_last_counts_and_null_columns(spark):
+    from datetime import datetime
+
+    rows = [(1, GOOD, Q, None, datetime(2024, 1, 1)), (1, "", Q, "stop", datetime(2024, 1, 2)), (2, GOOD, None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "answer_id long, answer string, question string, finish_reason string, loaded_at timestamp")
+    assert {tuple(r) for r in d.reply_defects(df).collect()} == {(1, "empty"), (None, "empty")}
+
+
+def test_profiles_are_learned_from_tagged_texts(spark):
+    it = "Il rene deve essere controllato dopo la prima settimana di terapia e non si può dire che il rischio sia più alto negli anziani"
+    nl = "De nier moet worden gecontroleerd na de eerste week van de behandeling en het is niet zo dat het risico hoger is bij ouderen"
+    rows = [(f"{k}{i}", t, k) for k, t in (("it", it), ("nl", nl)) for i in range(30)] + [("x", None, "it"), ("y", "abc", None), ("z", "", "und")]
+    profile = d.language_profile(spark.createDataFrame(rows, "id string, text string, lang string"))
+    assert d.language("Non si può controllare il rene", profile) == "it" and d.language("Het risico is hoger na de behandeling", profile) == "nl"
+    assert d.language("The risk of the patients is higher", profile) == "en"
+    rows = [(1, "Het risico is hoger na de behandeling en moet worden gecontroleerd.", "Quando si deve controllare il rene dopo la terapia?")]
+    df = spark.createDataFrame(rows, "answer_id long, answer string, question string")
+    assert {tuple(r) for r in d.reply_defects(df, profile=profile).collect()} == {(1, "other_language")}
+
+
 def test_entries_without_a_stop_are_complete_if_their_form_recurs(spark):
     rows = [(i, f"{GOOD}\n- Drugname{'abcdef'[i]} {i}5 mg, once daily", f"question number {i} about it?") for i in range(5)]
     rows.append((9, f"{GOOD}\n- Stopping drugnamex abruptly rai", "another one about it?"))
@@ -64,6 +88,15 @@ def test_entries_without_a_stop_are_complete_if_their_form_recurs(spark):
     assert {tuple(r) for r in d.reply_defects(df).collect()} == {(9, "truncated")}
 
 
+def test_a_recurring_cut_of_a_common_entry_is_no_form(spark):
+    """The same three responses are cut at one place, but most entries that begin alike go on."""
+    whole = "- When stable, recheck the patients of the ward every week."
+    rows = [(i, f"{GOOD}\n{whole}\n{whole}", f"question number {i} about it?") for i in range(60)]
+    rows += [(100 + i, f"{GOOD}\n{whole}\n- When stable, recheck", f"another question {i} about it?") for i in range(3)]
+    df = spark.createDataFrame(rows, "answer_id long, answer string, question string")
+    assert {tuple(r) for r in d.reply_defects(df).collect()} == {(100 + i, "truncated") for i in range(3)}
+
+
 def test_openings_cluster(spark):
     words = "one two three four five six seven eight nine ten eleven twelve"
     other = words.replace("twelve", "dozen")
