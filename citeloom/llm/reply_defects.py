@@ -20,6 +20,7 @@ last (of equal ones the largest).
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -323,12 +324,56 @@ def _bands(texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+class _Bucket:
+    """The texts of one bucket, found by their rare end: of two texts of the similarity, the first shingles in any order meet."""
+
+    def __init__(self):
+        self.texts: list[tuple[str, set]] = []
+        self.part: list[int] = []
+        self.by_shingle: dict = {}
+
+    def _root(self, i: int) -> int:
+        while self.part[i] != i:
+            self.part[i] = i = self.part[self.part[i]]
+        return i
+
+    def add(self, text: str) -> list[str]:
+        """One text of each part of the bucket that has one like it."""
+        own = _parts(text)
+        first = sorted(own, key=hash)[: len(own) - math.ceil(SIMILARITY * len(own)) + 1]
+        me = len(self.texts)
+        self.texts.append((text, own))
+        self.part.append(me)
+        links, seen = [], set()
+        for shingle in first:
+            groups: dict[int, list[int]] = {}
+            for root, members in self.by_shingle.get(shingle, {}).items():
+                here = groups.setdefault(self._root(root), members)
+                if here is not members:
+                    here.extend(members)
+            for members in groups.values():
+                if self._root(members[0]) == self._root(me):
+                    continue
+                for i in members:
+                    if i in seen:
+                        continue
+                    seen.add(i)
+                    other, theirs = self.texts[i]
+                    if SIMILARITY * max(len(own), len(theirs)) <= min(len(own), len(theirs)) and len(own & theirs) >= SIMILARITY * len(own | theirs):
+                        links.append(other)
+                        self.part[self._root(me)] = self._root(i)
+                        break
+            groups.setdefault(self._root(me), []).append(me)
+            self.by_shingle[shingle] = groups
+        return links
+
+
 def cluster_openings(openings: DataFrame) -> DataFrame:
     """(opening, cluster): each distinct opening with the smallest one of its connected component of confirmed pairs.
 
-    In each bucket of a band an opening is compared with the earlier ones until it is linked to each part that has one like
-    it, so no link between parts is missed and a bucket of near-equal openings takes one comparison each; a task holds the
-    shingles of one bucket.
+    In each bucket of a band an opening is compared with the earlier ones that can be like it until it is linked to each part
+    that has one, so no link between parts is missed and a bucket of near-equal openings takes one comparison each; a task
+    holds the shingles of one bucket.
     """
 
     def band_rows(frames):
@@ -341,23 +386,13 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
     def confirm(frames):
         import pandas as pd
 
-        band, parts = None, []
+        band = None
         for pdf in frames:
             links = []
             for o, x in zip(pdf["opening"], pdf["band"]):
                 if x != band:
-                    band, parts = x, []
-                own = _parts(o)
-                near, far = [(o, own)], []
-                for part in parts:
-                    hub = next((h for h, theirs in part if SIMILARITY * max(len(own), len(theirs)) <= min(len(own), len(theirs)) and len(own & theirs) >= SIMILARITY * len(own | theirs)), None)
-                    if hub is None:
-                        far.append(part)
-                    else:
-                        links.append((o, hub))
-                        part.extend(near)
-                        near = part
-                parts = [*far, near]
+                    band, bucket = x, _Bucket()
+                links += [(o, hub) for hub in bucket.add(o)]
             yield pd.DataFrame(links, columns=["opening", "hub"])
 
     one = openings.select("opening").distinct()
