@@ -62,14 +62,14 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verdict_votes(given: DataFrame) -> DataFrame:
-    return given.select("item", "annotator", F.col("verdict").alias("label"))
+    return given.select("item", "annotator", F.col("verdict").alias("label"), F.col("shortfall").alias("kind"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = annotator_consensus.latest_labels(sf_table(spark, sf_dir, "verdicts"))
-    decided = annotator_consensus.consensus(_verdict_votes(given), annotator_consensus.VERDICTS)
-    out = annotator_consensus.with_shortfall(decided, given)
-    return out.select(F.col("item").alias("atom_id"), F.col("label").alias("support_verdict"), F.col("shortfall").alias("shortfall_type"))
+    decided = annotator_consensus.consensus(_verdict_votes(given), annotator_consensus.VERDICTS, annotator_consensus.SHORTFALLS)
+    short = F.when(F.col("label").isin(*annotator_consensus.SHORT), F.col("kind"))
+    return decided.select(F.col("item").alias("atom_id"), F.col("label").alias("support_verdict"), F.coalesce(short, F.lit("none")).alias("shortfall_type"))
 
 
 def p5_judges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,8 +97,25 @@ def test_consensus_edges(spark):
     assert ac.consensus(spark.createDataFrame([], schema), ac.VERDICTS).count() == 0
     one = ac.consensus(spark.createDataFrame([("a", "x", None), ("b", None, "contradicted"), ("c", "x", "contradicted")], schema), ac.VERDICTS).collect()
     assert [(r["item"], r["label"], r["n_votes"]) for r in one] == [("c", "contradicted", 1)]
-    with pytest.raises(ValueError):
-        ac.consensus(spark.createDataFrame([("a", "x", "contradicted"), ("a", "y", "contradicted")], schema), ac.VERDICTS, most_cells=16)
+
+
+def test_more_annotators_than_the_driver_holds(spark):
+    """The joined form gives the estimates of the other one, with kinds and ties."""
+    _, rows = simulated(60)
+    rows = [(*r, ac.SHORTFALLS[i % 4] if i % 3 else None) for i, r in enumerate(rows)]
+    votes = spark.createDataFrame(rows, "item string, annotator string, label string, kind string")
+    some, many = (ac.estimate(votes, ac.VERDICTS, ac.SHORTFALLS, most_annotators=n, rounds=4, tolerance=0.05) for n in (100, 3))
+    get = lambda df: {r["item"]: (r["label"], r["kind"], round(r["posterior"], 6), r["n_votes"]) for r in df.collect()}
+    assert get(some[0]) == get(many[0])
+    get = lambda df: {(r["annotator"], r["true_label"], r["given_label"]): (round(r["probability"], 6), round(r["accuracy"], 6)) for r in df.collect()}
+    assert get(some[1]) == get(many[1])
+
+
+def test_kinds_belong_to_the_consensus_label(spark):
+    rows = [("a", "x", "not_supported", "scope_inflation"), ("a", "y", "not_supported", "causal_upgrade"), ("a", "z", "not_supported", "causal_upgrade"), ("a", "w", "contradicted", "strength_inflation"), ("b", "x", "contradicted", None), ("c", "y", "not_supported", "unsupported_addition"), ("c", "y", "not_supported", "scope_inflation")]
+    votes = spark.createDataFrame(rows, "item string, annotator string, label string, kind string")
+    got = {r["item"]: (r["label"], r["kind"]) for r in ac.consensus(votes, ac.VERDICTS, ac.SHORTFALLS).collect()}
+    assert got == {"a": ("not_supported", "causal_upgrade"), "b": ("contradicted", None), "c": ("not_supported", "scope_inflation")}
 
 
 def test_agreement(spark):
@@ -117,8 +134,9 @@ def test_labels_and_shortfalls(spark):
     df = spark.createDataFrame(rows, "atom_id string, judge_id string, round_no int, support_verdict string, shortfall_type string, loaded_at timestamp")
     given = ac.latest_labels(df)
     assert given.count() == 4
-    out = ac.with_shortfall(spark.createDataFrame([("a", "partially_supported"), ("d", "contradicted")], "item string, label string"), given)
-    assert {tuple(r) for r in out.collect()} == {("a", "partially_supported", "scope_inflation"), ("d", "contradicted", "none")}
+    assert {(r["item"], r["annotator"]): (r["verdict"], r["shortfall"]) for r in given.collect()} == {("a", "x"): ("partially_supported", "scope_inflation"), ("a", "y"): ("partially_supported", None), ("b", "x"): (None, None), ("c", "x"): (None, None)}
+    late = spark.createDataFrame([("a", "x", 1, "contradicted", None, None), *rows], df.schema)
+    assert ac.latest_labels(late).filter("item = 'a' and annotator = 'x'").first()["verdict"] == "partially_supported"
 
 
 SAME = [("ｄｒｕｇ", "drug"), ("café", "café"), ("no​w", "now"), ("a b", "a b"), ("асе", "ace"), ("ﬁne", "fine"), ("x‑y", "x-y"), ("𝖺𝖻", "ab"), ("b͏d", "bd"), ("K", "K"), ("oﬆ", "ost"), ("a　b", "a b")]
