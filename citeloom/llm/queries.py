@@ -36,7 +36,7 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = sf_table(spark, sf_dir, "documents").select(F.lit("document").alias("rec_kind"), F.col("doc_id").alias("rec_id"), "text")
-    claims = sf_table(spark, sf_dir, "claim_rows").groupBy(F.col("claim_id").alias("rec_id")).agg(F.max("text").alias("text"))
+    claims = sf_table(spark, sf_dir, "claim_rows").groupBy(F.col("claim_id").alias("rec_id")).agg(F.max("text").alias("text"))  # without a time of loading
     return sentences.split_sentences(documents.unionByName(claims.select(F.lit("claim").alias("rec_kind"), "rec_id", "text")))
 
 

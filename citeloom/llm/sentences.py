@@ -10,7 +10,7 @@ The model is trained on boundaries that are reliable without it: stops at the en
 letter or inside a token, and stops after tokens that the sample shows never or sometimes at the end of a line. The
 sample has at most ``sample_texts`` texts, chosen by a hash of their id; everything else runs over whole texts.
 
-Null, empty and blank texts have no unit. Rows that repeat an id are one record, whose text is the largest of its texts.
+Null, empty and blank texts have no unit. Every row is a text: rows that repeat an id are to be made one before.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ _CANDIDATE = re.compile(
 )
 _GAP = re.compile(rf"[^\S{_LINE_BREAKS}]*")
 _SPACE = re.compile(r"\s*")
+_WHOLE = re.compile(r"\S+")
 _BREAK = re.compile(rf"[{_LINE_BREAKS}]+")
 _ENCLOSED = re.compile(
     rf"\"[^\"{_LINE_BREAKS}]*\"|“[^”{_LINE_BREAKS}]*”|„[^“”{_LINE_BREAKS}]*[“”]|«[^»{_LINE_BREAKS}]*»|「[^」{_LINE_BREAKS}]*」|『[^』{_LINE_BREAKS}]*』"
@@ -87,20 +88,37 @@ def _token(raw: str) -> str:
     return t.lower() if len(t) <= 6 else "<long>"
 
 
+def _last_words(text: str, start: int, stop: int, n: int) -> list[str]:
+    """The last ``n`` whole words of text[start:stop]."""
+    reach = 48
+    while True:
+        at = max(start, stop - reach)
+        found = text[at:stop].rsplit(None, n)
+        if at == start or len(found) > n:
+            return found[-n:]
+        reach *= 4
+
+
+def _next_word(text: str, at: int) -> str:
+    """The whole word that begins at ``at``."""
+    m = _WHOLE.match(text, at)
+    return m.group() if m else ""
+
+
 def _key(text: str, start: int, stop: int, m: re.Match, follow: int) -> tuple:
     """What the model sees of a candidate whose unit began at ``start`` and whose next text is at ``follow``."""
-    words = text[max(start, stop - 48) : stop].split()
+    words = _last_words(text, start, stop, 2)
     word = words[-1] if words else ""
     joined = _JOINED.match(word)
     if joined:
         words.append(word := joined.group(1))
     at = follow
     n = len(text)
-    while at < n and at < follow + 4 and (text[at] in _OPENERS or text[at].isspace()):
+    while at < n and (text[at] in _OPENERS or text[at].isspace()):
         at += 1
     ch = text[at] if at < n else ""
     closers = m.group(2)
-    ahead = text[at : at + 14].split()
+    ahead = _next_word(text, at)
     last = word.rstrip("\"“”»’」』)])")[-1:]
     return (
         "." if m.group(1) == "." else "…" if len(m.group(1)) > 1 and m.group(1)[0] == "." or "…" in m.group(1) else m.group(1)[0],
@@ -109,7 +127,7 @@ def _key(text: str, start: int, stop: int, m: re.Match, follow: int) -> tuple:
         "none" if not closers else "mark" if closers[-1] in "]¹²³⁰⁴⁵⁶⁷⁸⁹" else "quote" if closers[-1] in "\"”“»’」』›" else "bracket",
         "none" if follow == m.end() else "space",
         _kind(ch),
-        (ch if _kind(ch) == "letter" else _token(ahead[0])) if ahead else "<none>",
+        (ch if _kind(ch) == "letter" else _token(ahead)) if ahead else "<none>",
         "open" if at > follow else "plain",
         _kind(last) if last else "none",
         _script(last) if last.isalpha() else "none",
@@ -156,8 +174,8 @@ def candidates(text: str):
         if not ends and _MARK.match(text, start, stop):
             continue
         if not ends and gap_end == end:
-            token = text[max(start, stop - 200) : stop].split()[-1:] or [""]
-            if "/" in token[0] or "@" in token[0] or token[0].lower().startswith("www") or _THAI.match(text, stop - 1):
+            token = "".join(_last_words(text, start, stop, 1))
+            if "/" in token or "@" in token or token.lower().startswith("www") or _THAI.match(text, stop - 1):
                 continue
         follow = _SPACE.match(text, end).end() if ends else gap_end
         yield _key(text, start, stop, m, follow), ends, end, gap_end

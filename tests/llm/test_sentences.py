@@ -61,3 +61,21 @@ def test_units_cover_all_text(spark):
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "rec_kind string, rec_id long, text string")
     assert sentences.split_sentences(empty).count() == 0
+
+
+def test_words_are_seen_whole():
+    """Tokens before and after a stop are not cut, however long they are and wherever their line begins."""
+    long = "x" * 5000
+    assert sentences._last_words(f"ab {long} cd{long}", 0, 3 + 5000 + 1 + 5002, 2) == [long, f"cd{long}"]
+    assert sentences._last_words(f"ab {long}", 0, 5003, 3) == ["ab", long] and sentences._last_words(" \n", 0, 2, 2) == []
+    assert sentences._next_word(f"{long}y z", 0) == f"{long}y"
+    address = "See www.site.test/" + "a" * 300 + ".Bc and more"
+    assert not any(end == address.index(".Bc") + 1 for _, _, end, _ in sentences.candidates(address))
+
+
+def test_a_long_line_of_many_stops_takes_linear_time():
+    import time
+
+    begun = time.process_time()
+    n = sum(1 for _ in sentences.candidates("It was so. " * 40_000))
+    assert n == 40_000 and time.process_time() - begun < 20
