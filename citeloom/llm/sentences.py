@@ -34,6 +34,7 @@ _CANDIDATE = re.compile(
 _GAP = re.compile(rf"[^\S{_LINE_BREAKS}]*")
 _SPACE = re.compile(r"\s*")
 _WHOLE = re.compile(r"\S+")
+_ADDRESS = re.compile(r"[!-~]*\Z")
 _BREAK = re.compile(rf"[{_LINE_BREAKS}]+")
 _ENCLOSED = re.compile(
     rf"\"[^\"{_LINE_BREAKS}]*\"|“[^”{_LINE_BREAKS}]*”|„[^“”{_LINE_BREAKS}]*[“”]|«[^»{_LINE_BREAKS}]*»|「[^」{_LINE_BREAKS}]*」|『[^』{_LINE_BREAKS}]*』"
@@ -173,8 +174,9 @@ def candidates(text: str):
             continue
         if not ends and _MARK.match(text, start, stop):
             continue
-        if not ends and gap_end == end:
-            token = "".join(_last_words(text, start, stop, 1))
+        if not ends and gap_end == end and m.group(1)[0] in ".!?…":
+            # An address has no character of another script; a text without spaces that mentions mg/kg is none.
+            token = _ADDRESS.search("".join(_last_words(text, start, stop, 1))).group()
             if "/" in token or "@" in token or token.lower().startswith("www") or _THAI.match(text, stop - 1):
                 continue
         follow = _SPACE.match(text, end).end() if ends else gap_end

@@ -31,7 +31,7 @@ def test_joined_by_a_space(decide, want):
 
 
 def test_without_spaces(decide):
-    for want in (["说明书写道：“请勿停用。4周后复查。”并附有表9。", "患者问：“可以停药吗？”", "在研究中下降了29.30%。"], ["患者は「薬をやめてもよいですか？」と尋ねた。", "用量は2.40mg/kg（図10.8参照）を超えてはならない！"]):
+    for want in (["说明书写道：“请勿停用。4周后复查。”并附有表9。", "患者问：“可以停药吗？”", "在研究中下降了29.30%。"], ["患者は「薬をやめてもよいですか？」と尋ねた。", "用量は2.40mg/kg（図10.8参照）を超えてはならない！"], ["用量は2.40mg/kg（図10.8参照）を超えてはならない！", "死亡が30.16%減少した。", "患者に安全か？"]):
         text = "".join(want)
         assert [text[a:b] for a, b in sentences.units(text, decide)] == want
 
