@@ -310,18 +310,27 @@ _A = _RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64)
 
 
-def _bands(texts: list[str]) -> np.ndarray:
-    """The bands of each text, a row each: the text's number in the high half, a hash of the band's minima in the low one."""
+#: Sets of fewer shingles are alike only if they are equal.
+SMALL = 4
+
+
+def _bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, band) pairs: the band's number in the high bits, a hash of the text's minima in it in the others; one band for small sets."""
     own = [shingles(t) for t in texts]
-    starts = np.cumsum([0] + [len(x) for x in own])[:-1]
-    flat = np.fromiter((x for one in own for x in one), dtype=np.uint64)
-    out = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    for i in range(BANDS):
-        for j in range(i * ROWS, (i + 1) * ROWS):
-            low = np.minimum.reduceat((flat * _A[j] + _B[j]) % np.uint64(4294967311), starts)
-            out[:, i] = (out[:, i] ^ low) * np.uint64(0x9E3779B97F4A7C15)
-        out[:, i] = out[:, i] >> np.uint64(5) | np.uint64(i) << np.uint64(59)
-    return out.view(np.int64)
+    small = np.array([len(x) < SMALL for x in own], dtype=bool)
+    which, bands = [np.flatnonzero(small)], [np.array([zlib.crc32(repr(sorted(x)).encode()) for x, y in zip(own, small) if y], dtype=np.uint64)]
+    bands[0] |= np.uint64(BANDS) << np.uint64(59)
+    large = np.flatnonzero(~small)
+    if len(large):
+        starts = np.cumsum([0] + [len(own[i]) for i in large])[:-1]
+        flat = np.fromiter((x for i in large for x in own[i]), dtype=np.uint64)
+        for i in range(BANDS):
+            made = np.zeros(len(large), dtype=np.uint64)
+            for j in range(i * ROWS, (i + 1) * ROWS):
+                made = (made ^ np.minimum.reduceat((flat * _A[j] + _B[j]) % np.uint64(4294967311), starts)) * np.uint64(0x9E3779B97F4A7C15)
+            which.append(large)
+            bands.append(made >> np.uint64(5) | np.uint64(i) << np.uint64(59))
+    return np.concatenate(which), np.concatenate(bands).view(np.int64)
 
 
 class _Bucket:
@@ -380,8 +389,8 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
         import pandas as pd
 
         for pdf in frames:
-            if len(pdf):
-                yield pd.DataFrame({"opening": pdf["opening"].repeat(BANDS), "band": _bands(pdf["opening"].tolist()).ravel()})
+            which, bands = _bands(pdf["opening"].tolist())
+            yield pd.DataFrame({"opening": pdf["opening"].to_numpy()[which], "band": bands})
 
     def confirm(frames):
         import pandas as pd
