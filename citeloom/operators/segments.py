@@ -1,137 +1,147 @@
-"""Rule-based sentence spans of answers with their citation markers.
+"""Sentences of answers with their citation markers, as column expressions.
 
-Markdown is flattened outside markers, chunk by chunk; markers are taken out and their offsets kept; runs of blanks are
-collapsed without moving a marker out of its gap; sentences end at line breaks and at stops that are neither decimal
-points nor abbreviations. This keeps state along the text, so it runs as one vectorised function per answer.
+A marker becomes one mark character between the plain pieces of an answer, so that flattening, collapsing of blanks and
+the splitting into sentences are regular expressions over one string, and every position follows from the length of what
+stands before. Nothing leaves the JVM. Positions count characters of the plain text, without markers.
+
+Null answers have no sentences. A sentence ends at a line break, or at a stop that is followed, after closing quotes and
+more points, by white space or the end; a point after an abbreviation or a single letter ends none.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from citeloom.functions.text import MARKER
-from citeloom.operators.citations import ABBREVIATIONS, OPEN_WORDS
-
-_MARKER = re.compile(MARKER)
-_FLATTEN = tuple((re.compile(p), r) for p, r in ((r"\[([^\]]+)\]\([^)]*\)", r"\1"), (r"(?m)^[ \t]*#{1,6}[ \t]+.*$", ""), (r"[*`]", ""), (r"(?m)^[ \t]*(?:[-*+]|\d+[.)])[ \t]+", ""), (r"(?m)^[ \t]*[^.!?\n]*:[ \t]*$", "")))
-_STOP = re.compile(r"[.?!]|\n")
-_AFTER_STOP = re.compile(r"[)\]\"'’”*]*")
-_OPEN = frozenset(OPEN_WORDS)
-
-
-def flatten(chunk: str) -> str:
-    for pattern, replacement in _FLATTEN:
-        chunk = pattern.sub(replacement, chunk)
-    return chunk
-
-
-def without_markers(text: str) -> tuple[str, list[int]]:
-    """The flattened text without markers, blanks collapsed, and where each marker stood."""
-    out, offsets, last, size = [], [], 0, 0
-    pieces = []
-    for m in _MARKER.finditer(text):
-        pieces.append(flatten(text[last : m.start()]))
-        last = m.end()
-    pieces.append(flatten(text[last:]))
-    for i, piece in enumerate(pieces):
-        for run in re.findall(r"[ \t]+|[^ \t]+", piece):
-            if run[0] in " \t":
-                if size and out[-1] == " ":
-                    continue
-                run = " "
-            out.append(run)
-            size += len(run)
-        if i < len(pieces) - 1:
-            following = pieces[i + 1][:1]
-            inside = size and out[-1] == " " and following and following in " \t"
-            offsets.append(size - 1 if inside else size)
-    return "".join(out), offsets
-
-
-def _ends(text: str, i: int) -> bool:
-    if text[i] != ".":
-        return True
-    if i and text[i - 1].isdigit() and text[i + 1 : i + 2].isdigit():
-        return False
-    k = i
-    while k and (text[k - 1].isalpha() or text[k - 1] == "."):
-        k -= 1
-    word = text[k:i].lower().strip(".")
-    return word not in ABBREVIATIONS and not (len(word) == 1 and word.isalpha())
-
-
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    spans, start = [], 0
-
-    def push(end: int) -> None:
-        lead = start + len(text[start:end]) - len(text[start:end].lstrip())
-        if lead < end:
-            spans.append((lead, end))
-
-    for m in _STOP.finditer(text):
-        i = m.start()
-        if i < start:
-            continue
-        if text[i] == "\n":
-            push(i)
-            start = i + 1
-        elif _ends(text, i):
-            j = _AFTER_STOP.match(text, i + 1).end()
-            if j >= len(text) or text[j].isspace():
-                push(j)
-                start = j
-    push(len(text))
-    return spans
-
-
-def attribute(offsets: list[int], spans: list[tuple[int, int]]) -> list[int | None]:
-    """The span that holds each offset, else the last one ending before it, else the first."""
-    out: list[int | None] = []
-    for pos in offsets:
-        inside = next((i for i, (a, b) in enumerate(spans) if a <= pos < b), None)
-        before = max((i for i, (_, b) in enumerate(spans) if b <= pos), default=0 if spans else None)
-        out.append(inside if inside is not None else before)
-    return out
-
-
-def mid_clause(before: str, after: str) -> bool:
-    own = re.sub(r"[”\"’')*|\]\s]+$", "", before)
-    if not own or own[-1] in ".!?":
-        return False
-    last = re.search(r"([A-Za-z][A-Za-z'/-]*)$", own)
-    if not (own[-1] == ":" or last and last.group(1).islower() and last.group(1) in _OPEN):
-        return False
-    rest = re.sub(r"^[ \t,;]+", "", after)
-    return bool(rest) and rest[0] not in ".!?\r\n"
-
-
-def segment(text: str | None) -> tuple[list[str], list[int | None], list[bool]]:
-    """(sentences, sentence of each marker, whether each sentence is malformed)."""
-    stripped, offsets = without_markers(text or "")
-    spans = sentence_spans(stripped)
-    placed = attribute(offsets, spans)
-    broken = [False] * len(spans)
-    for pos, si in zip(offsets, placed):
-        if si is not None and mid_clause(stripped[spans[si][0] : pos], stripped[pos:]):
-            broken[si] = True
-    return [" ".join(stripped[a:b].split()) for a, b in spans], placed, broken
-
-
-SCHEMA = "answer_id bigint, sentences array<string>, marker_sents array<int>, malformed array<boolean>, n_sentences bigint, n_markers bigint, n_malformed bigint"
-
-
-def segment_answers(answers: DataFrame) -> DataFrame:
-    """One row per answer with its sentences, the sentence of each marker and the malformed flags, from one pass."""
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for i, t in zip(pdf["answer_id"], pdf["answer"]):
-                texts, placed, broken = segment(t)
-                rows.append((i, texts, placed, broken, len(texts), len(placed), sum(broken)))
-            yield pd.DataFrame(rows, columns=["answer_id", "sentences", "marker_sents", "malformed", "n_sentences", "n_markers", "n_malformed"])
-
-    return answers.select("answer_id", "answer").mapInPandas(run, SCHEMA)
+
+#: Abbreviations that keep their point, what may follow a stop inside its sentence, words that leave a clause open.
+ABBREVIATIONS = "e.g i.e eg ie vs etc cf al fig no eq approx dr mr mrs ms prof st ca vol ref incl max min".split()
+AFTER_STOP = ".\"'"
+OPEN_WORDS = (
+    "because since as such based on including include includes namely comprising like than from to of for with by that which when while if the a an is are was were be being about into at via should must can may will shows showing demonstrating indicating evaluate assess assesses emphasize emphasizes highlight highlights reassure normalize note noting following ensure ensures targets target recommends"
+).split()
+#: Spans of this length that hold a closed quotation inside are split again.
+RESPLIT_LENGTH, RESPLIT_CUE = 300, r"[.!?][\"”]{space}+[^{blank}]"
+
+#: White space of any script, as the inside of a character class that Java and RE2 share.
+BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = f"[{BLANK}]"
+MARK, CUT = "\x01", "\x02"
+
+_PROTECTED = r"(?<![\p{L}.])\.{0,9}(?:(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")|\p{L})\.{0,9}"
+#: A stop that ends a sentence, with what still belongs to it.
+END = rf"(?:[?!]|(?<!{_PROTECTED})\.)[{AFTER_STOP}]*(?={SPACE}|\z)"
+_CLOSERS = rf"[”\"')*|\]{BLANK}]*"
+OPEN_END = r"(?:(?:^|[^A-Za-z'/-])['/-]*(?:" + "|".join(OPEN_WORDS) + rf")|:){_CLOSERS}\z"
+GOES_ON = r"^[ \t,;]*[^ \t,;.!?\r\n]"
+
+
+def flat_line(line: Column) -> Column:
+    """A line of Markdown as text: headings and lines that only introduce others are empty, emphasis and list marks are gone."""
+    bare = F.regexp_replace(F.translate(line, "*`", ""), r"^[ \t]*(?:[-+]|\d+[.)])[ \t]+", "")
+    return F.when(F.rlike(line, F.lit(r"^[ \t]*#{1,6}[ \t]")), "").when(F.rlike(bare, F.lit(r"^[^.!?]*:[ \t]*\z")), "").otherwise(bare)
+
+
+def flat(piece: Column) -> Column:
+    """A piece between markers as text; its first line begins with it."""
+    linked = F.regexp_replace(piece, r"\[([^\]]+)\]\([^)]*\)", "$1")
+    return F.array_join(F.transform(F.split(linked, "\n", -1), flat_line), "\n")
+
+
+def marked(answer: Column) -> Column:
+    """The plain text with ``MARK`` for each marker; of a run of blanks the last one stays, behind the marks inside the run."""
+    pieces = F.transform(F.split(F.translate(answer, MARK + CUT, ""), MARKER, -1), flat)
+    return F.translate(F.regexp_replace(F.array_join(pieces, MARK), rf"[ \t](?={MARK}*[ \t])", ""), "\t", " ")
+
+
+def mark_positions(text: Column) -> Column:
+    """Where each mark of a marked text stands, in the text without marks."""
+    before = F.transform(F.split(text, MARK, -1), F.length)
+    return F.transform(F.slice(before, F.lit(1), F.size(before) - 1), lambda _, i: F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+
+
+def _placed(parts: Column) -> Column:
+    """(start, end, text) of parts that follow each other, without leading white space; blank parts are left out."""
+    start = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    trimmed = F.transform(parts, lambda x, i: F.struct(start(i).alias("at"), x.alias("x"), F.regexp_replace(x, rf"^{SPACE}+", "").alias("own")))
+    shown = F.filter(trimmed, lambda p: F.length(p["own"]) > 0)
+    line_end = lambda p: F.length(p["x"]) - F.endswith(p["x"], F.lit("\n")).cast("int")
+    return F.transform(shown, lambda p: F.struct((p["at"] + F.length(p["x"]) - F.length(p["own"])).alias("start"), (p["at"] + line_end(p)).alias("end"), F.regexp_replace(F.regexp_replace(p["own"], rf"{SPACE}+\z", ""), rf"{SPACE}+", " ").alias("text")))
+
+
+def sentence_array(plain: Column) -> Column:
+    """array<struct<start, end, text>> of the sentences of a plain text."""
+    return _placed(F.split(F.regexp_replace(F.regexp_replace(plain, END, "$0" + CUT), "\n", "\n" + CUT), CUT, -1))
+
+
+def resplit(spans: DataFrame, key: str = "answer_id") -> DataFrame:
+    """Spans (key, sent_idx, start_pos, end_pos, text) of any splitter, long ones with a closed quotation inside taken apart by the rules."""
+    cue = RESPLIT_CUE.format(space=SPACE, blank=BLANK)
+    parts = sentence_array(F.col("text"))
+    again = (F.length("text") >= RESPLIT_LENGTH) & F.rlike("text", F.lit(cue))
+    own = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("text")))
+    each = spans.select(key, "sent_idx", "start_pos", F.explode(F.when(again & (F.size(parts) > 1), parts).otherwise(own)).alias("p"))
+    placed = each.select(key, (F.col("start_pos") + F.col("p.start")).alias("start_pos"), (F.col("start_pos") + F.col("p.end")).alias("end_pos"), F.col("p.text").alias("text"))
+    gathered = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "text"))).alias("s"))
+    return gathered.select(key, F.posexplode("s").alias("sent_idx", "s")).select(key, F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("s.start_pos").cast("bigint").alias("start_pos"), F.col("s.end_pos").cast("bigint").alias("end_pos"), "s.text")
+
+
+def segmented(answers: DataFrame) -> DataFrame:
+    """(answer_id, plain, sentences, marks): the plain text, its sentences in order and the position of each marker."""
+    one = answers.select("answer_id", marked(F.coalesce("answer", F.lit(""))).alias("m"))
+    one = one.select("answer_id", F.translate("m", MARK, "").alias("plain"), mark_positions(F.col("m")).alias("marks"))
+    return one.select("answer_id", "plain", sentence_array(F.col("plain")).alias("sentences"), "marks")
+
+
+def holder(sentences: Column, pos: Column) -> Column:
+    """Index of the sentence that holds a position, else of the last one that ends before it, else of the first; null without sentences."""
+    numbered = F.transform(sentences, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["end"].alias("end")))
+    inside = F.array_min(F.transform(F.filter(numbered, lambda s: (s["start"] <= pos) & (pos < s["end"])), lambda s: s["i"]))
+    before = F.array_max(F.transform(F.filter(numbered, lambda s: s["end"] <= pos), lambda s: s["i"]))
+    return F.coalesce(inside, before, F.when(F.size(sentences) > 0, F.lit(0)))
+
+
+def breaks_clause(before: Column, after: Column) -> Column:
+    """Whether a marker between ``before`` and ``after`` stands where a complement of its sentence belongs."""
+    return F.rlike(before, F.lit(OPEN_END)) & F.rlike(after, F.lit(GOES_ON))
+
+
+def sentence_rows(answers: DataFrame) -> DataFrame:
+    """(answer_id, sent_idx, start_pos, end_pos, text, n_markers, malformed) of every sentence."""
+    each = marker_rows(answers).filter("sent_idx is not null").groupBy("answer_id", "sent_idx").agg(F.count(F.lit(1)).alias("n_markers"), F.max("malformed").alias("malformed"))
+    rows = segmented(answers).select("answer_id", F.posexplode("sentences").alias("sent_idx", "s"))
+    rows = rows.select("answer_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("s.start").cast("bigint").alias("start_pos"), F.col("s.end").cast("bigint").alias("end_pos"), "s.text")
+    return rows.join(each, ["answer_id", "sent_idx"], "left").withColumns({"n_markers": F.coalesce("n_markers", F.lit(0)), "malformed": F.coalesce("malformed", F.lit(False))})
+
+
+def marker_rows(answers: DataFrame) -> DataFrame:
+    """(answer_id, marker_idx, pos, sent_idx, sentence, malformed) of every marker."""
+    each = segmented(answers).select("answer_id", "plain", "sentences", F.posexplode("marks").alias("marker_idx", "pos"))
+    each = each.withColumn("at", holder(F.col("sentences"), F.col("pos")))
+    malformed = breaks_clause(F.left("plain", F.col("pos")), F.substring("plain", F.col("pos") + 1, F.length("plain")))
+    return each.select("answer_id", F.col("marker_idx").cast("bigint").alias("marker_idx"), F.col("pos").cast("bigint").alias("pos"), F.col("at").cast("bigint").alias("sent_idx"), F.get("sentences", F.col("at"))["text"].alias("sentence"), malformed.alias("malformed"))
+
+
+def atoms(answers: DataFrame) -> DataFrame:
+    """(answer_id, marker_idx, claim, quote, doc_id, guideline_id, section_id) of every marker; a marker without a sentence has the claim ''."""
+    docs, quotes = (F.regexp_extract_all("answer", F.lit(MARKER), F.lit(g)) for g in (1, 2))
+    cited = answers.select("answer_id", F.posexplode(F.arrays_zip(docs.alias("doc"), quotes.alias("quote"))).alias("marker_idx", "m"))
+    cited = cited.select("answer_id", F.col("marker_idx").cast("bigint").alias("marker_idx"), F.btrim("m.doc").alias("doc_id"), F.col("m.quote").alias("quote"))
+    both = cited.join(marker_rows(answers).select("answer_id", "marker_idx", "sentence"), ["answer_id", "marker_idx"])
+    colon = F.instr(F.col("doc_id"), ":")
+    guideline = F.when(colon > 0, F.substring_index("doc_id", ":", 1)).otherwise(F.col("doc_id"))
+    section = F.when(colon > 0, F.substring("doc_id", colon + 1, F.length("doc_id"))).otherwise("")
+    return both.select("answer_id", "marker_idx", F.coalesce("sentence", F.lit("")).alias("claim"), "quote", "doc_id", guideline.alias("guideline_id"), section.alias("section_id"))
+
+
+def numbered_markers(answer: Column, before: str, after: str) -> Column:
+    """The text with ``before``, the number from 1 and ``after`` for each marker."""
+    return F.array_join(F.transform(F.split(answer, MARKER, -1), lambda x, i: F.when(i > 0, F.concat(F.lit(before), i.cast("string"), F.lit(after), x)).otherwise(x)), "")
+
+
+def inconsistent(answers: DataFrame) -> DataFrame:
+    """(answer_id, n_raw, n_segmented) of the answers whose markers were not all found again after flattening."""
+    raw = F.size(F.regexp_extract_all("answer", F.lit(MARKER), F.lit(1)))
+    both = answers.select("answer_id", F.coalesce(raw, F.lit(0)).cast("bigint").alias("n_raw")).join(segmented(answers).select("answer_id", F.size("marks").cast("bigint").alias("n_segmented")), "answer_id")
+    return both.filter("n_raw <> n_segmented")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import FULL, PLAIN, nearest_rank, strip_markers
-from citeloom.operators import citations, segments, verbatim, windows
+from citeloom.operators import citations, verbatim, windows
 from citeloom.session import sf_table
 
 BANDS = ((100, "1-100"), (200, "101-200"), (300, "201-300"), (400, "301-400"))
@@ -47,10 +47,6 @@ def marker_line_attribution(spark, sf_dir):
     return citations.attribute(citations.markers(answers), citations.line_spans(answers))
 
 
-def malformed_gate(spark, sf_dir):
-    return citations.marker_gates(answers_once(spark, sf_dir)).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_markers"), F.count_if("malformed").alias("n_malformed"))
-
-
 def _tiers(spark, sf_dir, criteria):
     return verbatim.quote_tiers(citations_once(spark, sf_dir, "guideline_id"), sections_once(spark, sf_dir), criteria)
 
@@ -155,11 +151,6 @@ def claim_quote_text(spark, sf_dir):
     return pairs.groupBy("answer_id", "claim_idx").agg(F.sha2(F.array_join(F.array_distinct(ordered), "\n\n"), 256).alias("quotes_digest"))
 
 
-def sentence_marker_map(spark, sf_dir):
-    """Rule-based sentences with their markers; the splitter keeps state and has no SQL form."""
-    return segments.segment_answers(answers_once(spark, sf_dir)).select("answer_id", "n_sentences", "n_markers", "n_malformed")
-
-
 _ANSWERS = "(SELECT answer_id, max({answer: answer, loaded_at: loaded_at}) AS _, arg_max(answer, loaded_at) AS answer FROM answers GROUP BY 1)"
 _A = "SELECT answer_id, arg_max(answer, loaded_at) AS answer FROM answers GROUP BY 1"
 _C = "SELECT citation_id, arg_max(answer_id, loaded_at) AS answer_id, arg_max(doc_id, loaded_at) AS doc_id, (arg_max({q: quote}, loaded_at)).q AS quote, arg_max(guideline_id, loaded_at) AS guideline_id FROM citations GROUP BY 1"
@@ -218,7 +209,7 @@ _RATES = "count(*)::BIGINT AS n, count(*) FILTER (tier IN ('exact', 'normalized'
 _RATED = "*, CASE WHEN n > 0 THEN n_passed::DOUBLE / n END AS verbatim_rate, 1 - CASE WHEN n > 0 THEN n_passed::DOUBLE / n END AS failing_rate"
 _LEN = f"l AS (SELECT citation_id, answer_id, length(quote)::BIGINT AS n FROM ({_C}) WHERE quote IS NOT NULL)"
 
-QUERIES = {f.__name__: f for f in (citation_parse, cited_docs_distinct, marker_free_text, line_units, marker_line_attribution, malformed_gate, verbatim_tiers_plain, verbatim_compliance, verbatim_by_guideline, verbatim_per_answer, verbatim_tiers_full, unresolved_citations, quote_length_profile, quote_length_bands, quote_length_per_answer, coverage_by_window, coverage_macro_micro, claim_pairing_ladder, quote_gate_effect, claim_quote_text, sentence_marker_map)}
+QUERIES = {f.__name__: f for f in (citation_parse, cited_docs_distinct, marker_free_text, line_units, marker_line_attribution, verbatim_tiers_plain, verbatim_compliance, verbatim_by_guideline, verbatim_per_answer, verbatim_tiers_full, unresolved_citations, quote_length_profile, quote_length_bands, quote_length_per_answer, coverage_by_window, coverage_macro_micro, claim_pairing_ladder, quote_gate_effect, claim_quote_text)}
 
 ORACLE_SQL = {
     "citation_parse": f"WITH {_MARKS} SELECT answer_id, marker_idx, doc_id, quote, pos FROM m",
@@ -226,8 +217,6 @@ ORACLE_SQL = {
     "marker_free_text": f"WITH a AS ({_A}) SELECT answer_id, length(answer)::BIGINT AS n_chars, length(regexp_replace(answer, '{_RE}', '', 'g'))::BIGINT AS n_plain, sha256(regexp_replace(answer, '{_RE}', '', 'g')) AS plain_digest FROM a",
     "line_units": f"WITH {_MARKS}, {_LINES} SELECT answer_id, sent_idx, start_pos, end_pos, text FROM s",
     "marker_line_attribution": f"WITH {_MARKS}, {_LINES}, {_PLACED} SELECT answer_id, marker_idx, sent_idx FROM pl",
-    "malformed_gate": f"""WITH {_MARKS}, b AS (SELECT p.answer_id, i, regexp_replace(array_to_string(chunks[1:i], ''), '[”"’'')*|\\]\\s]+$', '') AS own, regexp_replace(array_to_string(chunks[i+1:], ''), '^[ \\t,;]+', '') AS rest FROM (SELECT *, unnest(range(1, len(docs) + 1)) AS i FROM p) p), g AS (SELECT *, regexp_extract(own, '([A-Za-z][A-Za-z''/-]*)$', 1) AS last FROM b)
-SELECT answer_id, count(*)::BIGINT AS n_markers, count(*) FILTER (own <> '' AND NOT regexp_matches(own, '[.!?]$') AND ((regexp_matches(last, '^[a-z][a-z''/-]*$') AND last IN ({", ".join("'" + w + "'" for w in citations.OPEN_WORDS)})) OR own LIKE '%:') AND rest <> '' AND NOT regexp_matches(rest, '^[.!?\\r\\n]'))::BIGINT AS n_malformed FROM g GROUP BY 1""",
     "verbatim_tiers_plain": f"{_TIERS} SELECT citation_id, tier FROM t",
     "verbatim_compliance": f"{_TIERS} SELECT {_RATED} FROM (SELECT {_RATES} FROM t)",
     "verbatim_by_guideline": f"{_TIERS} SELECT {_RATED} FROM (SELECT guideline_id, {_RATES} FROM t GROUP BY 1)",

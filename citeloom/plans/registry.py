@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from citeloom.plans import citation_queries, retrieval_queries, tree_queries, verdict_queries
+from citeloom.plans import citation_queries, retrieval_queries, segment_queries, tree_queries, verdict_queries
 
 FLAGSHIP = "verbatim_compliance"
-_MODULES = (citation_queries, verdict_queries, tree_queries, retrieval_queries)
+_MODULES = (citation_queries, segment_queries, verdict_queries, tree_queries, retrieval_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

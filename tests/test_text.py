@@ -63,16 +63,67 @@ def test_tier_without_section_text(spark):
     assert empty["n"] == 0 and empty["verbatim_rate"] is None
 
 
-def test_segments():
-    assert segments.segment("BP is 0.5 e.g. low. Next one!")[0] == ["BP is 0.5 e.g. low.", "Next one!"]
-    assert segments.segment("Line one\nLine two.")[0] == ["Line one", "Line two."]
-    assert segments.segment("Choose a drug based on {{cite:g:s|q}} and monitor.")[2] == [True]
-    assert segments.segment("Use ACE inhibitors {{cite:g:s|q}}.")[2] == [False]
-    assert not any(segments.segment("Options include: {{cite:g:s|q}}\nNext")[2])
-    assert segments.segment(None) == ([], [], [])
-    assert segments.segment("{{cite:g:s|q}}") == ([], [None], [])
-    texts, placed, _ = segments.segment("One. {{cite:a|x}} Two {{cite:b|y}}{{cite:c|z}}. Three.")
-    assert texts == ["One.", "Two .", "Three."] and placed == [0, 1, 1]
+def segmented(spark, text):
+    """([sentences], [sentence of each marker], [malformed of each marker])."""
+    df = spark.createDataFrame([(1, text)], "answer_id long, answer string")
+    rows = sorted((r["sent_idx"], r["text"]) for r in segments.sentence_rows(df).collect())
+    marks = sorted((r["marker_idx"], r["sent_idx"], r["malformed"]) for r in segments.marker_rows(df).collect())
+    return [t for _, t in rows], [m[1] for m in marks], [m[2] for m in marks]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("BP is 0.5 e.g. low. Next one!", ["BP is 0.5 e.g. low.", "Next one!"]),
+        ("Line one\nLine two.", ["Line one", "Line two."]),
+        ("Give max. Forty mg now.", ["Give max. Forty mg now."]),
+        ("See Prof. Smith. Then go.", ["See Prof. Smith.", "Then go."]),
+        ("See Figs. Then go.", ["See Figs.", "Then go."]),
+        ('He said "stop." Then... so?! Yes', ['He said "stop."', "Then...", "so?!", "Yes"]),
+        ("It is (so.) Next", ["It is (so.) Next"]),
+        ("A. Smith and E.g. B rose to 3. Now", ["A. Smith and E.g. B rose to 3.", "Now"]),
+        ("## Head\n- **Bold** [text](http://x.y) here\n1. Two\nWhat follows:\nEnd", ["Bold text here", "Two", "End"]),
+        ("\u00a0Wide.\u2003Next\u3000one", ["Wide.", "Next one"]),
+        (None, []),
+        ("", []),
+        (" \n ", []),
+    ],
+)
+def test_sentences(spark, text, want):
+    assert segmented(spark, text)[0] == want
+
+
+def test_segments(spark):
+    assert segmented(spark, "Choose a drug based on {{cite:g:s|q}} and monitor.")[2] == [True]
+    assert segmented(spark, "Use ACE inhibitors {{cite:g:s|q}}.")[2] == [False]
+    assert segmented(spark, "Options include: {{cite:g:s|q}}\nNext")[2] == [False]
+    assert segmented(spark, 'The "options include:" {{cite:g:s|q}} next')[2] == [True]
+    assert segmented(spark, "Options include: {{cite:g:s|q}} next")[2] == [False]  # a piece that only introduces is left out
+    assert segmented(spark, "It is non-based on' {{cite:g:s|q}} it")[2] == [True] and segmented(spark, "It is x-on {{cite:g:s|q}} it")[2] == [False]
+    assert segmented(spark, "{{cite:g:s|q}}") == ([], [None], [False])
+    assert segmented(spark, "One. {{cite:a|x}} Two {{cite:b|y}}{{cite:c|z}}. Three.")[:2] == (["One.", "Two .", "Three."], [0, 1, 1])
+
+
+@pytest.mark.parametrize("text, plain, positions", [("a  {{cite:d|q}}  b", "a b", [1]), ("a{{cite:d|q}} b", "a b", [1]), ("a {{cite:d|q}}b", "a b", [2]), ("a {{cite:d|q}} {{cite:d|q}} b", "a b", [1, 1]), ("a {{cite:d|q}} {{cite:d|q}}b", "a b", [1, 2]), ("{{cite:d|q}} a\t", " a ", [0]), ("a \x01b", "a b", [])])
+def test_marker_positions(spark, text, plain, positions):
+    row = segments.segmented(spark.createDataFrame([(1, text)], "answer_id long, answer string")).first()
+    assert (row["plain"], row["marks"]) == (plain, positions)
+
+
+def test_atoms_and_placeholders(spark):
+    df = spark.createDataFrame([(1, "One {{cite: g:s:t |q }} two. {{cite:d|}}"), (2, None), (3, "{{cite:x:y|z}}")], "answer_id long, answer string")
+    got = sorted(tuple(r) for r in segments.atoms(df).collect())
+    assert got == [(1, 0, "One two.", "q ", "g:s:t", "g", "s:t"), (1, 1, "One two.", "", "d", "d", ""), (3, 0, "", "z", "x:y", "x", "y")]
+    assert [r[0] for r in df.select(segments.numbered_markers(F.col("answer"), "[CITE_", "]")).collect()] == ["One [CITE_1] two. [CITE_2]", None, "[CITE_1]"]
+    assert segments.inconsistent(df).count() == 0
+
+
+def test_long_spans_with_a_quotation_are_split_again(spark):
+    long = "He said \"it is so.\" Then " + "word " * 60 + "went. It ended"
+    df = spark.createDataFrame([(1, 0, 5, 5 + len(long), long), (1, 1, 900, 905, "A. B.")], "answer_id long, sent_idx long, start_pos long, end_pos long, text string")
+    got = sorted(tuple(r) for r in segments.resplit(df).collect())
+    assert [g[4].split()[0] for g in got] == ["He", "Then", "It", "A."] and [g[1] for g in got] == [0, 1, 2, 3]
+    assert all(long[a - 5 : b - 5].strip() == t for _, _, a, b, t in got[:3])
 
 
 @pytest.mark.parametrize("word, want", [("running", "run"), ("hopes", "hope"), ("generously", "generous"), ("nationality", "nation"), ("skies", "sky"), ("hoping", "hope"), ("agreed", "agre"), ("consistency", "consist"), ("dying", "die"), ("crying", "cri"), ("by", "by")])
