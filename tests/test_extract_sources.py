@@ -33,9 +33,31 @@ def test_chapter_sections():
 
 
 def test_markdown_table():
-    t = extract.parse("<table><tr><th>A</th><th>B</th></tr><tr><td>1|2</td></tr><tr><td>3</td><td>4</td><td>5</td></tr></table>")
-    assert extract.markdown_table(t) == "| A | B |\n|---|---|\n| 1\\|2 |  |\n| 3 | 4 |"
-    assert extract.markdown_table(extract.parse("<table></table>")) == ""
+    assert extract.markdown_table([["A", "B"], ["1|2"], [], ["3", "4", "5"]]) == "| A | B |\n|---|---|\n| 1\\|2 |  |\n| 3 | 4 |"
+    assert extract.markdown_table([]) == ""
+
+
+def test_sections_without_id_silence_and_broken_markup():
+    page = '<section id="a"><h2>Top</h2>one<section>lost<section id="b"><p>two</section></section><div class="hidden">no<section id="c"><h3>3.1 Deep</h3>three</section></div><span aria-hidden="true">no</span> four<figure>no<a href="x">y</a><a href="t7.xhtml">T</a><a href="t8.xhtml">U</a></figure></section>'
+    got = {r[2]: (r[3], r[4], r[7], r[8], r[10]) for r in extract.sections_of(page, "x")}
+    assert got == {"a": ("Top", None, ["a"], "one four[[table:t7]]", ["t7"]), "b": ("(no heading)", None, ["a", "b"], "two", []), "c": ("Deep", "3.1", ["a", "c"], "three", [])}
+    assert extract.sections_of("", "x") == [] and extract.sections_of("<p>x", "x") == []
+
+
+def test_assets():
+    page = """<div class="fig-section"><div class="fig-label">Figure 1</div><div class="fig-caption">Of <b>care</b></div><img src="/a/b/f1.png"/></div>
+    <div class="table-caption">Doses</div><div class="table-overflow"><table><tr><th>A</th></tr><tr><td>1</td></tr></table></div>
+    <p>between</p><div class="table-overflow"><table><caption>Own</caption><tr><td>x</td></tr></table></div><div class="fig-section"></div>"""
+    got = [r[2:] for r in extract.assets_of(page, "p")]
+    assert got == [("figure", 0, "Figure 1", "Of care", "f1.png", None), ("table", 1, "", "Doses", None, "| A |\n|---|\n| 1 |"), ("table", 2, "", "Own", None, "| x |\n|---|"), ("figure", 3, "", "", None, None)]
+
+
+def test_kept_text_and_natural_order(spark):
+    df = spark.createDataFrame([(" x \n",), ("  ",), (None,), ("abcdef",)], "t string")
+    assert [r[0] for r in df.select(extract.kept_text(F.col("t"), 3)).collect()] == [None, None, None, "abcdef\n"]
+    assert [r[0] for r in df.select(extract.kept_text(F.col("t"))).collect()] == ["x\n", None, None, "abcdef\n"]
+    ids = spark.createDataFrame([(x,) for x in ("t10", "t9", "f2", "at1", "x")], "r string")
+    assert [r[0] for r in ids.orderBy(*extract.natural_order(F.col("r"))).collect()] == ["at1", "f2", "t9", "t10", "x"]
 
 
 def test_epub_and_html_files(spark, tmp_path):
