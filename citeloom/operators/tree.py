@@ -45,13 +45,23 @@ def chapter_of(nodes: DataFrame) -> DataFrame:
     return nodes.select(*KEY).join(found, list(KEY), "left").select(*KEY, F.coalesce("chapter_id", F.lit("")).alias("chapter_id"))
 
 
-def target_units(nodes: DataFrame, level: int = 3, left_out: tuple[str, ...] = ("abstract",)) -> DataFrame:
-    """(guideline_id, section_id, ord, kind): the units of ``level``, and chapters that have none of their own."""
-    units = nodes.filter((F.col("level") == level) & ~F.col("section_type").isin(*left_out)).select(*KEY, "ord", "path")
-    chapters = nodes.filter((F.col("level") == level - 1) & (F.col("section_type") == "chapter")).select(*KEY, "ord")
-    holding = units.select("guideline_id", F.explode("path").alias("section_id")).distinct()
-    bare = chapters.join(holding, list(KEY), "left_anti")
-    return units.select(*KEY, "ord", F.lit("unit").alias("kind")).unionByName(bare.select(*KEY, "ord", F.lit("chapter").alias("kind")))
+def eligible_chapters(nodes: DataFrame, wanted: tuple[str, ...] = (), skipped: tuple[str, ...] = ()) -> DataFrame:
+    """Eligible chapters of level 2: those of ``wanted`` ids if there are any, else those whose title has no part of ``skipped``."""
+    chapters = nodes.filter((F.col("level") == 2) & (F.col("section_type") == "chapter") & F.coalesce("rag_eligible", F.lit(False)))
+    if wanted:
+        return chapters.filter(F.col("section_id").isin(*wanted))
+    for part in skipped:
+        chapters = chapters.filter(~F.contains(F.lower("title"), F.lit(part.lower())))
+    return chapters
+
+
+def target_units(nodes: DataFrame, level: int = 3, left_out: tuple[str, ...] = ("abstract",), wanted: tuple[str, ...] = (), skipped: tuple[str, ...] = ()) -> DataFrame:
+    """(guideline_id, section_id, ord, kind): the eligible units of ``level`` in the chapters chosen, and chapters that have none."""
+    chapters = eligible_chapters(nodes, wanted, skipped)
+    units = nodes.filter((F.col("level") == level) & ~F.col("section_type").isin(*left_out) & F.coalesce("rag_eligible", F.lit(False)))
+    held = units.select(*KEY, "ord", F.explode("path").alias("chapter")).join(chapters.select("guideline_id", F.col("section_id").alias("chapter")), ["guideline_id", "chapter"])
+    bare = chapters.join(held.select("guideline_id", F.col("chapter").alias("section_id")), list(KEY), "left_anti")
+    return held.select(*KEY, "ord", F.lit("unit").alias("kind")).distinct().unionByName(bare.select(*KEY, "ord", F.lit("chapter").alias("kind")))
 
 
 def numbered(units: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def section_classify(spark, sf_dir):
 
 def section_shortened(spark, sf_dir):
     t = unit_texts(spark, sf_dir)
-    return t.select("guideline_id", "section_id", F.sha2(tree.shortened(F.col("text"), 800), 256).alias("digest"), F.length(tree.capped_summary(F.col("text"))).cast("bigint").alias("n_capped"))
+    return t.select("guideline_id", "section_id", F.sha2(tree.shortened(F.col("text"), 800), 256).alias("digest"), tree.capped_summary(F.col("text")).alias("capped"))
 
 
 def link_extract(spark, sf_dir):
@@ -102,7 +102,7 @@ def link_extract(spark, sf_dir):
 
 _N = "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY guideline_id, section_id ORDER BY ord) AS q_ FROM section_nodes) WHERE q_ = 1), ap AS (SELECT guideline_id, section_id, path[i] AS ancestor_id, i AS depth FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM n))"
 _U = "u AS (SELECT x.guideline_id AS guideline_id, x.node_id AS section_id, x.text AS text FROM (SELECT arg_max({guideline_id: guideline_id, node_id: node_id, text: text}, loaded_at) AS x FROM candidate_units WHERE doc_id IS NOT NULL GROUP BY doc_id))"
-_TU = "tu AS (SELECT guideline_id, section_id, ord::BIGINT AS ord, 'unit' AS kind FROM n WHERE level = 3 AND section_type <> 'abstract' UNION ALL SELECT guideline_id, section_id, ord::BIGINT, 'chapter' FROM n c WHERE level = 2 AND section_type = 'chapter' AND NOT EXISTS (SELECT 1 FROM n d WHERE d.level = 3 AND d.section_type <> 'abstract' AND d.guideline_id = c.guideline_id AND list_contains(d.path, c.section_id)))"
+_TU = "tu AS (SELECT DISTINCT d.guideline_id, d.section_id, d.ord::BIGINT AS ord, 'unit' AS kind FROM n d JOIN n c ON c.guideline_id = d.guideline_id AND list_contains(d.path, c.section_id) WHERE d.level = 3 AND d.section_type <> 'abstract' AND d.rag_eligible AND c.level = 2 AND c.section_type = 'chapter' AND c.rag_eligible UNION ALL SELECT guideline_id, section_id, ord::BIGINT, 'chapter' FROM n c WHERE level = 2 AND section_type = 'chapter' AND rag_eligible AND NOT EXISTS (SELECT 1 FROM n d WHERE d.level = 3 AND d.section_type <> 'abstract' AND d.rag_eligible AND d.guideline_id = c.guideline_id AND list_contains(d.path, c.section_id)))"
 _H = "concat_ws(' ', repeat('#', least(level, 6)), number || '.', title)"
 _Q = "q AS (SELECT question_id, max({a: question, b: question_style, c: guideline_id, d: source}) AS x FROM questions GROUP BY 1)"
 
@@ -123,6 +123,6 @@ ORACLE_SQL = {
     "questions_by_source": f"WITH {_Q} SELECT x.c AS guideline_id, x.b AS question_style, count(*)::BIGINT AS n, count(DISTINCT x.d.chapter_id)::BIGINT AS n_chapters, count(*) FILTER (x.d.subtopic_id IS NULL)::BIGINT AS n_without_subtopic, sum(x.d.char_count)::BIGINT AS chars FROM q GROUP BY 1, 2",
     "childless_chapters": f"WITH {_N}, {_TU} SELECT guideline_id, section_id FROM tu WHERE kind = 'chapter'",
     "section_classify": f"WITH {_N} SELECT guideline_id, section_id, CASE WHEN len(path) = 0 OR section_id IN ('frontmatter', 'bodymatter', 'backmatter') THEN 'root' WHEN starts_with(section_id, 'bibliography') THEN 'bibliography' WHEN starts_with(section_id, 'appendix') THEN 'appendix' WHEN section_id IN ('affiliations', 'article-information') THEN 'metadata' WHEN starts_with(section_id, 'abs') THEN 'abstract' WHEN len(path) <= 2 THEN 'chapter' WHEN len(children) > 0 AND text_file IS NULL THEN 'container' ELSE 'subsection' END AS kind FROM n",
-    "section_shortened": f"WITH {_U}, c AS (SELECT *, trim(trim(text, ' '), '\"'' ') AS k FROM u), w AS (SELECT *, left(k, 497) AS head, regexp_extract(left(k, 497), '(?s)^(.*) [^ ]*$', 1) AS word FROM c) SELECT guideline_id, section_id, sha256(CASE WHEN length(text) <= 800 THEN text WHEN length(text) <= 1600 THEN left(text, 760) || chr(10) || chr(10) || '[... content truncated for summary generation ...]' ELSE left(text, 400) || chr(10) || chr(10) || '[... middle content truncated ...]' || chr(10) || chr(10) || right(text, 200) END) AS digest, length(CASE WHEN length(k) <= 500 THEN k WHEN length(word) > 400 THEN word || '…' ELSE head || '…' END)::BIGINT AS n_capped FROM w",
+    "section_shortened": f"WITH {_U}, c AS (SELECT *, trim(trim(text, ' '), '\"'' ') AS k FROM u), w AS (SELECT *, left(k, 497) AS head, regexp_extract(left(k, 497), '(?s)^(.*) [^ ]*$', 1) AS word FROM c) SELECT guideline_id, section_id, sha256(CASE WHEN length(text) <= 800 THEN text WHEN length(text) <= 1600 THEN left(text, 760) || chr(10) || chr(10) || '[... content truncated for summary generation ...]' ELSE left(text, 400) || chr(10) || chr(10) || '[... middle content truncated ...]' || chr(10) || chr(10) || right(text, 200) END) AS digest, CASE WHEN length(k) <= 500 THEN k WHEN length(word) > 400 THEN word || '…' ELSE head || '…' END AS capped FROM w",
     "link_extract": "WITH l AS (SELECT doc_id, regexp_extract_all(text, '<a href=\"([^\"]+)\">([^<]*)</a>', 1) AS h, regexp_extract_all(text, '<a href=\"([^\"]+)\">([^<]*)</a>', 2) AS t FROM documents) SELECT doc_id, (i - 1)::BIGINT AS place, h[i] AS href, t[i] AS label FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM l)",
 }
