@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import FULL, Criteria, normalize
-from citeloom.operators.verbatim import PASSING, passes, quote_tiers
+from citeloom.operators.verbatim import PASSING, passes, quote_tiers, tier
 from citeloom.session import materialise
 
 RUNGS = ("node", "sectionrest", "othersection", "unattributed", "nowhere", "error")
 
 
-def rung(tier: Column, in_node: Column, in_cited: Column) -> Column:
+def rung(tier_column: Column, in_node: Column, in_cited: Column) -> Column:
     """error, nowhere, node, unattributed, sectionrest or othersection; an unread tier is nowhere."""
     return (
-        F.when(tier == "error", "error")
-        .when(~F.coalesce(tier.isin(*PASSING), F.lit(False)), "nowhere")
+        F.when(tier_column == "error", "error")
+        .when(~F.coalesce(tier_column.isin(*PASSING), F.lit(False)), "nowhere")
         .when(F.coalesce(in_node, F.lit(False)), "node")
         .when(in_cited.isNull(), "unattributed")
         .when(in_cited, "sectionrest")
@@ -32,6 +32,8 @@ def rung_table(rows: DataFrame, by: str) -> DataFrame:
     """Counts of each rung per ``by``, zero where there is none, with the located share over all but errors."""
     counts = rows.groupBy(by).agg(*[F.count_if(F.col("rung") == r).alias(f"n_{r}") for r in RUNGS], F.count(F.lit(1)).alias("n"))
     located = sum((F.col(f"n_{r}") for r in RUNGS[:4]), F.lit(0))
+    # The rungs must part the rows: one that is on none or on two is an error of the data.
+    counts = counts.withColumn("n", F.when(sum((F.col(f"n_{r}") for r in RUNGS), F.lit(0)) == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("the rungs do not part the rows")).cast("bigint")))
     return counts.withColumn("located_share", F.try_divide(located.cast("double"), (F.col("n") - F.col("n_error")).cast("double")))
 
 
@@ -55,19 +57,100 @@ def overlap_kind(spans: Column, quote: Column) -> Column:
     return F.when(usable & inside, "echo").when(usable & touching, "quotectx").otherwise("disjoint")
 
 
+def span_tiers(rows: DataFrame, texts: DataFrame, criteria: Criteria = FULL) -> DataFrame:
+    """(row_id, span_idx, tier) of each span of ``rows`` (row_id, spans) against the text of its row in ``texts`` (row_id, text)."""
+    known = texts.select("row_id", F.col("text").alias("raw"), normalize(F.col("text"), criteria).alias("source"))
+    each = rows.select("row_id", F.posexplode("spans").alias("span_idx", "quote")).join(known, "row_id", "left")
+    return each.select("row_id", F.col("span_idx").cast("bigint").alias("span_idx"), tier(F.col("quote"), F.col("raw"), F.col("source"), normalize(F.col("quote"), criteria), criteria).alias("tier"))
+
+
+def row_tiers(rows: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(row_id, tier): the first tier of a row's spans that fails, else the weakest; error without an answer, n/a if nothing was found, empty without spans.
+
+    ``rows`` has row_id and found, ``tiers`` is that of ``span_tiers``.
+    """
+    failing = F.min_by(F.when(~passes(F.col("tier")), F.col("tier")), F.when(~passes(F.col("tier")), F.col("span_idx")))
+    weakest = F.max(F.coalesce(*[F.when(F.col("tier") == t, i) for i, t in enumerate(PASSING)]))
+    per = tiers.groupBy("row_id").agg(failing.alias("bad"), weakest.alias("weakest"))
+    found = F.coalesce("bad", F.get(F.array(*map(F.lit, PASSING)), "weakest"), F.lit("empty"))
+    return rows.join(per, "row_id", "left").select("row_id", F.when(F.col("found").isNull(), "error").when(~F.col("found"), "n/a").otherwise(found).alias("tier"))
+
+
+def row_places(placed: DataFrame, in_node: DataFrame, cited: DataFrame) -> DataFrame:
+    """(row_id, n_spans, evidence_in_node, evidence_is_cited_section, evidence_section) of the rows all of whose spans were placed, nulls for the others.
+
+    ``placed`` has (row_id, span_idx, doc_id), ``in_node`` (row_id, span_idx, tier) against the node's text, ``cited`` (row_id,
+    cited_doc_id array). The section is the first one that is not cited, if there is one, else that of the first span.
+    """
+    each = placed.join(in_node.select("row_id", "span_idx", passes(F.col("tier")).alias("here")), ["row_id", "span_idx"], "left").join(cited, "row_id")
+    outside = ~F.array_contains(F.coalesce("cited_doc_id", F.array().cast("array<string>")), F.col("doc_id"))
+    per = each.groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("n_spans"),
+        F.max(F.col("doc_id").isNull()).alias("lost"),
+        F.min(F.coalesce("here", F.lit(False))).alias("in_node"),
+        F.min(~outside).alias("in_cited"),
+        F.min_by(F.when(outside, F.col("doc_id")), F.when(outside, F.col("span_idx"))).alias("elsewhere"),
+        F.min_by("doc_id", "span_idx").alias("first"),
+    )
+    whole = lambda c: F.when(~F.col("lost"), c)
+    return per.select("row_id", "n_spans", whole(F.col("in_node")).alias("evidence_in_node"), whole(F.col("in_cited")).alias("evidence_is_cited_section"), whole(F.coalesce("elsewhere", "first")).alias("evidence_section"))
+
+
+def is_own_quote(spans: Column, quote: Column) -> Column:
+    """Whether a span holds the quote or stands in it; both are normalised, an empty one counts for nothing."""
+    return F.exists(spans, lambda s: (F.length(s) > 0) & (F.length(quote) > 0) & (F.contains(quote, s) | F.contains(s, quote)))
+
+
+def probe_report(rows: DataFrame, by: str) -> DataFrame:
+    """Counts and rates of lookups, in all and by ``by``: rates over those judged (without errors), the split rate over complete rounds.
+
+    ``rows`` has found, tier, votes, dropped and ``by``; unanimity is null if a round was dropped or there was one only.
+    """
+    alive = F.filter("votes", lambda v: v.isNotNull())
+    unanimous = F.when((F.coalesce("dropped", F.lit(0)) == 0) & (F.size(alive) > 1), F.size(F.array_distinct(alive)) == 1)
+    judged = F.col("tier") != "error"
+    out = rows.withColumns({"u": unanimous, "j": judged, "v": passes(F.col("tier"))}).groupingSets([[], [by]], by).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if("j").alias("n_judged"),
+        F.count_if(~F.col("j")).alias("n_errors"),
+        F.count_if(F.col("j") & F.coalesce("found", F.lit(False))).alias("n_found"),
+        F.count_if("v").alias("n_verified"),
+        F.count_if(~F.col("u")).alias("n_vote_split"),
+        F.count("u").alias("n_complete"),
+        F.sum(F.coalesce("dropped", F.lit(0)).cast("bigint")).alias("n_rounds_dropped"),
+    )
+    rate = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    return out.select(F.coalesce(F.col(by), F.lit("*")).alias(by), *[c for c in out.columns if c != by], rate("n_verified", "n_judged").alias("verified_rate"), rate("n_vote_split", "n_complete").alias("vote_split_rate"))
+
+
 def smallest_holder(quotes: DataFrame, nodes: DataFrame, criteria: Criteria = FULL) -> DataFrame:
     """(quote_id, section_id, tier): the shortest node text in or below the cited one that holds the quote.
 
-    ``quotes`` has quote_id, guideline_id, section_id and quote, ``nodes`` guideline_id, section_id, path and text.
+    ``quotes`` has quote_id, guideline_id, section_id and quote, ``nodes`` guideline_id, section_id, path and text. A quote is
+    only compared with the nodes below a cited one whose texts together hold it in normal form or in fragments, so that
+    quotes that stand nowhere below are settled once and not for every node.
     """
-    below = nodes.select("guideline_id", F.col("section_id").alias("node"), F.explode("path").alias("section_id"))
-    held = quotes.join(below, ["guideline_id", "section_id"]).select("quote_id", "guideline_id", "node", "quote")
-    texts = nodes.select(F.concat_ws(":", "guideline_id", "section_id").alias("doc_id"), "text")
+    key = F.concat_ws(":", "guideline_id", "section_id")
+    below = nodes.select("guideline_id", F.col("section_id").alias("node"), "text", F.explode("path").alias("section_id"))
+    together = below.groupBy("guideline_id", "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    whole = quote_tiers(quotes.withColumn("doc_id", key), together.select(key.alias("doc_id"), "text"), criteria).filter(passes(F.col("tier")))
+    held = whole.drop("tier", "doc_id").join(below.select("guideline_id", "section_id", "node"), ["guideline_id", "section_id"]).select("quote_id", "guideline_id", "node", "quote")
+    texts = nodes.select(key.alias("doc_id"), "text")
     tiered = quote_tiers(held.withColumn("doc_id", F.concat_ws(":", "guideline_id", "node")), texts, criteria).filter(passes(F.col("tier")))
     sized = tiered.join(texts.select("doc_id", F.length("text").alias("n")), "doc_id")
     return sized.groupBy("quote_id").agg(F.min(F.struct("n", F.col("node").alias("section_id"), "tier")).alias("x")).select("quote_id", "x.section_id", "x.tier")
 
 
+def dense_places(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with their place from 0 in an order, without one task that sorts them all: places inside ranges and the sizes of those before."""
+    rows = materialise(rows.repartitionByRange(order).withColumn("range_", F.spark_partition_id()), "placed-rows")
+    sizes = rows.groupBy("range_").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    # One row for each partition of the range exchange.
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range_", "before")
+    inside = F.row_number().over(Window.partitionBy("range_").orderBy(order)) - 1
+    return rows.withColumn("inside_", inside).join(F.broadcast(offsets), "range_").withColumn("place", F.col("inside_") + F.col("before")).drop("range_", "inside_", "before")
+
+
 def partial_ratio(short: str, long: str) -> float:
     """Best similarity (0 to 100) of the shorter text to a stretch of the longer one, by matching blocks."""
     from difflib import SequenceMatcher

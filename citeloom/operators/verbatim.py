@@ -37,17 +37,19 @@ def tier(quote: Column, raw: Column, source: Column, normalised: Column, criteri
     )
 
 
-def quote_tiers(quotes: DataFrame, sections: DataFrame, criteria: Criteria = FULL) -> DataFrame:
+def quote_tiers(quotes: DataFrame, sections: DataFrame, criteria: Criteria = FULL, salts: int = 4) -> DataFrame:
     """``quotes`` (… doc_id, quote) with the added column tier; ``sections`` has doc_id (unique) and text.
 
-    Each section and each distinct quote is normalised once, before the join. A quote whose section is not there is
-    unresolved; a null or empty quote or section text fails.
+    Each section and each distinct quote is normalised once, before the join; the tiers come back to the rows by a 128-bit
+    digest of the pair. The quotes of one section are dealt over ``salts`` tasks, to each of which its text goes once, so that
+    a section that a third of all rows cites is no single task's. A quote whose section is not there is unresolved; a null or
+    empty quote or section text fails.
     """
-    known = sections.select("doc_id", F.col("text").alias("raw"), normalize(F.col("text"), criteria).alias("source"), F.lit(True).alias("resolved"))
-    pairs = quotes.select("doc_id", "quote").distinct().withColumn("normalised", normalize(F.col("quote"), criteria))
-    made = pairs.join(known, "doc_id", "left").select("doc_id", "quote", F.when(F.col("resolved").isNull(), "unresolved").otherwise(tier(F.col("quote"), F.col("raw"), F.col("source"), F.col("normalised"), criteria)).alias("tier"))
-    a, b = quotes.alias("a"), made.alias("b")
-    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.quote").eqNullSafe(F.col("b.quote")), "left").select("a.*", "b.tier")
+    digest = F.md5(F.concat_ws("\x01", F.coalesce("doc_id", F.lit("\x02")), F.coalesce("quote", F.lit("\x02"))))
+    known = sections.select("doc_id", F.col("text").alias("raw"), normalize(F.col("text"), criteria).alias("source"), F.lit(True).alias("resolved"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = quotes.select("doc_id", "quote", digest.alias("pair")).distinct().select("*", normalize(F.col("quote"), criteria).alias("normalised"), F.pmod(F.crc32("pair"), F.lit(salts)).cast("int").alias("salt"))
+    made = pairs.join(known, ["doc_id", "salt"], "left").select("pair", F.when(F.col("resolved").isNull(), "unresolved").otherwise(tier(F.col("quote"), F.col("raw"), F.col("source"), F.col("normalised"), criteria)).alias("tier"))
+    return quotes.withColumn("pair", digest).join(made, "pair", "left").select(*quotes.columns, "tier")
 
 
 def passes(tier_column: Column) -> Column:
