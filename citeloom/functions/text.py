@@ -69,6 +69,16 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x01", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def percentage(share: Column) -> Column:
+    """A share as a percentage with one place, halves to even; n/a if there is none."""
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", F.bround(share * 100, 1))).otherwise("n/a")
+
+
+def release_dir(model: Column, granularity: Column) -> Column:
+    """The folder of a release: the model's slug and how its units were cut."""
+    return F.concat_ws("_", model_slug(model), F.nullif(F.btrim(granularity), F.lit("")))
+
+
 def model_slug(name: Column) -> Column:
     """Last segment of a model id, with points spelled out."""
     return F.regexp_replace(F.regexp_replace(name, r"^.*[:/]", ""), r"\.", "pt")

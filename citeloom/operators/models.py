@@ -73,3 +73,79 @@ def parse_questions(replies: DataFrame) -> DataFrame:
     items = F.from_json(bare, "array<struct<question string>>")
     each = replies.select("request", F.posexplode(items).alias("place", "x"))
     return each.select("request", "place", F.btrim("x.question").alias("question")).filter(F.length("question") > 0)
+
+
+def claim_numbers(replies: DataFrame) -> DataFrame:
+    """(item, round, number) of filter replies ``{"claim_numbers": [...]}`` with ``n`` sentences: numbers from 1, those out of range and repeats left out."""
+    given = F.from_json("reply", "struct<claim_numbers: array<int>>")["claim_numbers"]
+    kept = F.array_distinct(F.filter(given, lambda x: (x >= 1) & (x <= F.col("n"))))
+    return replies.select("item", "round", F.explode(kept).alias("number"))
+
+
+def sentence_votes(replies: DataFrame) -> DataFrame:
+    """(item, number, vote) for every sentence and round of (item, round, n, reply); a round without a reply votes null."""
+    picked = claim_numbers(replies).withColumn("vote", F.lit(True))
+    every = replies.select("item", "round", F.col("reply").isNotNull().alias("alive"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("number"))
+    return every.join(picked, ["item", "round", "number"], "left").select("item", "number", F.when(F.col("alive"), F.coalesce("vote", F.lit(False))).alias("vote"))
+
+
+def adjudication_requests(pairs: DataFrame, together: bool) -> DataFrame:
+    """(claim_id, claim, quote) to be judged: the distinct quotes of a claim joined in their order, or one by one.
+
+    ``pairs`` has claim_id, claim, marker_idx and quote.
+    """
+    ordered = pairs.groupBy("claim_id", "claim", "quote").agg(F.min("marker_idx").alias("marker_idx"))
+    if not together:
+        return ordered.select("claim_id", "claim", "quote")
+    packed = ordered.groupBy("claim_id", "claim").agg(F.array_sort(F.collect_list(F.struct("marker_idx", "quote"))).alias("q"))
+    return packed.select("claim_id", "claim", F.array_join(F.transform("q", lambda x: x["quote"]), "\n\n").alias("quote"))
+
+
+def adjudicated(judged: DataFrame) -> DataFrame:
+    """(claim_id, strict, lenient) of (claim_id, support_verdict): whether any quote supports the claim fully, or in part."""
+    any_of = lambda *v: F.coalesce(F.max(F.col("support_verdict").isin(*v)), F.lit(False))
+    return judged.groupBy("claim_id").agg(any_of("fully_supported").alias("strict"), any_of("fully_supported", "partially_supported").alias("lenient"))
+
+
+def verdicts(replies: DataFrame) -> DataFrame:
+    """``replies`` with support_verdict: of the reply's JSON, not_parsable where there is none."""
+    given = F.from_json("reply", "struct<support_verdict: string>")["support_verdict"]
+    return replies.withColumn("support_verdict", F.coalesce(given, F.lit("not_parsable")))
+
+
+def located_claims(replies: DataFrame, atoms: DataFrame) -> DataFrame:
+    """``atoms`` (answer_id, marker_idx, claim, …) with the claims that a localiser gave for ``[CITE_n]``, those of the rules where it gave none.
+
+    ``replies`` has answer_id and reply, ``{"claims": [{"n": 1, "claim": "…"}]}``.
+    """
+    given = replies.select("answer_id", F.explode(F.from_json("reply", "struct<claims: array<struct<n: int, claim: string>>>")["claims"]).alias("x"))
+    named = given.filter(F.length(F.btrim("x.claim")) > 0).groupBy("answer_id", (F.col("x.n") - 1).cast("bigint").alias("marker_idx")).agg(F.min("x.claim").alias("located"))
+    return atoms.join(named, ["answer_id", "marker_idx"], "left").withColumn("claim", F.coalesce("located", "claim")).drop("located")
+
+
+def extracted_claims(replies: DataFrame) -> DataFrame:
+    """(answer_id, place, claim) of replies ``{"claims": ["…"]}``, blank ones left out."""
+    each = replies.select("answer_id", F.posexplode(F.from_json("reply", "struct<claims: array<string>>")["claims"]).alias("place", "claim"))
+    return each.select("answer_id", "place", F.btrim("claim").alias("claim")).filter(F.length("claim") > 0)
+
+
+def lookups(replies: DataFrame) -> DataFrame:
+    """``replies`` with found and spans of a lookup's JSON; a reply that cannot be read has null for found, one that found nothing no spans."""
+    x = F.from_json("reply", "struct<found: boolean, evidence: array<string>>")
+    spans = F.filter(F.coalesce(x["evidence"], F.array().cast("array<string>")), lambda s: F.length(F.btrim(s)) > 0)
+    return replies.withColumn("found", x["found"]).withColumn("spans", F.when(F.col("found"), spans).otherwise(F.array().cast("array<string>")))
+
+
+def described(items: DataFrame, key: str, existing: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with their description, items still without one): existing descriptions stay, new ones fill, failures are left for another run."""
+    known = existing.select(key, F.col("description").alias("kept"))
+    made = replies.filter(F.length(F.btrim("description")) > 0).groupBy(key).agg(F.min("description").alias("made"))
+    out = items.join(known, key, "left").join(made, key, "left").withColumn("description", F.coalesce("kept", "made")).drop("kept", "made")
+    return out, out.filter("description is null").drop("description")
+
+
+def routed(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """``requests`` (…, model) with endpoint and vendor of the longest prefix of the model in ``routes`` (prefix, vendor, endpoint); nulls if none fits."""
+    names = requests.select("model").distinct()
+    best = names.join(routes, F.startswith("model", F.col("prefix"))).groupBy("model").agg(F.max_by(F.struct("vendor", "endpoint"), F.length("prefix")).alias("r"))
+    return requests.join(best, "model", "left").select(*requests.columns, "r.vendor", "r.endpoint")

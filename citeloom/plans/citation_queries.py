@@ -10,7 +10,7 @@ from citeloom.operators import citations, verbatim, windows
 from citeloom.session import sf_table
 
 BANDS = ((100, "1-100"), (200, "101-200"), (300, "201-300"), (400, "301-400"))
-WINDOWS = (0, 1, 2, 3, 5)
+WINDOWS = (0, 1, 2, 3, 4, 5)
 
 
 def answers_once(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -134,13 +134,13 @@ def claim_pairing_ladder(spark, sf_dir):
 
 
 def quote_gate_effect(spark, sf_dir):
-    """Claims covered with and without the markers whose quote is not verbatim, for k = 5."""
+    """Claims covered with and without the markers whose quote is not verbatim, for every window."""
     answers, claims, placed = _claims_and_marks(spark, sf_dir)
-    pairs = windows.window_pairs(claims, placed, (5,))
+    pairs = windows.window_pairs(claims, placed, WINDOWS)
     marked = verbatim.quote_tiers(citations.markers(answers).select("answer_id", "marker_idx", "doc_id", "quote"), sections_once(spark, sf_dir), PLAIN)
     gated = pairs.join(marked.select("answer_id", "marker_idx", verbatim.passes(F.col("tier")).alias("ok")), ["answer_id", "marker_idx"])
-    per = gated.groupBy("answer_id", "claim_idx").agg(F.count(F.lit(1)).alias("n_markers"), F.count_if("ok").alias("n_ok"))
-    return per.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_covered"), F.count_if(F.col("n_ok") > 0).alias("n_covered_compliant"), F.count_if((F.col("n_ok") > 0) & (F.col("n_ok") < F.col("n_markers"))).alias("n_partly_gated"), F.count_if(F.col("n_ok") == 0).alias("n_gated_out"))
+    per = gated.groupBy("answer_id", "k", "claim_idx").agg(F.count(F.lit(1)).alias("n_markers"), F.count_if("ok").alias("n_ok"))
+    return per.groupBy("answer_id", "k").agg(F.count(F.lit(1)).alias("n_covered"), F.count_if(F.col("n_ok") > 0).alias("n_covered_compliant"), F.count_if((F.col("n_ok") > 0) & (F.col("n_ok") < F.col("n_markers"))).alias("n_partly_gated"), F.count_if(F.col("n_ok") == 0).alias("n_gated_out"))
 
 
 def claim_quote_text(spark, sf_dir):
@@ -176,11 +176,11 @@ g1 AS (SELECT *, sum(fresh) OVER (PARTITION BY answer_id ORDER BY marker_idx) AS
 g2 AS (SELECT answer_id, grp, any_value(sent_idx) AS sent_idx FROM g1 GROUP BY 1, 2),
 g3 AS (SELECT *, coalesce(max(sent_idx) OVER (PARTITION BY answer_id ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reached FROM g2),
 tr AS (SELECT g3.answer_id, g3.grp, cl.idx, row_number() OVER (PARTITION BY g3.answer_id, g3.grp ORDER BY cl.idx DESC) AS r FROM g3 JOIN cl ON cl.answer_id = g3.answer_id AND cl.idx > g3.reached AND cl.idx <= g3.sent_idx),
-pr AS (SELECT tr.answer_id, k.k::BIGINT AS k, tr.idx AS claim_idx, g1.marker_idx FROM tr JOIN g1 USING (answer_id, grp) JOIN (VALUES (1), (2), (3), (5)) k(k) ON tr.r <= k.k
+pr AS (SELECT tr.answer_id, k.k::BIGINT AS k, tr.idx AS claim_idx, g1.marker_idx FROM tr JOIN g1 USING (answer_id, grp) JOIN (VALUES (1), (2), (3), (4), (5)) k(k) ON tr.r <= k.k
        UNION ALL SELECT g1.answer_id, 0::BIGINT, g1.sent_idx, g1.marker_idx FROM g1 JOIN cl ON cl.answer_id = g1.answer_id AND cl.idx = g1.sent_idx)"""
 _ALL = f"WITH {_MARKS}, {_LINES}, {_PLACED}, {_PAIRS}"
 _COVER = """,
-cv AS (SELECT a.answer_id, k.k::BIGINT AS k, coalesce(n.n, 0)::BIGINT AS n_claims, coalesce(c.n, 0)::BIGINT AS n_covered, c0.v AS coverage FROM a CROSS JOIN (VALUES (0), (1), (2), (3), (5)) k(k)
+cv AS (SELECT a.answer_id, k.k::BIGINT AS k, coalesce(n.n, 0)::BIGINT AS n_claims, coalesce(c.n, 0)::BIGINT AS n_covered, c0.v AS coverage FROM a CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) k(k)
        LEFT JOIN (SELECT answer_id, count(*) AS n FROM cl GROUP BY 1) n ON n.answer_id = a.answer_id
        LEFT JOIN (SELECT answer_id, k, count(DISTINCT claim_idx) AS n FROM pr GROUP BY 1, 2) c ON c.answer_id = a.answer_id AND c.k = k.k,
        LATERAL (SELECT CASE WHEN coalesce(n.n, 0) > 0 THEN coalesce(c.n, 0)::DOUBLE / n.n END AS v) c0)"""
@@ -228,6 +228,6 @@ ORACLE_SQL = {
     "coverage_by_window": f"{_ALL}{_COVER} SELECT answer_id, k, n_claims, n_covered, coverage FROM cv",
     "coverage_macro_micro": f"{_ALL}{_COVER} SELECT k, count(*)::BIGINT AS n_answers, count(*) FILTER (n_claims = 0)::BIGINT AS n_without_claims, avg(coverage) AS macro, sum(n_covered)::DOUBLE / sum(n_claims) AS micro FROM cv GROUP BY 1",
     "claim_pairing_ladder": f"{_ALL} SELECT k, count(*)::BIGINT AS n_pairs, count(DISTINCT (answer_id, claim_idx))::BIGINT AS n_paired_claims, count(DISTINCT (answer_id, marker_idx))::BIGINT AS n_paired_markers FROM pr WHERE k IN (1, 3, 5) GROUP BY 1",
-    "quote_gate_effect": f"{_ALL}, q AS (SELECT answer_id, marker_idx, doc_id, quote FROM m), ss AS ({_S}), {_TIERED}, j AS (SELECT pr.answer_id, pr.claim_idx, count(*) AS n, count(*) FILTER (t.tier IN ('exact', 'normalized', 'elided')) AS ok FROM pr JOIN t USING (answer_id, marker_idx) WHERE pr.k = 5 GROUP BY 1, 2) SELECT answer_id, count(*)::BIGINT AS n_covered, count(*) FILTER (ok > 0)::BIGINT AS n_covered_compliant, count(*) FILTER (ok > 0 AND ok < n)::BIGINT AS n_partly_gated, count(*) FILTER (ok = 0)::BIGINT AS n_gated_out FROM j GROUP BY 1",
+    "quote_gate_effect": f"{_ALL}, q AS (SELECT answer_id, marker_idx, doc_id, quote FROM m), ss AS ({_S}), {_TIERED}, j AS (SELECT pr.answer_id, pr.k, pr.claim_idx, count(*) AS n, count(*) FILTER (t.tier IN ('exact', 'normalized', 'elided')) AS ok FROM pr JOIN t USING (answer_id, marker_idx) GROUP BY 1, 2, 3) SELECT answer_id, k, count(*)::BIGINT AS n_covered, count(*) FILTER (ok > 0)::BIGINT AS n_covered_compliant, count(*) FILTER (ok > 0 AND ok < n)::BIGINT AS n_partly_gated, count(*) FILTER (ok = 0)::BIGINT AS n_gated_out FROM j GROUP BY 1, 2",
     "claim_quote_text": f"{_ALL}, d AS (SELECT pr.answer_id, pr.claim_idx, m.quote, min(m.marker_idx) AS first FROM pr JOIN m USING (answer_id, marker_idx) WHERE pr.k = 5 GROUP BY 1, 2, 3) SELECT answer_id, claim_idx, sha256(string_agg(quote, chr(10) || chr(10) ORDER BY first)) AS quotes_digest FROM d GROUP BY 1, 2",
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
+from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,22 +68,148 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "guideline_id string, enabled boolean, is_default boolean")
 
 
-def assert_absent(path: str) -> None:
-    """Fails before any work if the target exists."""
-    if os.path.exists(path):
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of a path of any kind that the cluster knows; a bare one is local."""
+    full = path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(full)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file(spark, path)
+    return fs.exists(where)
+
+
+def assert_absent(spark: SparkSession, path: str | None, overwrite: bool = False) -> None:
+    """Fails before any work if the target exists, unless it may be overwritten; no path is no target."""
+    if path is not None and not overwrite and exists(spark, path):
         raise FileExistsError(path)
 
 
-def free_path(path: str) -> str:
-    """The first unused numbered sibling of a path."""
+def free_path(spark: SparkSession, path: str) -> str:
+    """The first unused numbered sibling of a path, with its ending if it is a file's."""
     stem, end = os.path.splitext(path)
     n, free = 1, path
-    while os.path.exists(free):
+    while exists(spark, free):
         n += 1
         free = f"{stem}-{n}{end}"
     return free
 
 
+def write_text(spark: SparkSession, text: str, path: str, overwrite: bool = False) -> None:
+    """A small text as one file, as the cluster's file system writes it; an existing target is an error unless it may go."""
+    assert_absent(spark, path, overwrite)
+    fs, where = _file(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, null if there is none."""
+    fs, where = _file(spark, path)
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_report(spark: SparkSession, report: dict, path: str, overwrite: bool = False) -> None:
+    """A report of some figures as indented JSON, keys in the order given."""
+    write_text(spark, json.dumps(report, ensure_ascii=False, indent=2) + "\n", path, overwrite)
+
+
+def save_resource_meta(resources: DataFrame, path: str) -> None:
+    """Rows of resources as JSON, a folder per guideline; an existing target is an error."""
+    resources.write.partitionBy("guideline_id").mode("errorifexists").json(path)
+
+
+def list_available(registry: DataFrame, source_type: str) -> DataFrame:
+    """The ids of the enabled guidelines of a source type."""
+    return registry.filter(F.col("enabled") & (F.col("source_type") == source_type)).select("guideline_id")
+
+
+class KeptTable:
+    """Rows by key in a Parquet folder that grows: what is there is not made again.
+
+    Each ``add`` appends the keys that are new; of a key that two writers added at once one row is read. An unreadable or
+    missing folder is an empty table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "key"):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+
+    def read(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], self.schema)
+        if not exists(self.spark, self.path):
+            return empty
+        return self.spark.read.schema(empty.schema).option("ignoreCorruptFiles", "true").parquet(self.path).dropDuplicates([self.key])
+
+    def add(self, rows: DataFrame) -> None:
+        fresh = rows.dropDuplicates([self.key]).join(self.read().select(self.key), self.key, "left_anti")
+        fresh.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("append").parquet(self.path)
+
+
+def vector_cache(spark: SparkSession, path: str) -> KeptTable:
+    """Vectors by the digest of model and text."""
+    return KeptTable(spark, path, "key string, embedding array<float>")
+
+
+def vector_key(model: Column, text: Column) -> Column:
+    """The first 16 characters of a digest over model and text."""
+    return F.left(F.sha2(F.concat_ws("\x01", model, text), 256), F.lit(16))
+
+
+class Stages:
+    """Which stages of a run are done: a JSON file of stage and time beside the results.
+
+    ``run`` skips a stage that is done, unless it is forced; a forced one makes those after it undone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: tuple[str, ...]):
+        self.spark, self.path, self.order = spark, path, order
+
+    def done(self) -> dict[str, str]:
+        try:
+            return json.loads(read_text(self.spark, self.path) or "{}")
+        except ValueError:
+            return {}
+
+    def run(self, stage: str, work: Callable[[], None], force: bool = False) -> bool:
+        """Whether the work was done now."""
+        done = self.done()
+        if stage in done and not force:
+            return False
+        work()
+        after = self.order[self.order.index(stage) :] if force else (stage,)
+        done = {k: v for k, v in done.items() if k not in after}
+        done[stage] = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        write_text(self.spark, json.dumps(done, indent=2), self.path, overwrite=True)
+        return True
+
+
+def clear_outputs(spark: SparkSession, folder: str, endings: tuple[str, ...]) -> int:
+    """Deletes the files of a folder that a stage owns by their ending, and nothing else; gives their number."""
+    fs, where = _file(spark, folder)
+    if not fs.exists(where):
+        return 0
+    owned = [f.getPath() for f in fs.listStatus(where) if f.isFile() and f.getPath().getName().endswith(endings)]
+    for path in owned:
+        fs.delete(path, False)
+    return len(owned)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, n_bytes, digest) of the files below a folder, in any depth."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return rows.select(F.regexp_replace("path", "^.*/", "").alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("digest"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 

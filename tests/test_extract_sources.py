@@ -92,9 +92,9 @@ def test_files(spark, tmp_path):
         files.write_jsonl(df, str(tmp_path / "out"))
     assert files.read_jsonl(spark, str(tmp_path / "out"), "id int, t string").count() == 2
     with pytest.raises(FileExistsError):
-        files.assert_absent(str(tmp_path / "out"))
+        files.assert_absent(spark, str(tmp_path / "out"))
     (tmp_path / "r.json").write_text("{}")
-    assert files.free_path(str(tmp_path / "r.json")).endswith("r-2.json")
+    assert files.free_path(spark, str(tmp_path / "r.json")).endswith("r-2.json")
     for name in ("a", "bench50"):
         (tmp_path / "sets" / name).mkdir(parents=True)
         (tmp_path / "sets" / name / "qa.jsonl").write_text('{"q": 1}\n\n')
