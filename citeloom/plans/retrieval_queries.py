@@ -299,6 +299,17 @@ SELECT lookup_id, count(*)::BIGINT AS n_spans, CASE WHEN count(doc_id) = count(*
     return tiers, places, own
 
 
+def _smallest_sql() -> str:
+    from citeloom.plans.citation_queries import _S, _TIERED
+    from citeloom.plans.tree_queries import _N, _U
+
+    return f"""WITH {_N}, {_U}, ch AS (SELECT n.guideline_id, n.section_id, coalesce((SELECT arg_min(ap.ancestor_id, ap.depth) FROM ap JOIN n a ON a.guideline_id = ap.guideline_id AND a.section_id = ap.ancestor_id WHERE a.section_type = 'chapter' AND ap.guideline_id = n.guideline_id AND ap.section_id = n.section_id), n.section_id) AS chapter FROM n),
+c AS (SELECT citation_id, x.guideline_id AS guideline_id, x.section_id AS section_id, x.quote AS quote FROM (SELECT citation_id, arg_max({{guideline_id: guideline_id, section_id: section_id, quote: quote}}, loaded_at) AS x FROM citations GROUP BY 1)),
+ss AS (SELECT guideline_id || ':' || section_id AS doc_id, text FROM u JOIN n USING (guideline_id, section_id)),
+q AS (SELECT c.citation_id, ap.section_id AS node, c.guideline_id || ':' || ap.section_id AS doc_id, c.quote FROM c JOIN ch USING (guideline_id, section_id) JOIN ap ON ap.guideline_id = c.guideline_id AND ap.ancestor_id = ch.chapter JOIN u ON u.guideline_id = ap.guideline_id AND u.section_id = ap.section_id), {_TIERED},
+w AS (SELECT citation_id, min({{n: length(raw), s: node, t: tier}}) AS x FROM t WHERE tier IN {_PASS} GROUP BY 1) SELECT citation_id, x.s AS section_id, x.t AS tier FROM w"""
+
+
 _PLACE, _OVERLAP = _span_sql()
 _ROW_TIERS, _ROW_PLACES, _OWN = _row_sql()
 _RUNS = "ru AS (SELECT qs.question_id AS query_id, y.ids FROM qs LEFT JOIN (SELECT x.question_id AS question_id, arg_max({i: x.retrieved_set}, answer_id).i AS ids FROM an GROUP BY 1) y USING (question_id))"
@@ -316,6 +327,7 @@ SELECT k, coalesce(guideline_id, '*') AS guideline_id, coalesce(question_style,
     "rank_failures": f"WITH {_QS}, {_AN(['question_id', 'retrieved_set'])}, {_RUNS} SELECT count(*)::BIGINT AS n, count(*) FILTER (ids IS NULL)::BIGINT AS n_failed, count(*) FILTER (len(ids) = 0)::BIGINT AS n_empty, coalesce((SELECT string_agg(query_id, ' ' ORDER BY query_id) FROM (SELECT query_id FROM ru WHERE ids IS NULL ORDER BY query_id LIMIT 20)), '') AS failures FROM ru",
     "text_chunks": f"WITH {_POOL} SELECT doc_id, i AS chunk_no, sha256(substr(text, i * 1000 + 1, 1000)) AS digest FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 1000.0)::BIGINT)) AS i FROM pool WHERE length(text) > 0)",
     "request_batches": "WITH RECURSIVE p AS (SELECT doc_id, x.g AS guideline_id, length(coalesce(x.t, '')) AS n, row_number() OVER (PARTITION BY x.g ORDER BY doc_id) AS r FROM (SELECT doc_id, arg_max({g: guideline_id, t: text}, loaded_at) AS x FROM candidate_units GROUP BY 1)), w AS (SELECT guideline_id, doc_id, r, 0::BIGINT AS request_no, 1::BIGINT AS k, n::BIGINT AS total FROM p WHERE r = 1 UNION ALL SELECT p.guideline_id, p.doc_id, p.r, CASE WHEN w.total + p.n > 5000 OR w.k >= 8 THEN w.request_no + 1 ELSE w.request_no END, CASE WHEN w.total + p.n > 5000 OR w.k >= 8 THEN 1 ELSE w.k + 1 END, CASE WHEN w.total + p.n > 5000 OR w.k >= 8 THEN p.n ELSE w.total + p.n END FROM w JOIN p ON p.guideline_id = w.guideline_id AND p.r = w.r + 1) SELECT guideline_id, doc_id, request_no FROM w",
+    "smallest_node": _smallest_sql(),
     "row_tiers": _ROW_TIERS,
     "row_places": _ROW_PLACES,
     "span_is_quote": _OWN,

@@ -23,9 +23,9 @@ def read_datasets(spark: SparkSession, root: str, schema: str, left_out: str = "
     return rows.filter(~F.contains("file", F.lit(f"/{left_out}/")))
 
 
-def read_tree(spark: SparkSession, path: str, node_schema: str) -> DataFrame:
-    """A tree document ``{guideline_id, nodes: {id: node}}`` as one row per node, in document order."""
-    doc = spark.read.schema(f"guideline_id string, nodes map<string, struct<{node_schema}>>").option("multiLine", True).json(path)
+def read_tree(spark: SparkSession, path: str, node_schema: str, lines: bool = False) -> DataFrame:
+    """Tree documents ``{guideline_id, nodes: {id: node}}``, one a file or one a line, as one row per node, in document order."""
+    doc = spark.read.schema(f"guideline_id string, nodes map<string, struct<{node_schema}>>").option("multiLine", not lines).json(path)
     return doc.select("guideline_id", F.posexplode("nodes").alias("ord", "key", "node")).select("guideline_id", "ord", "node.*")
 
 
