@@ -55,33 +55,36 @@ def marked(answer: Column) -> Column:
     return F.translate(F.regexp_replace(F.array_join(pieces, MARK), rf"[ \t](?={MARK}*[ \t])", ""), "\t", " ")
 
 
-def mark_positions(text: Column) -> Column:
-    """Where each mark of a marked text stands, in the text without marks."""
-    before = F.transform(F.split(text, MARK, -1), F.length)
-    return F.transform(F.slice(before, F.lit(1), F.size(before) - 1), lambda _, i: F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+def _upto(sizes: Column, n) -> Column:
+    """Sum of the first ``n`` sizes."""
+    return F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda a, x: a + x)
 
 
-def _placed(parts: Column) -> Column:
-    """(start, end, text) of parts that follow each other, without leading white space; blank parts are left out."""
-    start = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    trimmed = F.transform(parts, lambda x, i: F.struct(start(i).alias("at"), x.alias("x"), F.regexp_replace(x, rf"^{SPACE}+", "").alias("own")))
+def _placed(parts: Column, sizes: Column) -> Column:
+    """(start, end, text) of parts that follow each other, without leading white space; blank parts are left out.
+
+    Both are columns of their own: an expression in their place would be worked out again for every part.
+    """
+    trimmed = F.transform(parts, lambda x, i: F.struct(_upto(sizes, i).alias("at"), x.alias("x"), F.regexp_replace(x, rf"^{SPACE}+", "").alias("own")))
     shown = F.filter(trimmed, lambda p: F.length(p["own"]) > 0)
     line_end = lambda p: F.length(p["x"]) - F.endswith(p["x"], F.lit("\n")).cast("int")
     return F.transform(shown, lambda p: F.struct((p["at"] + F.length(p["x"]) - F.length(p["own"])).alias("start"), (p["at"] + line_end(p)).alias("end"), F.regexp_replace(F.regexp_replace(p["own"], rf"{SPACE}+\z", ""), rf"{SPACE}+", " ").alias("text")))
 
 
-def sentence_array(plain: Column) -> Column:
-    """array<struct<start, end, text>> of the sentences of a plain text."""
-    return _placed(F.split(F.regexp_replace(F.regexp_replace(plain, END, "$0" + CUT), "\n", "\n" + CUT), CUT, -1))
+def with_sentences(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with sentences: array<struct<start, end, text>> of the plain text in ``column``."""
+    cut = F.split(F.regexp_replace(F.regexp_replace(column, END, "$0" + CUT), "\n", "\n" + CUT), CUT, -1)
+    sized = rows.withColumn("parts_", cut).withColumn("sizes_", F.transform("parts_", F.length))
+    return sized.withColumn("sentences", _placed(F.col("parts_"), F.col("sizes_"))).drop("parts_", "sizes_")
 
 
 def resplit(spans: DataFrame, key: str = "answer_id") -> DataFrame:
     """Spans (key, sent_idx, start_pos, end_pos, text) of any splitter, long ones with a closed quotation inside taken apart by the rules."""
     cue = RESPLIT_CUE.format(space=SPACE, blank=BLANK)
-    parts = sentence_array(F.col("text"))
+    parts = F.col("sentences")
     again = (F.length("text") >= RESPLIT_LENGTH) & F.rlike("text", F.lit(cue))
     own = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("text")))
-    each = spans.select(key, "sent_idx", "start_pos", F.explode(F.when(again & (F.size(parts) > 1), parts).otherwise(own)).alias("p"))
+    each = with_sentences(spans, "text").select(key, "sent_idx", "start_pos", F.explode(F.when(again & (F.size(parts) > 1), parts).otherwise(own)).alias("p"))
     placed = each.select(key, (F.col("start_pos") + F.col("p.start")).alias("start_pos"), (F.col("start_pos") + F.col("p.end")).alias("end_pos"), F.col("p.text").alias("text"))
     gathered = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "text"))).alias("s"))
     return gathered.select(key, F.posexplode("s").alias("sent_idx", "s")).select(key, F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("s.start_pos").cast("bigint").alias("start_pos"), F.col("s.end_pos").cast("bigint").alias("end_pos"), "s.text")
@@ -89,9 +92,10 @@ def resplit(spans: DataFrame, key: str = "answer_id") -> DataFrame:
 
 def segmented(answers: DataFrame) -> DataFrame:
     """(answer_id, plain, sentences, marks): the plain text, its sentences in order and the position of each marker."""
-    one = answers.select("answer_id", marked(F.coalesce("answer", F.lit(""))).alias("m"))
-    one = one.select("answer_id", F.translate("m", MARK, "").alias("plain"), mark_positions(F.col("m")).alias("marks"))
-    return one.select("answer_id", "plain", sentence_array(F.col("plain")).alias("sentences"), "marks")
+    one = answers.select("answer_id", marked(F.coalesce("answer", F.lit(""))).alias("m")).withColumn("sizes", F.transform(F.split("m", MARK, -1), F.length))
+    marks = F.transform(F.slice("sizes", F.lit(1), F.size("sizes") - 1), lambda _, i: _upto(F.col("sizes"), i + 1))
+    one = one.select("answer_id", F.translate("m", MARK, "").alias("plain"), marks.alias("marks"))
+    return with_sentences(one, "plain").select("answer_id", "plain", "sentences", "marks")
 
 
 def holder(sentences: Column, pos: Column) -> Column:
@@ -107,20 +111,26 @@ def breaks_clause(before: Column, after: Column) -> Column:
     return F.rlike(before, F.lit(OPEN_END)) & F.rlike(after, F.lit(GOES_ON))
 
 
+def _marker_arrays(answers: DataFrame) -> DataFrame:
+    """``segmented`` with the arrays held (the sentence of each marker) and broken (whether it is malformed)."""
+    one = segmented(answers)
+    broken = F.transform("marks", lambda p: breaks_clause(F.left("plain", p), F.substring("plain", p + 1, F.length("plain"))))
+    return one.withColumns({"held": F.transform("marks", lambda p: holder(F.col("sentences"), p)), "broken": broken})
+
+
 def sentence_rows(answers: DataFrame) -> DataFrame:
     """(answer_id, sent_idx, start_pos, end_pos, text, n_markers, malformed) of every sentence."""
-    each = marker_rows(answers).filter("sent_idx is not null").groupBy("answer_id", "sent_idx").agg(F.count(F.lit(1)).alias("n_markers"), F.max("malformed").alias("malformed"))
-    rows = segmented(answers).select("answer_id", F.posexplode("sentences").alias("sent_idx", "s"))
-    rows = rows.select("answer_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), F.col("s.start").cast("bigint").alias("start_pos"), F.col("s.end").cast("bigint").alias("end_pos"), "s.text")
-    return rows.join(each, ["answer_id", "sent_idx"], "left").withColumns({"n_markers": F.coalesce("n_markers", F.lit(0)), "malformed": F.coalesce("malformed", F.lit(False))})
+    count = lambda i: F.size(F.filter("held", lambda h: h == i))
+    bad = lambda i: F.exists(F.arrays_zip("held", "broken"), lambda x: (x["held"] == i) & x["broken"])
+    full = F.transform("sentences", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), count(i).alias("n"), bad(i).alias("bad")))
+    each = _marker_arrays(answers).select("answer_id", F.posexplode(full).alias("i", "s"))
+    return each.select("answer_id", F.col("i").cast("bigint").alias("sent_idx"), F.col("s.start").cast("bigint").alias("start_pos"), F.col("s.end").cast("bigint").alias("end_pos"), "s.text", F.col("s.n").cast("bigint").alias("n_markers"), F.coalesce("s.bad", F.lit(False)).alias("malformed"))
 
 
 def marker_rows(answers: DataFrame) -> DataFrame:
     """(answer_id, marker_idx, pos, sent_idx, sentence, malformed) of every marker."""
-    each = segmented(answers).select("answer_id", "plain", "sentences", F.posexplode("marks").alias("marker_idx", "pos"))
-    each = each.withColumn("at", holder(F.col("sentences"), F.col("pos")))
-    malformed = breaks_clause(F.left("plain", F.col("pos")), F.substring("plain", F.col("pos") + 1, F.length("plain")))
-    return each.select("answer_id", F.col("marker_idx").cast("bigint").alias("marker_idx"), F.col("pos").cast("bigint").alias("pos"), F.col("at").cast("bigint").alias("sent_idx"), F.get("sentences", F.col("at"))["text"].alias("sentence"), malformed.alias("malformed"))
+    each = _marker_arrays(answers).select("answer_id", "sentences", F.posexplode(F.arrays_zip("marks", "held", "broken")).alias("i", "x"))
+    return each.select("answer_id", F.col("i").cast("bigint").alias("marker_idx"), F.col("x.marks").cast("bigint").alias("pos"), F.col("x.held").cast("bigint").alias("sent_idx"), F.get("sentences", F.col("x.held"))["text"].alias("sentence"), F.col("x.broken").alias("malformed"))
 
 
 def atoms(answers: DataFrame) -> DataFrame:

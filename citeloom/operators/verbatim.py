@@ -46,7 +46,7 @@ def quote_tiers(quotes: DataFrame, sections: DataFrame, criteria: Criteria = FUL
     empty quote or section text fails.
     """
     digest = F.md5(F.concat_ws("\x01", F.coalesce("doc_id", F.lit("\x02")), F.coalesce("quote", F.lit("\x02"))))
-    known = sections.select("doc_id", F.col("text").alias("raw"), normalize(F.col("text"), criteria).alias("source"), F.lit(True).alias("resolved"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    known = sections.select("doc_id", F.col("text").alias("raw"), normalize(F.col("text"), criteria).alias("source"), F.lit(True).alias("resolved")).select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     pairs = quotes.select("doc_id", "quote", digest.alias("pair")).distinct().select("*", normalize(F.col("quote"), criteria).alias("normalised"), F.pmod(F.crc32("pair"), F.lit(salts)).cast("int").alias("salt"))
     made = pairs.join(known, ["doc_id", "salt"], "left").select("pair", F.when(F.col("resolved").isNull(), "unresolved").otherwise(tier(F.col("quote"), F.col("raw"), F.col("source"), F.col("normalised"), criteria)).alias("tier"))
     return quotes.withColumn("pair", digest).join(made, "pair", "left").select(*quotes.columns, "tier")
