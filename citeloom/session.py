@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def build_session(app: str = "citeloom", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -35,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(tempfile.mkdtemp(prefix="citeloom-"))
+        atexit.register(shutil.rmtree, _OWN_FOLDER[0], ignore_errors=True)
     return "file://" + _OWN_FOLDER[0]
 
 
@@ -43,9 +47,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialise`` has written in this process and gives their number.
+
+    For a driver that has written or collected its results: what is still lazy may read them.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return n
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers look for this package where the driver found it; a cluster without that path ships it with --py-files."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

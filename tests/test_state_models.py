@@ -113,3 +113,13 @@ def test_guards(spark):
 def test_small_forms(spark):
     df = spark.createDataFrame([(0.1234, "v/m-1.5", "unit"), (None, "m", " "), (0.00125, "m", None)], "r double, m string, g string")
     assert rows(df.select(percentage(F.col("r")), release_dir(F.col("m"), F.col("g")))) == [("12.3%", "m-1pt5_unit"), ("n/a", "m"), ("0.1%", "m")]
+
+
+def test_written_tables_are_released(spark):
+    from citeloom import session
+
+    session.release(spark)
+    df = session.materialise(spark.range(3), "released")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 3 and files.exists(spark, path) and session.release(spark) == 1
+    assert not files.exists(spark, path) and session.release(spark) == 0
