@@ -119,7 +119,7 @@ def _phrases(batches, least):
     import pyarrow as pa
 
     for batch in batches:
-        keys, several = batch.column(0), batch.column(1)
+        shards, several = batch.column(0), batch.column(1)
         for block in _blocks(enumerate(batch.column(2).to_pylist())):
             rows = np.array([i for i, _ in block])
             joined, bounds, which, at, h = _anchored([t for _, t in block], least)
@@ -131,7 +131,7 @@ def _phrases(batches, least):
             n = np.diff(np.concatenate([first, [len(h)]]))
             here = pa.array(rows[which[first]])
             places = (bounds[which[first]] + at[first]).tolist()
-            yield pa.RecordBatch.from_arrays([keys.take(here), several.take(here), pa.array(h[first].view(np.int64)), pa.array(n), pa.array([joined[p : p + PHRASE] for p in places], pa.string())], ["key", "several", "ph", "n", "phrase"])
+            yield pa.RecordBatch.from_arrays([shards.take(here), several.take(here), pa.array(h[first].view(np.int64)), pa.array(n), pa.array([joined[p : p + PHRASE] for p in places], pa.string())], ["shard", "several", "ph", "n", "phrase"])
 
 
 def _contexts(batches, least, group_contexts):
@@ -321,13 +321,15 @@ def shared_spans(records: DataFrame, least: int, shard_phrases: int = 8_000, gro
     records = records.filter(F.length("text") >= least).select("rec_kind", "rec_id", "text")
     grouped = records.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     texts = materialise(grouped.select(key.alias("key"), (F.col("n") > 1).alias("several"), "text"), "span-texts")
-    phrases = materialise(texts.mapInArrow(lambda b: _phrases(b, least), "key binary, several boolean, ph bigint, n bigint, phrase string"), "span-phrases")
+    # About two anchors stand in each window's length of phrases.
+    anchors = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) * 2 // (least - PHRASE + 2)
+    shards = max(1, -(-anchors // shard_phrases))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards).cast("bigint")).cast("int").alias("shard")
+    phrases = materialise(texts.select(shard, "several", "text").mapInArrow(lambda b: _phrases(b, least), "shard int, several boolean, ph bigint, n bigint, phrase string"), "span-phrases")
     recurring = phrases.groupBy("ph").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.max("several").alias("several"))
     confirmed = materialise(recurring.filter("texts > 1 or several").select("ph", "n"), "span-confirmed")
-    shards = max(1, -(-phrases.count() // shard_phrases))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards).cast("bigint")).alias("shard")
     none = F.lit(None)
-    held = phrases.select("key", "ph", "phrase").join(confirmed, "ph").select(shard, F.lit(False).alias("is_text"), none.cast("binary").alias("key"), none.cast("boolean").alias("several"), "ph", "n", F.col("phrase").alias("text"))
+    held = phrases.select("shard", "ph", "phrase").join(confirmed, "ph").select("shard", F.lit(False).alias("is_text"), none.cast("binary").alias("key"), none.cast("boolean").alias("several"), "ph", "n", F.col("phrase").alias("text"))
     stream = texts.select(shard, F.lit(True).alias("is_text"), "key", "several", none.cast("bigint").alias("ph"), none.cast("bigint").alias("n"), "text")
     ordered = held.unionByName(stream).repartition(shards, "shard").sortWithinPartitions("shard", "is_text")
     occurrences = ordered.mapInArrow(lambda b: _contexts(b, least, group_contexts), "ph bigint, hot boolean, key binary, several boolean, pos bigint, head int, context string")
