@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, fields
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +29,20 @@ class Criteria:
     least_fragment: int = 10
     least_fragments: int = 2
 
+    @classmethod
+    def from_json(cls, text: str) -> Criteria:
+        """Rules out of a JSON object of these fields; those that are not named keep their values, unknown ones are an error."""
+        given = json.loads(text)
+        unknown = sorted(set(given) - {f.name for f in fields(cls)})
+        if unknown:
+            raise ValueError(f"unknown criteria: {', '.join(unknown)}")
+        if len(given.get("fold_from", cls.fold_from)) != len(given.get("fold_to", cls.fold_to)):
+            raise ValueError("fold_from and fold_to must have the same length")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), ensure_ascii=False)
+
 
 #: The part of the rules that plain SQL engines share.
 PLAIN = Criteria(nfkc=False, superscript_references=False)

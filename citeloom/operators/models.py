@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,22 @@ from citeloom.session import materialise
 Model = Callable[[pd.DataFrame], list[str | None]]
 
 
+class Ranker(Protocol):
+    """Gives the ids that fit a question, best first; what it raises is a failed ranking."""
+
+    name: str
+
+    def __call__(self, question: str) -> list[str]: ...
+
+
+class Judge(Protocol):
+    """Gives a JSON reply for each row of a batch of requests, None for one that failed."""
+
+    settings: str
+
+    def __call__(self, requests: pd.DataFrame) -> list[str | None]: ...
+
+
 def ask(requests: DataFrame, fields: list[str], model: Model, settings: str, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(``requests`` with the column ``reply``, new cache rows (key, reply)). The settings are part of every key."""
     keyed = requests.withColumn("key", cache_key(F.lit(settings), *[F.col(f) for f in fields]))

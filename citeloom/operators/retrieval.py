@@ -235,3 +235,26 @@ def rank_failures(runs: DataFrame, most: int = 20) -> DataFrame:
     counts = runs.agg(F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("n_failed"), F.count_if(~failed & (F.col("n_returned") == 0)).alias("n_empty"))
     first = runs.filter(failed).orderBy("query_id").limit(most).agg(F.array_join(F.array_sort(F.collect_list("query_id")), " ").alias("failures"))
     return counts.crossJoin(first)
+
+
+def run_ranker(questions: DataFrame, rank, valid: list[str] | None = None) -> DataFrame:
+    """(query_id, ids, error) of a ranker, a callable from a question's text to a list of ids, over (query_id, text).
+
+    A question whose ranking raises has no ids and the error's text; it is a miss for every rate. Ids that ``valid`` does not
+    have and repeats are left out. The callable travels to the workers and works on its own batch.
+    """
+    kind = questions.schema["query_id"].dataType.simpleString()
+
+    def run(frames):
+        known = None if valid is None else set(valid)
+        for pdf in frames:
+            out = []
+            for i, text in zip(pdf["query_id"], pdf["text"]):
+                try:
+                    ids = [x for x in dict.fromkeys(rank(text)) if known is None or x in known]
+                    out.append((i, ids, None))
+                except Exception as error:  # noqa: BLE001  # whatever a ranker raises is its result
+                    out.append((i, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(out, columns=["query_id", "ids", "error"])
+
+    return questions.select("query_id", "text").mapInPandas(run, f"query_id {kind}, ids array<string>, error string")

@@ -10,6 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Names of windows: the nearest claim, and a block of claims.
+ALIASES = {"nearest": 1, "block": 5}
+
+
+def pairing_size(window: int | str) -> int:
+    """The number of claims that a window reaches, by number or name; 0 is no window to pair claims with."""
+    size = ALIASES.get(window, window)
+    if not isinstance(size, int) and str(size).isdigit():
+        size = int(size)
+    if not isinstance(size, int) or size < 1:
+        raise ValueError(f"no window to pair with: {window!r}")
+    return size
+
+
 def marker_groups(placed: DataFrame, key: str = "answer_id") -> DataFrame:
     """(key, marker_idx, sent_idx, grp, reached): ``reached`` is the furthest sentence of the earlier groups, -1 if none."""
     order = Window.partitionBy(key).orderBy("marker_idx")
