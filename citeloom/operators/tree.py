@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("guideline_id", "section_id")
+#: What stands where a text was cut.
+CUT_END, CUT_MIDDLE = "\n\n[... content truncated for summary generation ...]", "\n\n[... middle content truncated ...]\n\n"
 
 
 def unique_nodes(nodes: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def shortened(text: Column, full: int) -> Column:
     """The whole text within ``full`` characters, its head within twice that, else head and tail."""
     return (
         F.when(F.length(text) <= full, text)
-        .when(F.length(text) <= 2 * full, F.concat(F.left(text, F.lit(int(full * 0.95))), F.lit("\n\n[... content truncated for summary generation ...]")))
-        .otherwise(F.concat(F.left(text, F.lit(full // 2)), F.lit("\n\n[... middle content truncated ...]\n\n"), F.right(text, F.lit(full // 4))))
+        .when(F.length(text) <= 2 * full, F.concat(F.left(text, F.lit(int(full * 0.95))), F.lit(CUT_END)))
+        .otherwise(F.concat(F.left(text, F.lit(full // 2)), F.lit(CUT_MIDDLE), F.right(text, F.lit(full // 4))))
     )
 
 
