@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -61,7 +62,6 @@ _DECLINING = re.compile(
     r"désolé|malheureusement|je ne (?:peux|puis|suis)|je n'ai (?:rien|pas)|aucun(?:e)? (?:passage|information|section|recommandation)|"
     r"lo siento|lamentablemente|no (?:puedo|encontré|he encontrado|se encontró)|ningún pasaje|ninguna (?:sección|información))(?!\w)"
     r"|很遗憾|抱歉|无法(?:回答|提供|讨论|就)|不能(?:回答|提供)|没有找到|未(?:能)?找到|申し訳|お答えでき|回答でき|見つかりません|見つけられ|к сожалению|не могу|не (?:удалось )?наш|извините|عذر|آسف|لا أستطيع|لم أجد|क्षमा|खेद|नहीं मिल|उत्तर नहीं|ขออภัย|เสียใจ|ไม่สามารถ|ไม่พบ",
-    re.IGNORECASE,
 )
 
 
@@ -259,7 +259,7 @@ def answers_nothing(text: str, prompt: str | None) -> bool:
 
 def declines(text: str, finish: str | None = None) -> bool:
     """The wording of a refusal, or a finish reason that says so."""
-    return (finish or "").lower() in ("refusal", "content_filter", "safety") or bool(_DECLINING.search(_clean(text).replace("’", "'")))
+    return (finish or "").lower() in ("refusal", "content_filter", "safety") or bool(_DECLINING.search(_clean(text).lower().replace("’", "'")))
 
 
 _CLAUSE = re.compile(r"[.!?,;:…](?=[\s*_\"”»)\]]|\Z)|[。！？，；：、।؟،\n]|\s[–—-]\s")
@@ -333,56 +333,57 @@ def _bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(which), np.concatenate(bands).view(np.int64)
 
 
-class _Bucket:
-    """The texts of one bucket, found by their rare end: of two texts of the similarity, the first shingles in any order meet."""
+def bucket_links(texts: list[str]) -> list[tuple[str, str]]:
+    """(text, other) links of confirmed pairs of one bucket: each text with one earlier text of each part that has one like it.
 
-    def __init__(self):
-        self.texts: list[tuple[str, set]] = []
-        self.part: list[int] = []
-        self.by_shingle: dict = {}
-
-    def _root(self, i: int) -> int:
-        while self.part[i] != i:
-            self.part[i] = i = self.part[self.part[i]]
+    Of two texts of the similarity the rarest shingles meet: in any one order of the shingles, here by how often they stand in
+    the bucket, the first of both share one. So a text is compared only with those that share a rare shingle with it.
+    """
+    sets = [_parts(t) for t in texts]
+    often = Counter(x for own in sets for x in own)
+    part = list(range(len(texts)))
+    by_shingle: dict = {}
+    links = []
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = i = part[part[i]]
         return i
 
-    def add(self, text: str) -> list[str]:
-        """One text of each part of the bucket that has one like it."""
-        own = _parts(text)
-        first = sorted(own, key=hash)[: len(own) - math.ceil(SIMILARITY * len(own)) + 1]
-        me = len(self.texts)
-        self.texts.append((text, own))
-        self.part.append(me)
-        links, seen = [], set()
-        for shingle in first:
+    for me, (text, own) in enumerate(zip(texts, sets)):
+        rare = sorted(own, key=lambda x: (often[x], hash(x)))[: len(own) - math.ceil(SIMILARITY * len(own)) + 1]
+        seen = set()
+        for shingle in rare:
+            if often[shingle] == 1:
+                continue
             groups: dict[int, list[int]] = {}
-            for root, members in self.by_shingle.get(shingle, {}).items():
-                here = groups.setdefault(self._root(root), members)
+            for i, members in by_shingle.get(shingle, {}).items():
+                here = groups.setdefault(root(i), members)
                 if here is not members:
                     here.extend(members)
             for members in groups.values():
-                if self._root(members[0]) == self._root(me):
+                if root(members[0]) == root(me):
                     continue
                 for i in members:
                     if i in seen:
                         continue
                     seen.add(i)
-                    other, theirs = self.texts[i]
+                    theirs = sets[i]
                     if SIMILARITY * max(len(own), len(theirs)) <= min(len(own), len(theirs)) and len(own & theirs) >= SIMILARITY * len(own | theirs):
-                        links.append(other)
-                        self.part[self._root(me)] = self._root(i)
+                        links.append((text, texts[i]))
+                        part[root(me)] = root(i)
                         break
-            groups.setdefault(self._root(me), []).append(me)
-            self.by_shingle[shingle] = groups
-        return links
+            groups.setdefault(root(me), []).append(me)
+            by_shingle[shingle] = groups
+    return links
 
 
 def cluster_openings(openings: DataFrame) -> DataFrame:
     """(opening, cluster): each distinct opening with the smallest one of its connected component of confirmed pairs.
 
-    In each bucket of a band an opening is compared with the earlier ones that can be like it until it is linked to each part
-    that has one, so no link between parts is missed and a bucket of near-equal openings takes one comparison each; a task
-    holds the shingles of one bucket.
+    In each bucket of a band an opening is compared with those that can be like it until it is linked to each part that has
+    one, so no link between parts is missed and a bucket of near-equal openings takes one comparison each; a task holds the
+    shingles of one bucket.
     """
 
     def band_rows(frames):
@@ -395,14 +396,16 @@ def cluster_openings(openings: DataFrame) -> DataFrame:
     def confirm(frames):
         import pandas as pd
 
-        band = None
+        band, bucket = None, []
         for pdf in frames:
             links = []
             for o, x in zip(pdf["opening"], pdf["band"]):
                 if x != band:
-                    band, bucket = x, _Bucket()
-                links += [(o, hub) for hub in bucket.add(o)]
+                    links += bucket_links(bucket)
+                    band, bucket = x, []
+                bucket.append(o)
             yield pd.DataFrame(links, columns=["opening", "hub"])
+        yield pd.DataFrame(bucket_links(bucket), columns=["opening", "hub"])
 
     one = openings.select("opening").distinct()
     bands = one.mapInPandas(band_rows, "opening string, band bigint")
