@@ -192,11 +192,19 @@ def by_word(usual: Mapping[str, Mapping[str, float]]) -> dict[str, tuple[tuple[s
 
 def page_usual(words: list[str], tag: str | None, known: Mapping[str, tuple[tuple[str, float], ...]]) -> dict[str, float]:
     """The usual shares that hold for a page: of its tag, and of the languages that have at least half as many of its different words as the best."""
-    pairs = [(w, known[w]) for w in set(words) if w in known]
-    score = Counter(language for _, x in pairs for language, _ in x)
+    hits = known.keys() & set(words)
+    score: dict[str, int] = {}
+    for w in hits:
+        for language, _ in known[w]:
+            score[language] = score.get(language, 0) + 1
     best = max(score.values(), default=0)
     held = {language for language, n in score.items() if 2 * n >= best or language == tag}
-    return {w: max(share for language, share in x if language in held) for w, x in pairs if any(language in held for language, _ in x)}
+    out = {}
+    for w in hits:
+        for language, share in known[w]:
+            if language in held and share > out.get(w, 0.0):
+                out[w] = share
+    return out
 
 
 def _limits(features: DataFrame, prior_pages: int) -> DataFrame:
