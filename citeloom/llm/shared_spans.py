@@ -140,8 +140,7 @@ def _contexts(batches, least, group_contexts):
     import pyarrow as pa
 
     names = ["ph", "hot", "key", "several", "pos", "head", "context"]
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.string()]
-    reach = least - PHRASE
+    reach, last = least - PHRASE, PHRASE - 1
 
     def located(automaton, rows):
         """The rows with an occurrence, with the ends of all of them and what the automaton knows of each phrase."""
@@ -151,16 +150,24 @@ def _contexts(batches, least, group_contexts):
 
     def made(automaton, rows):
         for block in _blocks(located(automaton, rows)):
-            texts = [r[-1] for r in block]
-            _, _, which, at, _ = _anchored(texts, least)
-            out: list[list] = [[] for _ in names]
-            for i, p in zip(which.tolist(), at.tolist()):
-                key, several, found, text = block[i]
-                if known := found.get(p + PHRASE - 1):
-                    start = max(0, p - reach)
-                    for column, x in zip(out, (known[0], known[1] > group_contexts, key, several, p, p - start, text[start : p + least])):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            keys, several, found, texts = zip(*block)
+            _, _, which, at, _ = _anchored(list(texts), least)
+            hits = [(i, p, known) for i, p in zip(which.tolist(), at.tolist()) if (known := found[i].get(p + last))]
+            rows_of = np.array([i for i, _, _ in hits], dtype=np.int64)
+            pos = np.array([p for _, p, _ in hits], dtype=np.int64)
+            start = np.maximum(0, pos - reach)
+            contexts = [texts[i][a : p + least] for (i, p, _), a in zip(hits, start.tolist())]
+            here = pa.array(rows_of)
+            columns = [
+                pa.array([known[0] for _, _, known in hits], pa.int64()),
+                pa.array([known[1] > group_contexts for _, _, known in hits], pa.bool_()),
+                pa.array(keys, pa.binary()).take(here),
+                pa.array(several, pa.bool_()).take(here),
+                pa.array(pos),
+                pa.array((pos - start).astype(np.int32)),
+                pa.array(contexts, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     shard, automaton, waiting = None, None, []
     for batch in batches:
