@@ -47,7 +47,7 @@ FEATURES = "language string, digest string, " + ", ".join(f"{c} double" for c in
 #: Words of a block whose variety is measured, the variety of ordinary wording, the deviations and the most that is usual of a common word.
 BLOCK, PLAIN, DEVIATIONS, MOST_USUAL = 50, 0.6, 5.0, 0.25
 #: For each share the least and the most that its limit can be; where a language has no pages, the most (of ``function``, the least) holds.
-BOUNDS = {"repeated": (0.25, 0.45), "twice": (0.6, 0.75), "top": (0.13, 0.2), "phrases": (0.6, 0.8), "phrase": (0.25, 0.35), "lines": (0.4, 0.5), "separators": (0.2, 0.4), "links": (0.4, 0.5), "function": (0.2, 0.4)}
+BOUNDS = {"repeated": (0.25, 0.45), "twice": (0.6, 0.75), "top": (0.13, 0.2), "phrases": (0.6, 0.8), "phrase": (0.4, 0.5), "lines": (0.4, 0.5), "separators": (0.2, 0.4), "links": (0.4, 0.5), "function": (0.2, 0.4)}
 #: The repeated share beyond which no other sign is asked for.
 MOST_REPEATED = 0.45
 #: Function words, and the share up to which one is no keyword where its language does not show another.
