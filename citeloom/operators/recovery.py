@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import FULL, Criteria, normalize
-from citeloom.operators.verbatim import PASSING, passes, quote_tiers, tier
+from citeloom.operators.tree import KEY
+from citeloom.operators.verbatim import PASSING, passes, probes, quote_tiers, tier
 from citeloom.session import materialise
 
 RUNGS = ("node", "sectionrest", "othersection", "unattributed", "nowhere", "error")
+#: Numbers of 64 bits in a signature: a text of some pages sets about half of them.
+SIGNATURE = 4
 
 
 def rung(tier_column: Column, in_node: Column, in_cited: Column) -> Column:
@@ -123,22 +128,55 @@ def probe_report(rows: DataFrame, by: str) -> DataFrame:
     return out.select(F.coalesce(F.col(by), F.lit("*")).alias(by), *[c for c in out.columns if c != by], rate("n_verified", "n_judged").alias("verified_rate"), rate("n_vote_split", "n_complete").alias("vote_split_rate"))
 
 
-def smallest_holder(quotes: DataFrame, nodes: DataFrame, criteria: Criteria = FULL) -> DataFrame:
+def _bit(number: Column, i: int) -> Column:
+    return F.when(F.floor(number / 64) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), number % 64)).otherwise(F.lit(0).cast("bigint"))
+
+
+def _place(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(64 * SIGNATURE)).cast("int")
+
+
+def _with_words(rows: DataFrame, name: str, *texts: str) -> DataFrame:
+    """``rows`` with the words of the texts as bits of a few numbers, name_0 and so on."""
+    places = F.array_distinct(F.transform(F.concat(*[F.split(t, " ", -1) for t in texts]), _place))
+    number = lambda i: F.reduce(F.col(f"{name}_places"), F.lit(0).cast("bigint"), lambda x, p: x.bitwiseOR(_bit(p, i)))
+    # A step of its own, so that the places are made once for all numbers.
+    return rows.withColumn(f"{name}_places", places).withColumns({f"{name}_{i}": number(i) for i in range(SIGNATURE)}).drop(f"{name}_places")
+
+
+def _with_inner_words(rows: DataFrame, name: str, part: str, most: int = 8) -> DataFrame:
+    """The same of the first words of a part of a text that are words of the text too: the part's own first and last may be cut."""
+    words = F.split(part, " ", most + 2)
+    rows = rows.withColumn(f"{name}_words", words)
+    rows = rows.withColumns({f"{name}_place_{j}": F.when(F.size(f"{name}_words") > j + 1, _place(F.get(f"{name}_words", F.lit(j)))) for j in range(1, most + 1)})
+    number = lambda i: reduce(lambda a, b: a.bitwiseOR(b), [_bit(F.col(f"{name}_place_{j}"), i) for j in range(1, most + 1)])
+    return rows.withColumns({f"{name}_{i}": number(i) for i in range(SIGNATURE)}).drop(f"{name}_words", *[f"{name}_place_{j}" for j in range(1, most + 1)])
+
+
+def smallest_holder(quotes: DataFrame, nodes: DataFrame, texts: DataFrame, criteria: Criteria = FULL) -> DataFrame:
     """(quote_id, section_id, tier): the shortest node text in or below the cited one that holds the quote.
 
-    ``quotes`` has quote_id, guideline_id, section_id and quote, ``nodes`` guideline_id, section_id, path and text. A quote is
-    only compared with the nodes below a cited one whose texts together hold it in normal form or in fragments, so that
-    quotes that stand nowhere below are settled once and not for every node.
+    ``quotes`` has quote_id, guideline_id, section_id and quote, ``nodes`` guideline_id, section_id and path, ``texts``
+    guideline_id, section_id and text. Quotes meet the nodes below what they cite in one join, to which each text goes once
+    for each cited node above it and there gets its normal form. A pair is compared if the text has the bits of the quote's
+    words, and leaves the join if the text holds a probe of the quote; only then is its tier made.
     """
-    key = F.concat_ws(":", "guideline_id", "section_id")
-    below = nodes.select("guideline_id", F.col("section_id").alias("node"), "text", F.explode("path").alias("section_id"))
-    together = below.groupBy("guideline_id", "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    whole = quote_tiers(quotes.withColumn("doc_id", key), together.select(key.alias("doc_id"), "text"), criteria).filter(passes(F.col("tier")))
-    held = whole.drop("tier", "doc_id").join(below.select("guideline_id", "section_id", "node"), ["guideline_id", "section_id"]).select("quote_id", "guideline_id", "node", "quote")
-    texts = nodes.select(key.alias("doc_id"), "text")
-    tiered = quote_tiers(held.withColumn("doc_id", F.concat_ws(":", "guideline_id", "node")), texts, criteria).filter(passes(F.col("tier")))
-    sized = tiered.join(texts.select("doc_id", F.length("text").alias("n")), "doc_id")
-    return sized.groupBy("quote_id").agg(F.min(F.struct("n", F.col("node").alias("section_id"), "tier")).alias("x")).select("quote_id", "x.section_id", "x.tier")
+    quotes = materialise(quotes.filter(F.length("quote") > 0).select("quote_id", *KEY, "quote"), "held-quotes")
+    above = nodes.select("guideline_id", F.col("section_id").alias("node"), F.explode(F.array_distinct("path")).alias("section_id")).join(quotes.select(*KEY).distinct(), list(KEY), "left_semi")
+    held = above.join(texts.filter(F.length("text") > 0).select("guideline_id", F.col("section_id").alias("node"), F.col("text").alias("raw")), ["guideline_id", "node"])
+    # Normal forms and bits are made behind the exchange, so that they are not sent.
+    held = _with_words(held.repartition(*KEY).withColumn("source", normalize(F.col("raw"), criteria)), "has", "raw", "source")
+    asked = quotes.repartition(*KEY).withColumn("normalised", normalize(F.col("quote"), criteria))
+    asked = asked.withColumns(dict(zip(("as_is", "normal", "fragment"), probes(F.col("quote"), F.col("normalised"), criteria))))
+    for form in ("as_is", "normal"):
+        asked = _with_inner_words(asked, form, form)
+    may = lambda form: reduce(and_, [F.col(f"{form}_{i}").bitwiseAND(F.bitwise_not(f"has_{i}")) == 0 for i in range(SIGNATURE)])
+    meets = (may("as_is") & F.contains("raw", "as_is")) | (may("normal") & F.contains("source", "normal")) | F.contains("source", "fragment")
+    pairs = asked.alias("q").join(held.alias("n"), reduce(and_, [F.col(f"q.{c}") == F.col(f"n.{c}") for c in KEY]) & meets)
+    tiered = pairs.select("quote_id", "node", F.length("raw").alias("n"), tier(F.col("quote"), F.col("raw"), F.col("source"), F.col("normalised"), criteria).alias("tier"))
+    # Not a filter: that would be moved into the join, and the tiers of all its pairs be made.
+    least = tiered.groupBy("quote_id").agg(F.min(F.when(passes(F.col("tier")), F.struct("n", F.col("node").alias("section_id"), "tier"))).alias("x"))
+    return least.filter("x is not null").select("quote_id", "x.section_id", "x.tier")
 
 
 def dense_places(rows: DataFrame, order: str) -> DataFrame:

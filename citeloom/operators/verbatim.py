@@ -37,6 +37,19 @@ def tier(quote: Column, raw: Column, source: Column, normalised: Column, criteri
     )
 
 
+def probes(quote: Column, normalised: Column, criteria: Criteria = FULL) -> tuple[Column, Column, Column]:
+    """Parts of a quote one of which a text must hold for ``tier`` to pass: the first as it stands, or the second or the third in normal form; null where there is none."""
+    nq = F.btrim(normalised, F.lit("'\""))
+    pieces = F.filter(F.transform(F.split(nq, ELLIPSIS, -1), F.btrim), lambda f: F.length(f) >= criteria.least_fragment)
+    filled = lambda c: F.when(F.length(c) > 0, c)
+    longest = F.reduce(pieces, F.lit(""), lambda a, f: F.when(F.length(f) > F.length(a), f).otherwise(a))
+    return (
+        F.coalesce(filled(F.btrim(quote, F.lit(WRAPPING + " "))), filled(quote)),
+        F.coalesce(filled(F.btrim(nq, F.lit(BOUNDARY + " "))), filled(nq)),
+        F.when((F.length(nq) > 0) & (F.contains(nq, F.lit("...")) | F.lit(criteria.least_fragments < 2)) & (F.size(pieces) >= criteria.least_fragments), longest),
+    )
+
+
 def quote_tiers(quotes: DataFrame, sections: DataFrame, criteria: Criteria = FULL, salts: int = 4) -> DataFrame:
     """``quotes`` (… doc_id, quote) with the added column tier; ``sections`` has doc_id (unique) and text.
 

@@ -9,7 +9,7 @@ from citeloom.functions.text import PLAIN, cache_key, model_slug, normalize
 from citeloom.operators import citations, corpus, history, recovery, retrieval, tree, verbatim, votes
 from citeloom.plans.citation_queries import citations_once, sections_once
 from citeloom.plans.tree_queries import nodes_once, questions_once, unit_texts
-from citeloom.session import sf_table
+from citeloom.session import materialise, sf_table
 
 KS = (1, 3, 5, 10)
 
@@ -170,12 +170,11 @@ def claim_dedupe(spark, sf_dir):
 
 
 def smallest_node(spark, sf_dir):
-    nodes = nodes_once(spark, sf_dir).select("guideline_id", "section_id", "path").join(unit_texts(spark, sf_dir), ["guideline_id", "section_id"])
+    nodes = materialise(nodes_once(spark, sf_dir).select("guideline_id", "section_id", "path", "section_type"), "tree-nodes")
     c = citations.latest(sf_table(spark, sf_dir, "citations"), "citation_id", ["guideline_id", "section_id", "quote"]).withColumnRenamed("citation_id", "quote_id")
     # The chapter that a cited section stands in, from the tree; a section of no chapter is looked for in itself.
-    chapters = tree.chapter_of(nodes_once(spark, sf_dir))
-    c = c.join(chapters, ["guideline_id", "section_id"]).withColumn("section_id", F.coalesce(F.nullif("chapter_id", F.lit("")), "section_id")).drop("chapter_id")
-    return recovery.smallest_holder(c, nodes, PLAIN).withColumnRenamed("quote_id", "citation_id")
+    c = c.join(tree.chapter_of(nodes), ["guideline_id", "section_id"]).withColumn("section_id", F.coalesce(F.nullif("chapter_id", F.lit("")), "section_id")).drop("chapter_id")
+    return recovery.smallest_holder(c, nodes, unit_texts(spark, sf_dir), PLAIN).withColumnRenamed("quote_id", "citation_id")
 
 
 def null_control(spark, sf_dir):
