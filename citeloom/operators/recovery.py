@@ -19,6 +19,8 @@ from citeloom.session import materialise
 RUNGS = ("node", "sectionrest", "othersection", "unattributed", "nowhere", "error")
 #: Numbers of 64 bits in a signature: a text of some pages sets about half of them.
 SIGNATURE = 4
+#: Words of a quote that are looked up there before its text is compared.
+INNER_WORDS = 8
 
 
 def rung(tier_column: Column, in_node: Column, in_cited: Column) -> Column:
@@ -128,29 +130,29 @@ def probe_report(rows: DataFrame, by: str) -> DataFrame:
     return out.select(F.coalesce(F.col(by), F.lit("*")).alias(by), *[c for c in out.columns if c != by], rate("n_verified", "n_judged").alias("verified_rate"), rate("n_vote_split", "n_complete").alias("vote_split_rate"))
 
 
-def _bit(number: Column, i: int) -> Column:
-    return F.when(F.floor(number / 64) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), number % 64)).otherwise(F.lit(0).cast("bigint"))
-
-
 def _place(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(64 * SIGNATURE)).cast("int")
 
 
 def _with_words(rows: DataFrame, name: str, *texts: str) -> DataFrame:
-    """``rows`` with the words of the texts as bits of a few numbers, name_0 and so on."""
-    places = F.array_distinct(F.transform(F.concat(*[F.split(t, " ", -1) for t in texts]), _place))
-    number = lambda i: F.reduce(F.col(f"{name}_places"), F.lit(0).cast("bigint"), lambda x, p: x.bitwiseOR(_bit(p, i)))
+    """``rows`` with the words of the texts as the bits of a few numbers, in the array ``name``."""
+    places = F.array_distinct(F.transform(F.array_distinct(F.concat(*[F.split(t, " ", -1) for t in texts])), _place))
+    own = lambda i: F.filter(name, lambda p: F.shiftright(p, 6) == i)
+    number = lambda i: F.reduce(own(i), F.lit(0).cast("bigint"), lambda x, p: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), p % 64)))
     # A step of its own, so that the places are made once for all numbers.
-    return rows.withColumn(f"{name}_places", places).withColumns({f"{name}_{i}": number(i) for i in range(SIGNATURE)}).drop(f"{name}_places")
+    return rows.withColumn(name, places).withColumn(name, F.array(*[number(i) for i in range(SIGNATURE)]))
+
+
+def _with_inner_words(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the bits of the first whole words of the text part ``name``, name_1 and so on: its own first and last word may be cut."""
+    words = f"{name}_words"
+    return rows.withColumn(words, F.split(name, " ", INNER_WORDS + 2)).withColumns({f"{name}_{j}": F.when(F.size(words) > j + 1, _place(F.get(words, F.lit(j)))) for j in range(1, INNER_WORDS + 1)}).drop(words)
 
 
-def _with_inner_words(rows: DataFrame, name: str, part: str, most: int = 8) -> DataFrame:
-    """The same of the first words of a part of a text that are words of the text too: the part's own first and last may be cut."""
-    words = F.split(part, " ", most + 2)
-    rows = rows.withColumn(f"{name}_words", words)
-    rows = rows.withColumns({f"{name}_place_{j}": F.when(F.size(f"{name}_words") > j + 1, _place(F.get(f"{name}_words", F.lit(j)))) for j in range(1, most + 1)})
-    number = lambda i: reduce(lambda a, b: a.bitwiseOR(b), [_bit(F.col(f"{name}_place_{j}"), i) for j in range(1, most + 1)])
-    return rows.withColumns({f"{name}_{i}": number(i) for i in range(SIGNATURE)}).drop(f"{name}_words", *[f"{name}_place_{j}" for j in range(1, most + 1)])
+def _may_hold(words: str, name: str) -> Column:
+    """Whether a text with these words may hold the part ``name``."""
+    places = [F.col(f"{name}_{j}") for j in range(1, INNER_WORDS + 1)]
+    return reduce(and_, [p.isNull() | (F.getbit(F.get(words, F.shiftright(p, 6)), p % 64) == 1) for p in places])
 
 
 def smallest_holder(quotes: DataFrame, nodes: DataFrame, texts: DataFrame, criteria: Criteria = FULL) -> DataFrame:
@@ -169,9 +171,8 @@ def smallest_holder(quotes: DataFrame, nodes: DataFrame, texts: DataFrame, crite
     asked = quotes.repartition(*KEY).withColumn("normalised", normalize(F.col("quote"), criteria))
     asked = asked.withColumns(dict(zip(("as_is", "normal", "fragment"), probes(F.col("quote"), F.col("normalised"), criteria))))
     for form in ("as_is", "normal"):
-        asked = _with_inner_words(asked, form, form)
-    may = lambda form: reduce(and_, [F.col(f"{form}_{i}").bitwiseAND(F.bitwise_not(f"has_{i}")) == 0 for i in range(SIGNATURE)])
-    meets = (may("as_is") & F.contains("raw", "as_is")) | (may("normal") & F.contains("source", "normal")) | F.contains("source", "fragment")
+        asked = _with_inner_words(asked, form)
+    meets = (_may_hold("has", "as_is") & F.contains("raw", "as_is")) | (_may_hold("has", "normal") & F.contains("source", "normal")) | F.contains("source", "fragment")
     pairs = asked.alias("q").join(held.alias("n"), reduce(and_, [F.col(f"q.{c}") == F.col(f"n.{c}") for c in KEY]) & meets)
     tiered = pairs.select("quote_id", "node", F.length("raw").alias("n"), tier(F.col("quote"), F.col("raw"), F.col("source"), F.col("normalised"), criteria).alias("tier"))
     # Not a filter: that would be moved into the join, and the tiers of all its pairs be made.
